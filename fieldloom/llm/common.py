@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
@@ -41,6 +41,11 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row, however often ``then`` uses it and wherever Catalyst moves the result."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def rows_by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Groups of rows with equal keys, from batches sorted by the keys. Holds one group at a time."""
     held: list[pa.RecordBatch] = []

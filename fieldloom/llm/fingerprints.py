@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import text_of
+from fieldloom.llm.common import let, text_of
 
 SHINGLE = 5
 FRACTION = 1 / 8
@@ -27,22 +27,20 @@ def word_hashes(text: Column) -> Column:
 
 
 def shingles(hashes: Column, k: int = SHINGLE) -> Column:
-    """From the array of word hashes; the column must be computed already, as each place reads it k times."""
+    """From the array of word hashes."""
     n = F.size(hashes)
     runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
     return F.when(n >= k, runs).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
-def sketch(hashes: Column, fraction: float = FRACTION) -> Column:
-    """From the array of shingle hashes, computed already."""
+def sketch(text: Column, fraction: float = FRACTION) -> Column:
     below = F.lit(LEAST + int(fraction * (1 << 64)))
-    kept = F.filter(hashes, lambda h: h < below)
-    return F.sort_array(F.array_distinct(F.when(F.size(hashes) > 0, F.concat(kept, F.array(F.array_min(hashes)))).otherwise(kept)))
 
+    def kept(all_: Column) -> Column:
+        low = F.filter(all_, lambda h: h < below)
+        return F.sort_array(F.array_distinct(F.when(F.size(all_) > 0, F.concat(low, F.array(F.array_min(all_)))).otherwise(low)))
 
-def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION) -> DataFrame:
-    steps = df.withColumn("_words", word_hashes(F.col(text))).withColumn("_shingles", shingles(F.col("_words")))
-    return steps.withColumn(out, sketch(F.col("_shingles"), fraction)).drop("_words", "_shingles")
+    return let(word_hashes(text), lambda h: let(shingles(h), kept))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,7 +85,7 @@ def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     chain = firsts.select("_key", F.coalesce(F.lag("_block").over(order), F.last("_block").over(whole)).alias("_block"))
     copies = rows.drop("_block").join(F.broadcast(chain), "_key").withColumn("_copy", F.lit(True))
-    both = with_sketch(rows.unionByName(copies), "text", "sketch", fraction)
+    both = rows.unionByName(copies).withColumn("sketch", sketch(F.col("text"), fraction))
     along = Window.partitionBy("_block").orderBy("_copy", F.col("_key").desc(), "text")
     led = both.withColumn("next_text", F.lead("text").over(along)).withColumn("next_sketch", F.lead("sketch").over(along))
     return led.filter(~F.col("_copy")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
@@ -99,7 +97,7 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFram
     rows = with_next(docs, fraction).withColumn("n_chars", F.length("text").cast("bigint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
-    rows = with_sketch(rows.withColumn("edited", edited), "edited", "edited_sketch", fraction)
+    rows = rows.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited"), fraction))
     return rows.select(
         "doc_id",
         "n_chars",

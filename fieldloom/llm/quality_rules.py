@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import staged, text_of
+from fieldloom.llm.common import let, staged, text_of
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -28,30 +28,51 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("bigint")
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of a text column without nulls."""
-    t = F.col(text)
-    lines = F.filter(F.split(t, "\n"), lambda line: F.translate(line, SPACE, "") != "")
-    df = df.withColumn("_hashes", F.transform(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    df = df.withColumn("_lines", lines)
-    n = F.size("_hashes")
-    at = lambda i, j: F.get(F.col("_hashes"), i + j)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2))))
-    df = df.withColumn("_windows", windows).withColumn("n_words", n.cast("bigint"))
-    # Windows in order of their hash, only where some hash repeats; then the places of those with an equal neighbour.
-    ordered = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ordered))
-    same = lambda x, j: F.get(F.col("_ordered"), j)["h"] == x["h"]
-    twice = F.filter("_ordered", lambda x, j: F.coalesce(same(x, j + 1), F.lit(False)) | ((j > 0) & F.coalesce(same(x, F.greatest(j - 1, F.lit(0))), F.lit(False))))
-    df = df.withColumn("_places", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    # Each place covers three words, or as many as lie before the next place.
-    covered = F.zip_with("_places", F.slice("_places", F.lit(2), F.size("_places")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("bigint"))
-    df = df.withColumn("word_chars", (F.length(t) - _count(t, SPACE)).cast("bigint"))
-    df = df.withColumn("n_symbols", _count(t, SYMBOLS))
-    df = df.withColumn("n_lines", F.size("_lines").cast("bigint"))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
-    return df.drop("_hashes", "_lines", "_windows", "_ordered", "_places")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACE, "") != "")
+
+
+def repeat_words(hashes: Column) -> Column:
+    """Words inside three-word windows that occur twice or more, from the array of word hashes."""
+    n = F.size(hashes)
+    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
+
+    def places(ordered: Column) -> Column:
+        """Places of the windows whose hash has an equal neighbour in the order of hashes."""
+        same = lambda x, j: F.coalesce(F.get(ordered, j)["h"] == x["h"], F.lit(False))
+        twice = F.filter(ordered, lambda x, j: same(x, j + 1) | ((j > 0) & same(x, F.greatest(j - 1, F.lit(0)))))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        """Each place covers three words, or as many as lie before the next place."""
+        each = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+        return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+
+    ordered = lambda w: F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeated = lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), let(ordered(w), lambda o: let(places(o), covered))).otherwise(0)
+    return F.when(n >= 3, let(windows, repeated)).otherwise(0)
+
+
+def counts(text: Column, windows: bool = True) -> Column:
+    """n_words, n_repeat_words (0 without ``windows``), word_chars, n_symbols, n_lines and n_dup_lines as a struct."""
+    long = lambda c, name: c.cast("bigint").alias(name)
+    if windows:
+        hashed = F.transform(_words(text), lambda w: F.xxhash64(w))
+        of_words = let(hashed, lambda h: F.struct(long(F.size(h), "n_words"), long(repeat_words(h), "n_repeat_words")))
+    else:
+        of_words = F.struct(long(F.size(_words(text)), "n_words"), long(F.lit(0), "n_repeat_words"))
+    of_lines = let(_lines(text), lambda x: F.struct(long(F.size(x), "n_lines"), long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines")))
+    return F.struct(of_words.alias("words"), long(F.length(text) - _count(text, SPACE), "word_chars"), long(_count(text, SYMBOLS), "n_symbols"), of_lines.alias("lines"))
+
+
+def with_counts(df: DataFrame, text: str = "text", windows: bool = True) -> DataFrame:
+    """The counts of a text column without nulls as columns. They come out of a generator, below which no filter is moved."""
+    df = df.select("*", F.inline(F.array(counts(F.col(text), windows))))
+    return df.select("*", "words.*", "lines.*").drop("words", "lines")
 
 
 @dataclass(frozen=True)
@@ -112,12 +133,7 @@ def first_rejection(ordered: list[Rule]) -> Column:
 def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``, the counts, base_failed and kept."""
     rows = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
-    # Rules that need only the text's cheap counts and themselves are measured without the windows.
-    light = rows.select("text", F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint").alias("n_words"))
-    light = light.withColumn("n_repeat_words", F.lit(0).cast("bigint")).withColumn("word_chars", F.length("text") - _count(F.col("text"), SPACE))
-    lines = F.filter(F.split("text", "\n"), lambda line: F.translate(line, SPACE, "") != "")
-    light = light.withColumn("n_symbols", _count(F.col("text"), SYMBOLS)).withColumn("n_lines", F.size(lines))
-    light = light.withColumn("n_dup_lines", F.size(lines) - F.size(F.array_distinct(lines)))
+    light = with_counts(rows.select("text"), windows=False)
     ordered = [r for r, _ in rejections_per_second(light, rules(), sample_rows)]
     counted = with_counts(rows).withColumn("base_failed", base_failed())
     kept = F.when(F.col("base_failed"), False).otherwise(first_rejection(ordered).isNull())

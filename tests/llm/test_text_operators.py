@@ -186,8 +186,7 @@ def test_fingerprints_estimate_containment(given, texts):
 def test_a_part_is_contained_in_the_whole(spark):
     whole = words(5000, 9)
     df = spark.createDataFrame([(whole, " ".join(whole.split()[1000:1400]))], "a string, b string")
-    df = fingerprints.with_sketch(fingerprints.with_sketch(df, "a", "sa"), "b", "sb")
-    assert df.select(fingerprints.likeness(df.sa, df.sb)).first()[0] > 0.95
+    assert df.select(fingerprints.likeness(fingerprints.sketch(df.a), fingerprints.sketch(df.b))).first()[0] > 0.95
 
 
 def test_empty_tables(spark):
