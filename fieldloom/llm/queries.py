@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact_bpe, fingerprints, packing, quality_rules, wavelet_ids
+from fieldloom.llm import exact_bpe, fingerprints, html_main, jaccard_join, licenses, packing, quality_rules, toxicity, url_filters, wavelet_ids
 from fieldloom.llm.common import read_table
 
 
@@ -15,15 +15,47 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The URL query's rules.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def held_out():
+    """Documents from which no label is learnt."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels.filter(~held_out())))
+    rows = scored.select("row.doc_id", "score", F.size("segments").alias("n_segments"))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet_ids.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return wavelet_ids.read_documents(shards)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -39,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op2_fingerprints, op5_token_files, op8_bpe, op9_packing, op10_quality_rules)
+    named = (op1_html_main_text, op2_fingerprints, op3_toxicity, op4_url_filters, op5_token_files, op6_jaccard_join, op7_licenses, op8_bpe, op9_packing, op10_quality_rules)
     return {f.__name__: f for f in named}
 
 
