@@ -45,7 +45,7 @@ def _all() -> dict[str, tuple[str, Callable[[DataFrame], DataFrame], str]]:
         "anonymize_audit": ("audit", lambda d: records.anonymize_audit(d, F.expr("TIMESTAMP '2024-06-01 00:00:00'")).withColumn("ip_address", F.substring("ip_address", 1, 5)), "SELECT id, CASE WHEN old THEN 'anon_' ELSE substr(ip_address, 1, 5) END AS ip_address, CASE WHEN old THEN '***' ELSE api_key_prefix END AS api_key_prefix, CASE WHEN NOT old THEN details END AS details, is_anonymized OR old AS is_anonymized FROM (SELECT *, NOT is_anonymized AND created_at < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 30 DAY AS old FROM audit)"),
         "document_scores": (f, scoring.document_scores, f"""
             SELECT *, CASE WHEN n_present = 0 THEN 'failed' WHEN review_required THEN 'review_required' WHEN n_missing > 0 THEN 'partial' ELSE 'success' END AS status FROM (
-            SELECT doc_id, round(round(sum(weight * CASE WHEN {PRESENT} THEN confidence ELSE 0.0 END) / sum(weight), 9), 4) AS global_confidence, round(round(avg(CASE WHEN {PRESENT} THEN confidence END), 9), 4) AS quality,
+            SELECT doc_id, CAST(round(CAST(sum(weight * CASE WHEN {PRESENT} THEN confidence ELSE 0.0 END) / sum(weight) AS DECIMAL(18,9)), 4) AS DOUBLE) AS global_confidence, CAST(round(CAST(avg(CASE WHEN {PRESENT} THEN confidence END) AS DECIMAL(18,9)), 4) AS DOUBLE) AS quality,
                    count(*) AS n_fields, count(*) FILTER {PRESENT} AS n_present, round(100.0 * count(*) FILTER {PRESENT} / count(*), 1) AS coverage_pct, count(*) FILTER ({PRESENT} AND validated) AS n_valid,
                    bool_or(review_required OR (critical AND confidence < 0.78)) AS review_required, count(*) FILTER (required AND NOT {PRESENT}) AS n_missing
             FROM field GROUP BY doc_id)"""),
