@@ -110,8 +110,10 @@ def blocked(rows: DataFrame, group: str) -> DataFrame:
     return rows.drop("blocks", "other", "size").repartition(group, "first", "second").sortWithinPartitions(group, "first", "second")
 
 
-def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Of pairs of places, those that connect what was not connected."""
+def forest(near: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
+    """Of near pairs that this pair of blocks decides, those that connect what is not connected by other pairs within its blocks, which
+    other tasks decide: so two blocks of one large group give an edge or two, not one per row."""
+    n = len(near)
     root = list(range(n))
 
     def top(i: int) -> int:
@@ -121,11 +123,13 @@ def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
         return i
 
     out = []
-    for i, j in pairs.tolist():
-        a, b = top(i), top(j)
-        if a != b:
-            root[a] = b
-            out.append((i, j))
+    for pairs, new in ((np.triu(near & ~may, 1), False), (near & may, True)):
+        for i, j in np.argwhere(pairs).tolist():
+            a, b = top(i), top(j)
+            if a != b:
+                root[a] = b
+                if new:
+                    out.append((i, j))
     return out
 
 
@@ -149,7 +153,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             values = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype="<u2").reshape(n, -1)
             may = meeting(group["own"].to_numpy(), group["first"][0].as_py(), group["second"][0].as_py())
             agree = np.stack([(values == v).mean(axis=1, dtype=np.float32) for v in values])
-            edges = forest(np.argwhere(may & (agree >= AGREE)), n)
+            edges = forest(agree >= AGREE, may)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in edges], pa.binary()), pa.array([keys[j] for _, j in edges], pa.binary())], ["u", "v"])
 
@@ -216,9 +220,9 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[
             may = meeting(group["own"].to_numpy(), group["first"][0].as_py(), group["second"][0].as_py())
             shared = shared_counts(found)
             sizes = np.array([len(x) for x in found])
-            near = may & (shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9)
-            links = near.sum(axis=0) + near.sum(axis=1)
-            edges = forest(np.argwhere(near), len(keys))
+            near = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+            links = (near & may).sum(axis=0) + (near & may).sum(axis=1)
+            edges = forest(near, may)
             k = [keys[i] for i in np.flatnonzero(links)]
             yield pa.RecordBatch.from_arrays([pa.array(k + [keys[i] for i, _ in edges], pa.binary()), pa.array([None] * len(k) + [keys[j] for _, j in edges], pa.binary()), pa.array(links[links > 0].tolist() + [0] * len(edges), pa.int64())], ["u", "v", "links"])
 
