@@ -102,12 +102,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rejections_per_second(counted: DataFrame, some: list[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float]]:
-    """Each rule with its rejections per second of its own time on a sample, best first."""
-    total = counted.count()
+def rejections_per_second(texts: DataFrame, some: list[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float]]:
+    """Each rule with its rejections per second of its own time on a sample of column ``text``, best first."""
+    total = texts.count()
     if not total:
         return [(r, 0.0) for r in some]
-    sample = staged(counted.filter(~base_failed()).sample(min(1.0, rows / total), seed=7), "rule-sample")
+    sample = with_counts(texts.select("text").sample(min(1.0, rows / total), seed=7), windows=False)
+    sample = staged(sample.filter(~base_failed()), "rule-sample")
 
     def timed(condition: Column) -> tuple[float, int]:
         begun = time.perf_counter()
@@ -133,8 +134,7 @@ def first_rejection(ordered: list[Rule]) -> Column:
 def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``, the counts, base_failed and kept."""
     rows = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
-    light = with_counts(rows.select("text"), windows=False)
-    ordered = [r for r, _ in rejections_per_second(light, rules(), sample_rows)]
+    ordered = [r for r, _ in rejections_per_second(rows, rules(), sample_rows)]
     counted = with_counts(rows).withColumn("base_failed", base_failed())
     kept = F.when(F.col("base_failed"), False).otherwise(first_rejection(ordered).isNull())
     return counted.withColumn("kept", kept).drop("text")
