@@ -1,7 +1,7 @@
 """Toxic passages as maximal-scoring segments of token log-odds.
 
 ``fit`` learns from a bounded, hash-chosen sample of labelled rows: each token's log-odds between toxic and clean rows under an
-informative Dirichlet prior (each token's prior count is a share of its count in all rows). Tokens with a clear and large effect score
+informative Dirichlet prior (each token's prior count is a share of its count in all rows; a row counts a token once). Tokens with a clear and large effect score
 their log-odds, all others the small negative log-odds of not being one of them. A linear scan finds every maximal segment of a
 document. A segment of score s in a document of n tokens is expected K n exp(-s) times by chance (extreme-value statistics; the
 scores are log-odds, so their scale is 1); K is set on clean rows. A document's evidence is the sum of -ln(expectation) over its
@@ -31,7 +31,8 @@ from fieldloom.llm.common import staged, text_of
 MAX_LABELLED = 20_000
 MAX_TERMS = 5_000
 PRIOR_SHARE = 0.02
-LEAST_Z = 3.0
+#: Chance that any token without effect is learnt, about.
+LEVEL = 0.01
 LEAST_LOG_ODDS = 1.0
 SIGNIFICANT = 0.05
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -121,9 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = staged(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
-    tokens = rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token"), "toxic").filter("token <> ''")
+    tokens = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("token"), "toxic").filter("token <> ''")
     by_token = tokens.groupBy("token").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0"))
-    sums = by_token.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0")).first()
+    sums = by_token.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.count("*").alias("v")).first()
     if not sums.n1 or not sums.n0:
         return Model()
     n1, n0 = float(sums.n1), float(sums.n0)
@@ -131,8 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     a = PRIOR_SHARE * (F.col("y1") + F.col("y0"))
     odds = lambda y, n: F.log((F.col(y) + a) / (n + prior - F.col(y) - a))
     effect = by_token.withColumn("delta", odds("y1", n1) - odds("y0", n0))
-    effect = effect.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
-    terms = effect.filter((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_LOG_ODDS)).orderBy(F.col("z").desc(), "token").limit(MAX_TERMS).collect()
+    # Likelihood ratio against equal rates, at a level for all tokens together: one row's odd words are not learnt.
+    excess = lambda y, n: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) * (n1 + n0) / ((F.col("y1") + F.col("y0")) * n))).otherwise(0.0)
+    effect = effect.withColumn("ratio", 2 * (excess("y1", n1) + excess("y0", n0)))
+    terms = effect.filter((F.col("ratio") >= 2 * math.log(sums.v / LEVEL)) & (F.col("delta") >= LEAST_LOG_ODDS)).orderBy(F.col("ratio").desc(), "token").limit(MAX_TERMS).collect()
     model = Model()
     if terms:
         model.terms = {r.token: float(r.delta) for r in terms}
