@@ -23,7 +23,7 @@ PATTERNS = {
 def first_match(text: Column, patterns: list[str], group: int = 1) -> tuple[Column, Column]:
     """The first pattern's match, and its confidence: 0.95 less 0.07 for each pattern before it, 0.5 at least."""
     found = [F.nullif(F.trim(F.regexp_extract(text, p, group)), F.lit("")) for p in patterns]
-    confidence = F.coalesce(*[F.when(m.isNotNull(), max(0.95 - 0.07 * i, 0.5)) for i, m in enumerate(found)])
+    confidence = F.coalesce(*[F.when(m.isNotNull(), round(max(0.95 - 0.07 * i, 0.5), 2)) for i, m in enumerate(found)])
     return F.coalesce(*found), confidence
 
 

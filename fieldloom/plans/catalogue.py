@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import invoices, records, scoring
+from fieldloom.operators import datasets, invoices, mrz, records, routing, scoring
 from fieldloom.plans.tables import plain, table
+from fieldloom.streaming import metrics
 
 NOW = "TIMESTAMP '1998-01-01 00:00:00'"
 SOURCE_BONUS = {"spatial": 3.0, "zone": 1.5}
@@ -127,7 +128,58 @@ def purge_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "is_purged", "result_path", F.col("purged_at").isNotNull().alias("stamped"))
 
 
+def mrz_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mrz.mrz_parse(table(spark, sf_dir, "mrz_text"), F.lit(2025))
+
+
+#: Check digits of ``mrz_text`` are rendered from the key, so some hold and most do not.
+_DIGIT = "(SELECT sum(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 WHEN c BETWEEN 'A' AND 'Z' THEN ascii(c) - 55 ELSE 0 END * CASE i % 3 WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 1 END) FROM (SELECT substr({0}, i + 1, 1) AS c, i FROM (SELECT unnest(range({1})) AS i))) % 10"
+_MRZ = f"""
+    SELECT doc_id, trim(translate(regexp_extract(substr(line1, 6), '^(.*?)<<', 1), '<', ' ')) AS surname, trim(translate(regexp_extract(substr(line1, 6), '<<(.*?)<*$', 1), '<', ' ')) AS given_names,
+           trim(translate(substr(line2, 1, 9), '<', ' ')) AS document_number, trim(translate(substr(line2, 11, 3), '<', ' ')) AS nationality,
+           CAST(CASE WHEN CAST(substr(line2, 14, 2) AS INT) > 25 THEN '19' ELSE '20' END || substr(line2, 14, 2) || '-' || substr(line2, 16, 2) || '-' || substr(line2, 18, 2) AS VARCHAR) AS birth_date,
+           '20' || substr(line2, 22, 2) || '-' || substr(line2, 24, 2) || '-' || substr(line2, 26, 2) AS expiry_date, nullif(substr(line2, 21, 1), '<') AS sex,
+           a = CAST(substr(line2, 10, 1) AS INT) AS document_number_ok, b = CAST(substr(line2, 20, 1) AS INT) AS birth_date_ok, c = CAST(substr(line2, 28, 1) AS INT) AS expiry_date_ok,
+           a = CAST(substr(line2, 10, 1) AS INT) AND b = CAST(substr(line2, 20, 1) AS INT) AND c = CAST(substr(line2, 28, 1) AS INT) AND d = CAST(substr(line2, 44, 1) AS INT) AS valid
+    FROM (SELECT *, {_DIGIT.format("substr(line2, 1, 9)", 9)} AS a, {_DIGIT.format("substr(line2, 14, 6)", 6)} AS b, {_DIGIT.format("substr(line2, 22, 6)", 6)} AS c,
+                 {_DIGIT.format("(substr(line2, 1, 10) || substr(line2, 14, 7) || substr(line2, 22, 22))", 39)} AS d FROM mrz_text)"""
+
+KEYWORDS = {"license": {"licensed": 2.0, "license": 1.0}, "contact": {"@": 2.0, "+1 (": 1.5}, "english": {" the ": 1.0, " and ": 1.0}, "french": {" le ": 1.0, " de ": 1.0}}
+
+
+def detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.detect_type(_documents(spark, sf_dir), KEYWORDS)
+
+
+def _keyword_sql() -> str:
+    sums = {k: " + ".join(f"CASE WHEN contains(t, '{w}') THEN {x} ELSE 0 END" for w, x in words.items()) for k, words in KEYWORDS.items()}
+    columns = ", ".join(f"CAST({v} AS DOUBLE) AS s{i}" for i, v in enumerate(sums.values()))
+    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(sums))) + ")"
+    kind = "CASE WHEN b = 0 THEN NULL " + " ".join(f"WHEN s{i} = b THEN '{k}'" for i, k in enumerate(sums)) + " END"
+    return f"SELECT doc_id, {kind} AS document_type, b AS score, least(b / 4, 1.0) AS confidence FROM (SELECT *, {best} AS b FROM (SELECT doc_id, {columns} FROM (SELECT doc_id, lower(text) AS t FROM documents)))"
+
+
+def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.label_index(_documents(spark, sf_dir), "lang")
+
+
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups on both sides of a split: none; with the sources' number."""
+    sides = datasets.group_split(_documents(spark, sf_dir), "source", 0.8).groupBy("source").agg(F.countDistinct("split").alias("sides"))
+    return sides.agg(F.count("*").alias("n_groups"), F.count_if(F.col("sides") > 1).alias("leaked"))
+
+
+def metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.metric_windows(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour")
+    return rows.select(F.date_format("begin", "yyyy-MM-dd HH:mm").alias("begin"), "event_type", "n", "per_second")
+
+
 _WITH_TABLES = {
+    "mrz_fields": (mrz_fields, ["mrz_text"], _MRZ),
+    "detect_type": (detect_type, [], _keyword_sql()),
+    "label_index": (label_index, [], "SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INT) AS index FROM (SELECT DISTINCT lang FROM documents)"),
+    "split_leakage": (split_leakage, [], "SELECT count(DISTINCT source) AS n_groups, CAST(0 AS BIGINT) AS leaked FROM documents"),
+    "metric_windows": (metric_windows, [], "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS begin, event_type, count(*) AS n, count(*) / 3600 AS per_second FROM events GROUP BY 1, 2"),
     "clean_text": (clean_text, [], r"""
         SELECT doc_id, md5(clean) AS clean_md5, CAST(length(clean) AS BIGINT) AS n_clean,
                CASE WHEN len(regexp_extract_all(clean, '[\x{0600}-\x{06FF}]+')) > len(regexp_extract_all(clean, '[A-Za-z]+')) THEN 'arabic' ELSE 'latin' END AS script

@@ -64,6 +64,11 @@ TABLES = {
         SELECT event_id AS id, concat('10.0.0.', CAST(user_id % 250 AS STRING)) AS ip_address, concat('key_', CAST(user_id AS STRING)) AS api_key_prefix,
                event_type, CAST(user_id % 20 AS STRING) AS organization_id, props AS details, event_id % 23 = 0 AS is_anonymized, ts AS created_at
         FROM {events}""",
+    "mrz_text": """
+        SELECT c_custkey AS doc_id, rpad(concat('P<UTO', upper(split_part(c_name, '#', 1)), '<<GIVEN<', CASE WHEN c_custkey % 2 = 0 THEN 'ANNA' ELSE 'LEE' END), 44, '<') AS line1,
+               concat(lpad(CAST(c_custkey AS STRING), 8, '0'), 'A', CAST(c_custkey % 10 AS STRING), 'UTO', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), '0715', CAST(c_custkey % 7 AS STRING),
+                      CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '<' END, lpad(CAST(26 + c_custkey % 50 AS STRING), 2, '0'), '1231', CAST(c_custkey % 9 AS STRING), 'ZE184226B<<<<<', '1', CAST(c_custkey % 10 AS STRING)) AS line2
+        FROM {customer}""",
     "invoice_text": """
         SELECT o_orderkey AS doc_id,
                concat('FACTURE N° INV-', CAST(o_orderkey AS STRING), chr(10), 'Date: ', CAST(EXTRACT(DAY FROM o_orderdate) AS STRING), '/', CAST(EXTRACT(MONTH FROM o_orderdate) AS STRING), '/', CAST(EXTRACT(YEAR FROM o_orderdate) AS STRING),
