@@ -18,3 +18,58 @@ def detect_type(doc: DataFrame, keywords: dict[str, dict[str, float]], full_scor
     best = doc.select("doc_id", low.alias("_low")).select("doc_id", F.array_max(F.array(*scores)).alias("best"))
     found = F.col("best.score") > 0
     return best.select("doc_id", F.when(found, F.col("best.kind")).alias("document_type"), F.col("best.score").alias("score"), F.least(F.col("best.score") / full_score, F.lit(1.0)).alias("confidence"))
+
+
+def classify_family(doc: DataFrame, keywords: dict[str, list[str]], floor: float = 0.20) -> DataFrame:
+    """Share of hits among a family's words, of which five are enough; below the floor unknown. The first family wins ties."""
+    low = doc.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+    scores = []
+    for kind, words in keywords.items():
+        hits = sum((F.col("_low").contains(w).cast("int") for w in words), F.lit(0))
+        scores.append(F.struct(F.least(hits / min(len(words), 5), F.lit(1.0)).alias("score"), F.lit(-len(scores)).alias("order"), F.lit(kind).alias("kind")))
+    best = low.select("doc_id", F.array_max(F.array(*scores)).alias("b"))
+    known = F.col("b.score") >= floor
+    return best.select("doc_id", F.when(known, F.col("b.kind")).otherwise("unknown").alias("family"), F.round(F.when(known, F.col("b.score")).otherwise(0.0), 4).alias("confidence"))
+
+
+def classify_variant(doc: DataFrame, variants: dict[str, tuple[list[str], list[str], float]], generic: str) -> DataFrame:
+    """Variants: name to required words, bonus words, least score. 0.5 where all required are there, and 0.4 of the bonus share."""
+    low = doc.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+    scores = []
+    for name, (required, bonus, least) in variants.items():
+        all_there = F.lit(True)
+        for w in required:
+            all_there = all_there & F.col("_low").contains(w.lower())
+        share = sum((F.col("_low").contains(w.lower()).cast("int") for w in bonus), F.lit(0)) / max(len(bonus), 1)
+        score = F.round(0.5 + 0.4 * share, 3)
+        scores.append(F.when(all_there & (score >= least), F.struct(score.alias("score"), F.lit(-len(scores)).alias("order"), F.lit(name).alias("name"))))
+    best = low.select("doc_id", F.array_max(F.array(*scores)).alias("b"))
+    return best.select("doc_id", F.coalesce("b.name", F.lit(generic)).alias("variant"), F.coalesce("b.score", F.lit(0.0)).alias("confidence"))
+
+
+def auto_template(doc: DataFrame, anchors: dict[str, tuple[list[str], list[str]]], least: int = 3) -> DataFrame:
+    """Templates: id to anchors (3 each) and field anchors (1 each); none below ``least``. The first template wins ties."""
+    low = doc.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+    scores = []
+    for name, (strong, weak) in anchors.items():
+        score = sum((F.when(F.col("_low").contains(w.lower()), k).otherwise(0) for k, words in ((3, strong), (1, weak)) for w in words), F.lit(0))
+        scores.append(F.struct(score.alias("score"), F.lit(-len(scores)).alias("order"), F.lit(name).alias("name")))
+    best = low.select("doc_id", F.array_max(F.array(*scores)).alias("b"))
+    return best.select("doc_id", F.when(F.col("b.score") >= least, F.col("b.name")).alias("template_id"), F.col("b.score").cast("bigint").alias("score"))
+
+
+def route(doc: DataFrame, by_type: dict[str, str]) -> DataFrame:
+    """The explicit template, else the type's, else the classifier's, with the method that decided."""
+    mapped = F.lit(None).cast("string")
+    for kind, template in by_type.items():
+        mapped = F.when(F.col("document_type") == kind, template).otherwise(mapped)
+    given, guess = F.col("given_template"), F.col("guessed_template")
+    method = F.when(given.isNotNull(), "explicit").when(mapped.isNotNull(), "type").when(guess.isNotNull(), "classifier").otherwise("none")
+    return doc.select("doc_id", F.coalesce(given, mapped, guess).alias("template_id"), method.alias("method"))
+
+
+def needs_second_pass(field: DataFrame, thresholds: dict[str, float], default: float) -> DataFrame:
+    limit = F.lit(default)
+    for name, t in thresholds.items():
+        limit = F.when(F.col("name") == name, t).otherwise(limit)
+    return field.filter(F.coalesce("confidence", F.lit(0.0)) < limit)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import text
 from fieldloom.operators import datasets, invoices, mrz, records, routing, scoring
+from fieldloom.plans.field_queries import QUERIES
 from fieldloom.plans.tables import plain, table
 from fieldloom.streaming import metrics
 
@@ -193,11 +194,16 @@ _WITH_TABLES = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda spark, sf_dir, t=t, op=op: op(table(spark, sf_dir, t))) for name, (t, op, _) in _all().items()}
-    return found | {name: f for name, (f, _, _) in _WITH_TABLES.items()}
+    return found | {name: f for name, (f, _, _) in (_WITH_TABLES | QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: f"WITH {t} AS ({plain(t)}) {sql}" for name, (t, _, sql) in _all().items()}
     for name, (_, used, sql) in _WITH_TABLES.items():
         found[name] = ("WITH " + ", ".join(f"{t} AS ({plain(t)})" for t in used) + " " if used else "") + sql
+    for name, (_, used, sql) in QUERIES.items():
+        if sql is not None:
+            ctes = [f"{t} AS ({plain(t)})" for t in used]
+            starts = sql.lstrip().upper().startswith("SELECT")
+            found[name] = ("WITH " + ", ".join(ctes) + (" " if starts else ", ") if ctes else "") + sql
     return found

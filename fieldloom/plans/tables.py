@@ -75,6 +75,37 @@ TABLES = {
                       chr(10), 'Client: Customer ', CAST(o_custkey AS STRING), chr(10), 'Total HT: ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ',500', chr(10), 'TVA 19%: ', CAST(CAST(floor(o_totalprice * 0.19) AS BIGINT) AS STRING), ',000',
                       chr(10), 'Total TTC: ', CAST(CAST(floor(o_totalprice) + floor(o_totalprice * 0.19) + o_orderkey % 3 AS BIGINT) AS STRING), ',500 DT') AS raw_text
         FROM {orders}""",
+    "identity_text": """
+        SELECT c_custkey AS doc_id,
+               concat('REPUBLIQUE', chr(10), 'Nom: ', upper(split_part(c_name, '#', 1)), chr(10), 'Naissance', chr(10), chr(10), lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0'), '.', lpad(CAST(1 + c_custkey % 12 AS STRING), 2, '0'), '.', CAST(1950 + c_custkey % 50 AS STRING),
+                      chr(10), lpad(CAST(c_custkey AS STRING), 8, '0'), ' : Numero', chr(10), 'CIN_PLACE: ', c_mktsegment, chr(10), CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('Sexe = ', CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'X' END) END) AS raw_text
+        FROM {customer}""",
+    "box": """
+        SELECT l_orderkey AS doc_id, l_linenumber AS idx, CASE WHEN l_linenumber = 1 THEN 'Nom' WHEN l_partkey % 4 = 0 THEN lpad(CAST(l_partkey AS STRING), 8, '0') ELSE concat('w', CAST(l_partkey AS STRING)) END AS text,
+               CAST(l_linenumber % 3 * 100 + l_partkey % 40 AS DOUBLE) AS x1, CAST(floor(l_linenumber / 3) * 30 + l_suppkey % 7 AS DOUBLE) AS y1,
+               CAST(l_linenumber % 3 * 100 + l_partkey % 40 + 20 + l_partkey % 30 AS DOUBLE) AS x2, CAST(floor(l_linenumber / 3) * 30 + l_suppkey % 7 + 12 + l_partkey % 5 AS DOUBLE) AS y2,
+               CAST(l_partkey % 101 AS DOUBLE) / 100 AS confidence
+        FROM {lineitem}""",
+    "region": """
+        SELECT concat('img-', CAST(l_orderkey AS STRING)) AS filename, concat('class-', CAST(l_orderkey % 6 AS STRING)) AS class_name, concat('group-', CAST(l_orderkey % 97 AS STRING)) AS group_id,
+               CASE l_linenumber % 5 WHEN 0 THEN 'photo' WHEN 1 THEN 'birth_date' WHEN 2 THEN 'doc_number' WHEN 3 THEN 'gender' ELSE 'surname' END AS field_name,
+               CAST(1000 AS INT) AS width, CAST(500 AS INT) AS height, CAST(l_partkey % 400 AS DOUBLE) AS x, CAST(l_suppkey % 200 AS DOUBLE) AS y,
+               CAST(l_partkey % 90 AS DOUBLE) AS w, CAST(10 + l_suppkey % 30 AS DOUBLE) AS h
+        FROM {lineitem}""",
+    "detail": """
+        SELECT l_orderkey * 8 + l_linenumber AS detail_id, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_orderkey AS STRING) END AS history_id, CASE WHEN l_linenumber % 3 = 0 THEN concat('job-', CAST(l_orderkey AS STRING)) END AS job_id,
+               l_shipdate AS detail_at, l_returnflag AS note
+        FROM {lineitem}""",
+    "template": """
+        SELECT concat('tpl-', CAST(p_partkey AS STRING)) AS id, p_name AS name, p_brand AS document_type, p_partkey % 4 <> 0 AS is_active FROM {part}""",
+    "account": """
+        SELECT CAST(c_custkey AS STRING) AS id, CASE c_custkey % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'operator' ELSE 'simple_user' END AS role, c_custkey % 5 <> 0 AS is_active FROM {customer}""",
+    "job_event": """
+        SELECT event_id, user_id AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS state FROM {events}""",
+    "listed_file": """
+        SELECT concat('/in/', p_brand, '/', 'v', CAST(p_partkey % 3 AS STRING), '/', CAST(p_partkey AS STRING), CASE p_partkey % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '.exe' ELSE '.jpg' END) AS path,
+               CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey * 99991 % 30000000 END AS BIGINT) AS length
+        FROM {part}""",
 }
 
 
