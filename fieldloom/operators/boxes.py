@@ -64,10 +64,10 @@ def label_values(box: DataFrame, label: str, reach: float = 400.0) -> DataFrame:
 
 
 def id_from_boxes(box: DataFrame, digits: int = 8) -> DataFrame:
-    """The surest run of that many digits; equal ones go by box number."""
+    """The surest run of that many digits; equal ones go by box number, then the larger number."""
     number = F.regexp_extract(F.regexp_replace("text", r"\s", ""), rf"(?<!\d)(\d{{{digits}}})(?!\d)", 1)
     rows = box.withColumn("number", number).filter("number <> ''")
-    return rows.groupBy("doc_id").agg(F.max_by("number", F.struct("confidence", -F.col("idx"))).alias("number"))
+    return rows.groupBy("doc_id").agg(F.max_by("number", F.struct("confidence", -F.col("idx"), "number")).alias("number"))
 
 
 def boxes_in_zone(box: DataFrame, zones: dict[str, tuple[float, float, float, float]], width: float, height: float) -> DataFrame:

@@ -187,7 +187,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
         s AS (SELECT *, CASE WHEN beside THEN 12.0 WHEN under THEN 8.5 END - 0.02 * far AS score FROM d WHERE far <= 400),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx, l_idx) AS r FROM s WHERE score IS NOT NULL)
         SELECT doc_id, text AS value, round(score, 4) AS score FROM k WHERE r = 1"""),
-    "id_from_boxes": (_table("box", boxes.id_from_boxes), ["box"], "SELECT doc_id, arg_max(text, confidence * 1000 - idx) AS number FROM box WHERE regexp_full_match(text, '[0-9]{8}') GROUP BY doc_id"),
+    "id_from_boxes": (_table("box", boxes.id_from_boxes), ["box"], "SELECT doc_id, arg_max(text, (confidence, -idx, text)) AS number FROM box WHERE regexp_full_match(text, '[0-9]{8}') GROUP BY doc_id"),
     "zone_texts": (_table("box", lambda d: boxes.zone_text(boxes.boxes_in_zone(d, {"head": (0, 0, 1, 0.2), "left": (0, 0.2, 0.4, 1)}, 400, 150))), ["box"], f"{_LINES} SELECT doc_id, zone, string_agg(text, ' ' ORDER BY cy, x1, idx, text) AS text FROM (SELECT *, CASE WHEN cx / 400 BETWEEN 0 AND 1 AND cy / 150 BETWEEN 0 AND 0.2 THEN 'head' WHEN cx / 400 BETWEEN 0 AND 0.4 AND cy / 150 BETWEEN 0.2 AND 1 THEN 'left' END AS zone FROM g) WHERE zone IS NOT NULL GROUP BY 1, 2"),
     "document_box": (_table("box", lambda d: boxes.document_box(d, 0.55, 400, 150)), ["box"], f"{_DOC_BOX} SELECT * FROM p"),
     "detection_manifest": (_detection, ["box"], f"{_DOC_BOX} SELECT doc_id, printf('0 %.6f %.6f %.6f %.6f', CAST(round(CAST((x1 + x2) / 2 / 400 AS DECIMAL(18,9)), 6) AS DOUBLE), CAST(round(CAST((y1 + y2) / 2 / 150 AS DECIMAL(18,9)), 6) AS DOUBLE), CAST(round(CAST((x2 - x1) / 400 AS DECIMAL(18,9)), 6) AS DOUBLE), CAST(round(CAST((y2 - y1) / 150 AS DECIMAL(18,9)), 6) AS DOUBLE)) AS line, CASE WHEN doc_id % 3 = 0 THEN 'labelled' ELSE 'found' END AS label_source FROM p"),
