@@ -1,12 +1,13 @@
 """Threshold-scaled sketches of documents, in DataFrame functions only.
 
-A sketch holds every hash of a five-word shingle that lies below a fixed fraction of the hash range, and the least hash of all, so
-that no text with words has an empty one. Sketches of a text's parts merge by union, and as the same hashes are kept everywhere, the
-share of the smaller sketch that the larger one holds estimates containment between texts of very unequal length.
+A sketch holds every hash of a five-word shingle that lies below a fixed fraction of the hash range, and of a text of at most SHORT
+shingles also those above it. Below the fraction the same hashes are kept everywhere, so the sketches of a text's parts, cut there, merge
+by union, and the share of the smaller sketch that the larger one holds estimates containment between texts of very unequal length.
+Two sketches are compared in full where both hold hashes above the fraction, so texts of few shingles exactly, else only below it.
 
 Words are runs of letters and digits in lower case; a text of one to four words is one shingle. Defined results: null text is empty;
-an empty text has an empty sketch, which is like (1.0) another empty one and unlike (0.0) any other; repeated rows have equal
-fingerprints; an empty table gives an empty table; other columns are ignored.
+an empty text has an empty sketch, which is like (1.0) another empty one and unlike (0.0) any other; where the
+smaller text has no hash in the range compared, nothing is known and the likeness is null; repeated rows have equal fingerprints; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import let, text_of
 
 SHINGLE = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 2
+#: Texts of so many distinct shingles at most keep all their hashes.
+SHORT = 150
 LEAST = -(1 << 63)
 
 
@@ -33,21 +36,29 @@ def shingles(hashes: Column, k: int = SHINGLE) -> Column:
     return F.when(n >= k, runs).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
-def sketch(text: Column, fraction: float = FRACTION) -> Column:
-    below = F.lit(LEAST + int(fraction * (1 << 64)))
+def limit(fraction: float) -> Column:
+    return F.lit(LEAST + int(fraction * (1 << 64)))
+
 
+def sketch(text: Column, fraction: float = FRACTION) -> Column:
     def kept(all_: Column) -> Column:
-        low = F.filter(all_, lambda h: h < below)
-        return F.sort_array(F.array_distinct(F.when(F.size(all_) > 0, F.concat(low, F.array(F.array_min(all_)))).otherwise(low)))
+        return F.sort_array(F.when(F.size(all_) <= SHORT, all_).otherwise(F.filter(all_, lambda h: h < limit(fraction))))
+
+    return let(word_hashes(text), lambda h: let(F.array_distinct(shingles(h)), kept))
+
 
-    return let(word_hashes(text), lambda h: let(shingles(h), kept))
+def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated containment of the smaller in the larger: 0 to 1; null where the smaller has no hash in the range that both keep."""
+    whole = (F.array_max(a) >= limit(fraction)) & (F.array_max(b) >= limit(fraction))
+    low = lambda x: F.filter(x, lambda h: h < limit(fraction))
 
+    def share(s: Column) -> Column:
+        least = F.least(F.size(s["a"]), F.size(s["b"]))
+        return F.when(least > 0, F.size(F.array_intersect(s["a"], s["b"])) / least).cast("double")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated containment of the smaller in the larger: 0 to 1."""
-    least = F.least(F.size(a), F.size(b))
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(least > 0, shared / least).when(F.size(a) == F.size(b), 1.0).otherwise(0.0).cast("double")
+    compared = let(F.when(whole, F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(low(a).alias("a"), low(b).alias("b"))), share)
+    empty = F.least(F.size(a), F.size(b)) == 0
+    return F.when(empty, F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(compared)
 
 
 def fingerprint(sketched: Column) -> Column:
@@ -104,6 +115,6 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFram
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), fraction).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch"), fraction).alias("near_next"),
     )

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldloom.llm import exact_bpe, fingerprints, packing, quality_rules, wavelet_ids
@@ -189,6 +190,27 @@ def test_a_part_is_contained_in_the_whole(spark):
     assert df.select(fingerprints.likeness(fingerprints.sketch(df.a), fingerprints.sketch(df.b))).first()[0] > 0.95
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Edited texts of 5 to 150 shingles, short passages of a long text, and parts that make up a whole."""
+    like = fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))
+    pairs = []
+    for n in range(5, 151):
+        a = words(n + 4, n).split()
+        pairs.append((" ".join(a), " ".join(a[: len(a) - n // 3] + words(n // 3, 1000 + n).split())))
+    for r in spark.createDataFrame(pairs, "a string, b string").withColumn("like", like).collect():
+        a, b = shingles_of(r.a), shingles_of(r.b)
+        assert abs(r.like - len(a & b) / min(len(a), len(b))) < 1e-9
+    whole = words(5000, 9).split()
+    inside = [(" ".join(whole), " ".join(whole[i : i + n])) for n in (1, 5, 10, 20) for i in range(0, 4900, 50)]
+    got = spark.createDataFrame(inside[98:], "a string, b string").withColumn("like", like).collect()
+    assert all(r.like in (1.0, None) for r in got)
+    for n, most in ((5, 65), (10, 8), (20, 0)):
+        assert sum(r.like is None for r in got if len(r.b.split()) == n) <= most
+    parts = spark.createDataFrame([(" ".join(whole), " ".join(whole[:2000]), " ".join(whole[1996:]))], "a string, b string, c string")
+    whole_, *part = parts.select(*[fingerprints.sketch(F.col(c)) for c in "abc"]).first()
+    assert set(whole_) == set(part[0]) | set(part[1])
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert wavelet_ids.read_documents(wavelet_ids.write_shards(none, BYTES)).count() == 0
