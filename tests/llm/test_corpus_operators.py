@@ -152,6 +152,38 @@ def test_license_with_changes(spark):
     assert licenses.scan_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("notice", "license"),
+    [
+        ("Released under the BSD License.", "bsd-notice"),
+        ("Released under the X License.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0"),
+        ("This work is licensed under the GNU General Public License v3.0.", "gpl-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"),
+        ("This work is licensed under the GNU General Public License, version 1.", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Licensed under the Apache License 2.0.", "apache-2.0"),
+        ("Licensed under CC BY 3.0.", "cc-by-3.0"),
+        ("Licensed under CC BY 1.0.", None),
+        ("Licensed under CC BY-ND 4.0.", "cc-by-nd-4.0"),
+        ("Licensed under CC BY-XX 4.0.", None),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"),
+        (licenses.TEMPLATES["gpl-header"].replace("version 3", "version 2"), "gpl-2.0-header"),
+        (licenses.TEMPLATES["gpl-header"].replace("version 3", "version 1"), None),
+        (licenses.TEMPLATES["mpl-2.0"].replace("v. 2.0", "v. 1.1"), None),
+    ],
+)
+def test_license_near_misses(notice, license):
+    found = licenses.Scanner(licenses.TEMPLATES).scan(f"{words(50, 1)}\n{notice}\n{words(50, 2)}")
+    assert [s[0] for s in found] == ([license] if license else [])
+
+
+def test_license_deciding_phrases_are_in_their_templates():
+    assert set(licenses.DECIDING) == set(licenses.TEMPLATES)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert all(found for phrases in scanner.phrases.values() for found in phrases)
+
+
 def test_alignment_increases():
     pairs = licenses.align("a b c x d e f".split(), "a c b y d e g f".split())
     assert pairs == sorted(pairs) and all(a[1] < b[1] for a, b in zip(pairs, pairs[1:])) and len(pairs) >= 5
