@@ -6,9 +6,10 @@ Each stage takes (spark, docs, sf_dir) and keeps the columns of documents, but f
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldloom.llm import jaccard_join, packing, quality_rules, toxicity
-from fieldloom.llm.common import read_table, staged
+from fieldloom.llm.common import read_table, staged, text_of
 from fieldloom.llm.queries import held_out, tokenizer_path
 
 
@@ -22,11 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document of the least doc_id stays, once; documents without a doc_id stay."""
-    classes = jaccard_join.near_duplicates(docs)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """Of each near-duplicate class one row stays: of its least doc_id, null last, and then of the least text key. Where rows are equal in
+    both, they differ in other columns only, and any one stays."""
+    _, known = jaccard_join.text_classes(docs)
+    kept = known.filter("key = class_key").select(F.col("key").alias("_key"), F.col("text_id").alias("_text_id"))
+    keyed = docs.withColumn("_own", jaccard_join.key_of(text_of()))
+    named = keyed.join(kept, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_text_id")), "left_semi")
+    return named.dropDuplicates(["_own"]).select(docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

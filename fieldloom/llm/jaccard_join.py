@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import rows_by_key, staged, text_of
@@ -48,6 +48,11 @@ def text_key(text: str) -> bytes:
     return hashlib.md5(text.encode()).digest()
 
 
+def key_of(text: Column) -> Column:
+    """``text_key`` as a column."""
+    return F.unhex(F.md5(text))
+
+
 def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
     """Distinct 64-bit hashes of the text's shingles, sorted."""
     words = _WORD.findall(text.lower())
@@ -231,9 +236,9 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[
     return links, found.filter("v is not null").select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (least doc_id of the near-duplicate class), text_id (least doc_id of the equal texts), n_links (different texts at or
-    above the threshold), copies (rows of this text)."""
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """doc_id and key of each row; and for each key text_id, copies, class_id, n_links and class_key: the text that stands for the class,
+    which is that of the least doc_id, null last, and then the least key."""
     rows = staged(signed(docs, recall), "signatures")
     equal = staged(rows.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")), "equal-texts")
     of_text = rows.join(equal.select("key", F.col("text_id").alias("doc_id")), ["key", "doc_id"])
@@ -245,7 +250,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links, edges = verified(docs, candidates, threshold)
     groups = components(edges, "links")
     named = groups.join(equal.select("key", "text_id"), "key")
-    least = named.groupBy("component").agg(F.min("text_id").alias("class_id"))
-    found = staged(groups.join(least, "component").join(links, "key", "left").select("key", "class_id", "n_links"), "groups")
-    known = staged(equal.join(found, "key", "left").select("key", "text_id", "copies", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-classes")
+    first = F.min(F.struct(F.col("text_id").isNull(), "text_id", "key"))["key"]
+    least = named.groupBy("component").agg(F.min("text_id").alias("class_id"), first.alias("class_key"))
+    found = staged(groups.join(least, "component").join(links, "key", "left").select("key", "class_id", "class_key", "n_links"), "groups")
+    of_class = [F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    return rows, staged(equal.join(found, "key", "left").select("key", "text_id", "copies", *of_class), "text-classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (least doc_id of the near-duplicate class), text_id (least doc_id of the equal texts), n_links (different texts at or
+    above the threshold), copies (rows of this text)."""
+    rows, known = text_classes(docs, threshold, recall)
     return rows.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "text_id", "n_links", "copies")

@@ -1,14 +1,15 @@
 """HTML, toxicity, URL filters, Jaccard join, licenses and the pipeline against brute force and planted cases."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fieldloom.llm import html_main, jaccard_join, licenses, toxicity, url_filters
-from fieldloom.llm.queries import URL_RULES, held_out
+from fieldloom.llm import html_main, jaccard_join, licenses, quality_rules, toxicity, url_filters
+from fieldloom.llm.queries import URL_RULES, held_out, tokenizer_path
 
 from .cases import documents, empty, words
 
@@ -204,3 +205,46 @@ def test_pipeline_keeps_and_drops(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     assert packed.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
     assert 3 < len(corpus_pipeline.STAGES) < 6
+
+
+def kept_of(rows):
+    """The rows (doc_id, text) that stay by brute force: one of each near-duplicate class, of the least doc_id, null last, then text key."""
+    texts = list(dict.fromkeys(t for _, t in rows))
+    _, near = brute_links(texts)
+    out, seen = set(), set()
+    for t in texts:
+        if t not in seen:
+            group, todo = {t}, [t]
+            while todo:
+                new = near[todo.pop()] - group
+                group |= new
+                todo += new
+            seen |= group
+            out.add(min(((d, x) for d, x in rows if x in group), key=lambda r: (r[0] is None, r[0] or 0, jaccard_join.text_key(r[1]))))
+    return out
+
+
+def test_pipeline_is_the_plain_stages(spark, sf_dir, tmp_path):
+    """run() against plain Python: kept documents and their pieces, with null and repeated doc_ids among them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = [r.text for r in quality_rules.judge(docs).filter("kept").select("row.text").limit(12).collect()]
+    odd = [(None, good[0]), (None, good[0]), (None, good[1] + " end"), (900001, good[2] + " other words " * 90), (900001, good[3] + " more of it " * 90)]
+    odd += [(None, good[4] + " new line here " * 90)] * 2
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    clean = quality_rules.judge(docs).filter("kept").select("row.*")
+    model = toxicity.fit(clean, labels.filter(~held_out()))
+    rows = [(r.doc_id, r.text or "") for r in clean.select("doc_id", "text").collect()]
+    assert {d for d, _ in odd} <= {d for d, _ in rows}
+    want = kept_of([(d, t) for d, t in rows if toxicity.probability(toxicity.evidence(t, model)[0], model) < 0.5])
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    held = Counter()
+    for r in pieces:
+        held[r.doc_id] += r["length"]
+    sizes = Counter()
+    for d, t in want:
+        sizes[d] += len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert held == sizes
