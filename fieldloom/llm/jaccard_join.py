@@ -204,6 +204,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def own_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """text, key, component and size of each candidate, from rows with both its doc_id and its text."""
+    named = docs.select("doc_id", text_of().alias("text")).withColumn("_own", key_of(F.col("text")))
+    wanted = candidates.withColumnRenamed("doc_id", "_doc_id")
+    return named.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_own") == F.col("key"))).select("text", "key", "component", "size")
+
+
 def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links per key, and the edges that connect, of all pairs of candidates at or above the threshold.
 
@@ -211,12 +218,10 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_key(t) for t in batch.column(1).to_pylist()]
-            hashes = [shingle_hashes(t).tobytes() if key == own else None for t, key, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(hashes, pa.binary())], ["key", "component", "size", "hashes"])
+            hashes = [shingle_hashes(t).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(hashes, pa.binary())], ["key", "component", "size", "hashes"])
 
-    rows = docs.select("doc_id", text_of().alias("text")).join(candidates.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("doc_id", "text", "key", "component", "size")
-    sets = rows.mapInArrow(texts, "key binary, component binary, size long, hashes binary").filter("hashes is not null").dropDuplicates(["key"])
+    sets = own_texts(docs, candidates).mapInArrow(texts, "key binary, component binary, size long, hashes binary").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in rows_by_key(batches, ["component", "first", "second"]):

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -131,6 +132,14 @@ def test_jaccard_links_are_exact(spark, sf_dir):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_candidates_meet_only_their_own_texts(spark):
+    """Null and repeated doc_ids: a row for each candidate, not one for each pair, before the texts are read."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, words(30, i)) for i in range(200)], "doc_id long, text string")
+    candidates = docs.select("doc_id", jaccard_join.key_of(docs.text).alias("key"), F.lit(b"c").alias("component"), F.lit(200).cast("long").alias("size"))
+    rows = jaccard_join.own_texts(docs, candidates).collect()
+    assert len(rows) == 200 and all(jaccard_join.text_key(r.text) == bytes(r.key) for r in rows)
+
+
 def test_prefixes_are_shortened_to_the_recall():
     assert [jaccard_join.depth_for(r) for r in (0.5, 0.998, 0.99999)] == [8, 5, 3]
     assert 1 - (1 - 0.8**5) ** jaccard_join.TREES >= jaccard_join.RECALL
