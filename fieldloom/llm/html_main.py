@@ -163,12 +163,22 @@ def best(found: list[tuple[float, Node]]) -> tuple[float, Node]:
     return max(found, key=lambda x: x[0])
 
 
+def within(node: Node, outer: Node) -> bool:
+    while node is not None and node is not outer:
+        node = node.parent
+    return node is outer
+
+
 def extract(page: str, path: str | None) -> str:
     found = containers(parse(page))
     own = best(found)
-    at_path = [x for x in found if x[1].path == path]
-    chosen = best(at_path) if at_path else own
-    return text_in(chosen[1] if chosen[1].text >= SHARE * own[1].text else own[1])
+    held: list[Node] = []
+    for score, node in found:
+        if node.path == path and score > 0 and not any(within(node, n) for n in held):
+            held.append(node)
+    if not held or sum(n.text for n in held) < SHARE * own[1].text:
+        held = [own[1]]
+    return " ".join(filter(None, map(text_in, held)))
 
 
 def host_of(url):

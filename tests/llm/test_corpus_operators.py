@@ -36,6 +36,12 @@ def test_html_hosts_agree_on_a_path(spark):
     assert next(r.text for r in html_main.main_text(pages).collect() if r.page_id == 9) == words(40, 9)
 
 
+def test_html_article_in_sibling_containers():
+    page = f'<body><div class="content"><p>{words(60, 1)}</p></div><div class="rail"><p>{words(9, 3)}</p></div><div class="content"><p>{words(60, 2)}</p></div></body>'
+    path = html_main.best(html_main.containers(html_main.parse(page)))[1].path
+    assert html_main.extract(page, path) == f"{words(60, 1)} {words(60, 2)}"
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(3)
     for _ in range(200):
