@@ -1,19 +1,26 @@
 """Jaccard join of documents on five-word shingles by a MinHash LSH forest, with exact verification.
 
-1. Each document gets the key of its text, its MinHash signature and, per tree, a prefix of it. Equal texts are one class; the row of
-   the least doc_id stands for it.
-2. A tree is the sorted trie of its prefixes. Matched prefixes are shortened from full depth until the recall that depth and number of
-   trees give at the threshold reaches the target; classes with an equal prefix of that depth meet. Meeting groups are cut into blocks by
-   hash and block meets block, so a large group is many tasks' work. Two classes are joined if their signatures agree well below the
-   threshold; a block keeps only the edges that connect (a spanning forest), never all pairs.
-3. Connected classes are candidates; their whole texts are read again and, block against block, every pair's Jaccard similarity is computed
-   exactly from the sets of shingles, by products of membership matrices. Per class the links are counted, and connecting edges kept.
+1. Each document gets the key of its text and its MinHash signature: TREES runs of DEPTH values. Equal texts are one class; the row of the
+   least doc_id stands for it.
+2. A tree is the trie of its runs; a node is a prefix, its members the classes that share it. Entries whose shortest allowed prefix is
+   shared are cut out of all trees by one shuffle, and from full depth up prefixes are shortened level by level. In each node that joins
+   more than one deeper node, members are compared with leaders: a member whose signature differs from a leader's in at most CAPTURE of
+   its values is captured, is compared no more and leaves the tries, so a group of near copies shrinks to few leaders where its prefix is
+   longest. Members within EDGE are joined by an edge (a spanning forest for each node). By the triangle inequality, two members of a node
+   that differ in at most EDGE - CAPTURE meet through a leader. Shortening ends when a pair as unlike as the least like one found so
+   far is missed by all trees with a chance of at most 1 - RECALL, at the latest where that holds for a pair at the threshold.
+3. Connected classes are candidates, whose whole texts are read again. A component's centre is the set of shingles that most of a sample of
+   its members have. With |S| shingles, of a text let a be those of the centre that it lacks, b those that it has beside it, and D both.
+   For a threshold p / q two texts are linked exactly if (q - p) |centre| + (p + q) |D1 and D2 shared| >= cost1 + cost2, where cost is
+   q a + p b. Pairs for which this holds without any shared D are counted by a cumulated histogram of costs, so near copies of one
+   text cost time in proportion to their number; only texts whose cost leaves a pair open are compared, block against block, and there
+   only by their D. Any centre gives the same links; a poor one leaves more pairs open.
 4. Components of true links are the near-duplicate classes.
 
 Words are runs of letters and digits in lower case; a text of one to four words is one shingle; texts without words are like one
 another only if equal. Defined results: null text is empty; equal texts are one class, however many copies; links are counted between
 different texts; repeated rows each keep a row; null doc_ids stand for a class only if all its doc_ids are null, and then the class id is
-null; an empty table gives an empty table; other columns are ignored.
+null; an empty table gives an empty table; other columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -21,11 +28,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import rows_by_key, staged, text_of
@@ -34,10 +43,15 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 RECALL = 0.998
-#: Classes in a block of a group, about.
-BLOCK = 64
-#: Signatures that agree in a smaller share are not candidates: at a similarity of 0.8, 160 values agree so little less than once in 1e12.
-AGREE = 0.55
+#: Members of a node, or of a component's open rest, that one task compares at a time, about.
+BLOCK = 256
+#: Bytes of hashes that a block holds, about.
+BLOCK_BYTES = 16 << 20
+#: Shares of a signature's values in which two may differ: to be joined as candidates, and to be captured by a leader. A pair at a similarity
+#: of 0.8 differs in EDGE - CAPTURE or more about once in a million.
+EDGE, CAPTURE = 0.45, 0.1
+#: Members of a component that vote for its centre, about.
+VOTERS = 64
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLY = np.random.default_rng(5).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(6).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -83,86 +97,181 @@ def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, d
     return depth
 
 
-def signed(docs: DataFrame, recall: float) -> DataFrame:
-    """doc_id, key, signature (16 bits of each value), prefixes (a 64-bit key per tree; none without words)."""
-    depth = depth_for(recall)
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, signature (the low bytes of all values, then their second bytes; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, signatures, prefixes = [], [], []
+            keys, signatures = [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text)
-                values = signature(hashes)
                 keys.append(text_key(text))
-                signatures.append(values.astype("<u2").tobytes())
-                by_tree = values.reshape(TREES, DEPTH)[:, :depth].astype(np.uint64)
-                mixed = np.arange(1, TREES + 1, dtype=np.uint64)
-                for j in range(depth):
-                    mixed = (mixed ^ by_tree[:, j]) * _MIX
-                    mixed ^= mixed >> np.uint64(31)
-                prefixes.append(mixed.view(np.int64).tolist() if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "key", "signature", "prefixes"])
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, key binary, signature binary, prefixes array<long>")
-
-
-def blocked(rows: DataFrame, group: str) -> DataFrame:
-    """Rows of (``group``, key, size, ...) once for each pair of blocks that they are in: first and second block of the pair, and own."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
-    return rows.drop("blocks", "other", "size").repartition(group, "first", "second").sortWithinPartitions(group, "first", "second")
+                signatures.append(signature(hashes).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() if len(hashes) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "key", "signature"])
 
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, key binary, signature binary")
 
-def forest(near: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
-    """Of near pairs that this pair of blocks decides, those that connect what is not connected by other pairs within its blocks, which
-    other tasks decide: so two blocks of one large group give an edge or two, not one per row."""
-    n = len(near)
-    root = list(range(n))
 
-    def top(i: int) -> int:
+class Forest:
+    """Sets of members that are connected."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    out = []
-    for pairs, new in ((np.triu(near & ~may, 1), False), (near & may, True)):
-        for i, j in np.argwhere(pairs).tolist():
-            a, b = top(i), top(j)
-            if a != b:
-                root[a] = b
-                if new:
-                    out.append((i, j))
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.top(i), self.top(j)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def led(values: np.ndarray) -> list[tuple[int, int, float, bool]]:
+    """Pairs (leader, member, share of equal values, captured) of members in order: the first that no leader has captured leads next.
+    Only pairs that connect or capture."""
+    n = len(values)
+    sets, open_, out = Forest(n), np.ones(n, dtype=bool), []
+    for i in range(n):
+        if not open_[i]:
+            continue
+        open_[i] = False
+        agree = (values == values[i]).mean(axis=1)
+        for j in np.flatnonzero(agree >= 1 - EDGE).tolist():
+            if j == i:
+                continue
+            captured = bool(j > i and open_[j] and agree[j] >= 1 - CAPTURE)
+            open_[j] &= not captured
+            if sets.join(i, j) or captured:
+                out.append((i, j, float(agree[j]), captured))
     return out
 
 
+def met_across(values: np.ndarray, may: np.ndarray) -> list[tuple[int, int, float, bool]]:
+    """As ``led``, of every pair that these two blocks decide, without capture."""
+    agree = np.stack([(values == v).mean(axis=1, dtype=np.float32) for v in values])
+    return [(i, j, float(agree[i, j]), False) for i, j in connecting(agree >= 1 - EDGE, may)]
+
+
+def blocked(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of (``group``, key, blocks, ...) once for each pair of blocks that they are in: first and second block of the pair, and own."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    rows = rows.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
+    return rows.drop("blocks", "other").repartition(*group, "first", "second").sortWithinPartitions(*group, "first", "second", "key")
+
+
 def meeting(own: np.ndarray, first: int, second: int) -> np.ndarray:
     """Which pairs of rows this pair of blocks decides: within one block, or between the two."""
     upper = np.triu(np.ones((len(own), len(own)), dtype=bool), 1)
     return upper if first == second else upper & (own[:, None] != own[None, :])
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) of keys that connect candidates, from key, signature and prefixes of each class."""
-    entries = classes.select("key", F.explode("prefixes").alias("prefix"))
-    sizes = entries.groupBy("prefix").agg(F.count("*").alias("size")).filter("size > 1")
-    met = staged(entries.join(sizes, "prefix"), "met-prefixes")
-    rows = met.join(classes.select("key", "signature"), "key")
+def connecting(near: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
+    """Of near pairs that this pair of blocks decides, those that connect what is not connected by other pairs within its blocks, which
+    other tasks decide: so two blocks of one large group give an edge or two, not one per row."""
+    sets = Forest(len(near))
+    for i, j in np.argwhere(np.triu(near & ~may, 1)).tolist():
+        sets.join(i, j)
+    return [(i, j) for i, j in np.argwhere(near & may).tolist() if sets.join(i, j)]
+
+
+def trie_entries(classes: DataFrame, floor: int) -> DataFrame:
+    """tree, key, p<depth> for each depth from ``floor``, and values (a byte of each): an entry for each tree in which a class shares its
+    prefix of the least depth."""
+
+    def prefix(tree, depth: int):
+        part = lambda half: F.substring("signature", tree * DEPTH + (half * TREES * DEPTH + 1), F.lit(depth))
+        return F.xxhash64(tree, part(0), part(1))
+
+    some = classes.filter(F.length("signature") > 0)
+    every = some.select("key", F.posexplode(F.array(*[prefix(F.lit(t), floor) for t in range(TREES)])).alias("tree", "prefix"))
+    shared = every.groupBy("prefix").agg(F.count("*").alias("size")).filter("size > 1").select("prefix")
+    met = staged(every.join(shared, "prefix").select("key", "tree"), "met-prefixes")
+    deeper = [prefix(F.col("tree"), d).alias(f"p{d}") for d in range(floor, DEPTH + 1)]
+    return met.join(some.select("key", "signature"), "key").select("tree", "key", *deeper, F.substring("signature", 1, TREES * DEPTH).alias("values"))
+
+
+def nodes_at(entries: DataFrame, depth: int) -> DataFrame:
+    """node, size, parts: the nodes at this depth; ``parts`` if they join more than one deeper node."""
+    deeper = f"p{depth + 1}" if depth < DEPTH else "key"
+    return entries.groupBy(F.col(f"p{depth}").alias("node")).agg(F.count("*").alias("size"), (F.min(deeper) != F.max(deeper)).alias("parts"))
+
+
+def compared(entries: DataFrame, depth: int, nodes: DataFrame, across: bool) -> DataFrame:
+    """u, v, agree, captured: the pairs that the members of ``nodes`` give. In a node larger than a block each block compares its own
+    members; with ``across``, block meets block."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rows = entries.select(F.col(f"p{depth}").alias("node"), "key", "values").join(nodes.select("node", blocks.alias("blocks")), "node")
+    if across:
+        rows = blocked(rows, ["node"])
+    else:
+        rows = rows.withColumn("first", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks").withColumn("second", F.col("first"))
+        rows = rows.repartition("node", "first").sortWithinPartitions("node", "first", "second", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in rows_by_key(batches, ["prefix", "first", "second"]):
-            n = group.num_rows
+        for group in rows_by_key(batches, ["node", "first", "second"]):
+            if group.num_rows < 2:
+                continue
             keys = group["key"].to_pylist()
-            values = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype="<u2").reshape(n, -1)
-            may = meeting(group["own"].to_numpy(), group["first"][0].as_py(), group["second"][0].as_py())
-            agree = np.stack([(values == v).mean(axis=1, dtype=np.float32) for v in values])
-            edges = forest(agree >= AGREE, may)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in edges], pa.binary()), pa.array([keys[j] for _, j in edges], pa.binary())], ["u", "v"])
+            values = np.frombuffer(b"".join(group["values"].to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
+            found = met_across(values, meeting(group["own"].to_numpy(), group["first"][0].as_py(), group["second"][0].as_py())) if across else led(values)
+            if found:
+                u, v, agree, captured = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in u], pa.binary()), pa.array([keys[j] for j in v], pa.binary()), pa.array(agree, pa.float64()), pa.array(captured, pa.bool_())], ["u", "v", "agree", "captured"])
+
+    return rows.mapInArrow(run, "u binary, v binary, agree double, captured boolean")
+
 
-    return blocked(rows, "prefix").mapInArrow(run, "u binary, v binary").distinct()
+def without_captured(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Whoever is captured by a leader that no one has captured leaves; so nobody is further than CAPTURE from one who stays."""
+    captures = pairs.filter("captured")
+    roots = captures.join(captures.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+    return staged(entries.join(roots.select(F.col("v").alias("key")).distinct(), "key", "left_anti"), "trie-entries")
+
+
+def level(entries: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The entries that stay and the pairs found at this depth. Nodes larger than a block are compared again with their leaders alone
+    until they fit into one, or, where fewer than half are captured, block against block: either way all members meet."""
+    nodes, found = staged(nodes_at(entries, depth).filter("parts"), "nodes"), []
+    while True:
+        pairs = staged(compared(entries, depth, nodes, False), "pairs")
+        found.append(pairs)
+        entries = without_captured(entries, pairs)
+        big = nodes.filter(F.col("size") > BLOCK)
+        before = big.agg(F.sum("size")).first()[0]
+        if not before:
+            return entries, found
+        nodes = staged(nodes_at(entries, depth).join(big.select("node"), "node", "left_semi"), "nodes")
+        if 2 * (nodes.agg(F.sum("size")).first()[0] or 0) > before:
+            return entries, [*found, staged(compared(entries, depth, nodes, True), "pairs-across")]
+
+
+def missed(similarity: float, depth: int) -> float:
+    """The chance that two texts of this similarity share no prefix of this depth."""
+    return (1 - similarity**depth) ** TREES
+
+
+def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Edges (u, v) of keys that connect candidates, from key and signature of each class."""
+    floor = depth_for(recall, threshold)
+    entries = staged(trie_entries(classes, floor), "trie-entries")
+    found: list[DataFrame] = []
+    least = 1.0
+    for depth in range(DEPTH, floor - 1, -1):
+        entries, pairs = level(entries, depth)
+        found += pairs
+        like = reduce(DataFrame.unionByName, pairs).filter(F.col("agree") >= threshold - 0.05).agg(F.min("agree")).first()[0]
+        least = min(least, max(threshold, like or 1.0))
+        if least < 1.0 and missed(least, depth) <= 1 - recall:
+            break
+    edges = reduce(DataFrame.unionByName, found)
+    return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -211,45 +320,101 @@ def own_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return named.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_own") == F.col("key"))).select("text", "key", "component", "size")
 
 
+def centres(members: DataFrame) -> DataFrame:
+    """component, centre: the hashes that more than half of about VOTERS members have."""
+    voters = members.filter(F.pmod(F.xxhash64("key"), F.col("size")) < VOTERS).select("component", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in rows_by_key(batches, ["component"]):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group["hashes"].to_pylist()]
+            values, often = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([group["component"].combine_chunks()[:1], pa.array([values[2 * often > len(sets)].tobytes()], pa.binary())], ["component", "centre"])
+
+    return voters.repartition("component").sortWithinPartitions("component").mapInArrow(run, "component binary, centre binary")
+
+
+def measured(members: DataFrame, threshold: float) -> DataFrame:
+    """component, key, cost, room ((q - p) times the centre's size) and differs: the hashes in either the text or the centre."""
+    share = Fraction(threshold).limit_denominator(1000)
+    p, q = share.numerator, share.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            costs, rooms, differs = [], [], []
+            for own, centre in zip(batch.column(2), batch.column(3), strict=True):
+                mine = np.frombuffer(own.as_buffer(), dtype=np.uint64)
+                # A component none of whose members voted has no centre: all its hashes are beside it.
+                middle = np.frombuffer(centre.as_buffer(), dtype=np.uint64) if centre.is_valid else mine[:0]
+                beside = np.setdiff1d(mine, middle, assume_unique=True)
+                lacks = np.setdiff1d(middle, mine, assume_unique=True)
+                costs.append(q * len(lacks) + p * len(beside))
+                rooms.append((q - p) * len(middle))
+                differs.append(np.concatenate([lacks, beside]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(costs, pa.int64()), pa.array(rooms, pa.int64()), pa.array(differs, pa.binary())], ["component", "key", "cost", "room", "differs"])
+
+    rows = members.join(centres(members), "component", "left").select("component", "key", "hashes", "centre")
+    return rows.mapInArrow(run, "component binary, key binary, cost long, room long, differs binary")
+
+
+def sure_links(texts: DataFrame) -> DataFrame:
+    """key, links: how many other texts of its component each text is linked to whatever they share beside the centre."""
+    by_cost = texts.groupBy("component", "cost", "room").agg(F.count("*").alias("n"))
+    points = by_cost.select("component", F.col("cost").alias("at"), "n", F.lit(0).alias("asks")).unionByName(by_cost.select("component", (F.col("room") - F.col("cost")).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asks")))
+    upto = F.sum("n").over(Window.partitionBy("component").orderBy("at", "asks"))
+    counts = points.select("component", "at", "asks", upto.alias("within")).filter("asks = 1").select("component", (F.col("at")).alias("left"), "within").distinct()
+    rows = texts.withColumn("left", F.col("room") - F.col("cost")).join(counts, ["component", "left"])
+    return rows.select("key", (F.col("within") - (F.col("cost") <= F.col("left")).cast("long")).alias("links"))
+
+
 def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links per key, and the edges that connect, of all pairs of candidates at or above the threshold.
 
     ``candidates`` has key, doc_id (whose text it is), component and size."""
+    share = Fraction(threshold).limit_denominator(1000)
+    both = share.numerator + share.denominator
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(hashes, pa.binary())], ["key", "component", "size", "hashes"])
 
-    sets = own_texts(docs, candidates).mapInArrow(texts, "key binary, component binary, size long, hashes binary").dropDuplicates(["key"])
+    members = staged(own_texts(docs, candidates).dropDuplicates(["key"]).mapInArrow(texts, "key binary, component binary, size long, hashes binary"), "members")
+    known = staged(measured(members, threshold), "measured")
+    ends = known.groupBy("component").agg(F.max("cost").alias("most"), F.min(F.struct("cost", "key")).alias("anchor"))
+    ranged = known.join(ends, "component")
+    sure = ranged.filter((F.col("cost") + F.col("anchor.cost") <= F.col("room")) & (F.col("key") != F.col("anchor.key"))).select(F.col("anchor.key").alias("u"), F.col("key").alias("v"))
+    rest = staged(ranged.filter(F.col("cost") + F.col("most") > F.col("room")).select("component", "key", "cost", "room", "differs"), "open-texts")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("differs")) / BLOCK_BYTES))
+    sizes = rest.groupBy("component").agg(F.count("*").alias("size"), parts.alias("blocks")).filter("size > 1").drop("size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in rows_by_key(batches, ["component", "first", "second"]):
             keys = group["key"].to_pylist()
-            found = [np.frombuffer(x, dtype=np.uint64) for x in group["hashes"].to_pylist()]
             may = meeting(group["own"].to_numpy(), group["first"][0].as_py(), group["second"][0].as_py())
-            shared = shared_counts(found)
-            sizes = np.array([len(x) for x in found])
-            near = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+            cost = group["cost"].to_numpy()
+            short = cost[:, None] + cost[None, :] - group["room"][0].as_py()
+            shared = shared_counts([np.frombuffer(x, dtype=np.uint64) for x in group["differs"].to_pylist()])
+            near = (short > 0) & (both * shared >= short)
             links = (near & may).sum(axis=0) + (near & may).sum(axis=1)
-            edges = forest(near, may)
+            edges = connecting(near, may)
             k = [keys[i] for i in np.flatnonzero(links)]
             yield pa.RecordBatch.from_arrays([pa.array(k + [keys[i] for i, _ in edges], pa.binary()), pa.array([None] * len(k) + [keys[j] for _, j in edges], pa.binary()), pa.array(links[links > 0].tolist() + [0] * len(edges), pa.int64())], ["u", "v", "links"])
 
-    found = staged(blocked(sets, "component").mapInArrow(run, "u binary, v binary, links long"), "links")
-    links = found.filter("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("n_links"))
-    return links, found.filter("v is not null").select("u", "v").distinct()
+    found = staged(blocked(rest.join(sizes, "component"), ["component"]).mapInArrow(run, "u binary, v binary, links long"), "open-links")
+    counted = sure_links(known).unionByName(found.filter("v is null").select(F.col("u").alias("key"), "links"))
+    links = counted.groupBy("key").agg(F.sum("links").alias("n_links"))
+    return links, sure.unionByName(found.filter("v is not null").select("u", "v")).distinct()
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """doc_id and key of each row; and for each key text_id, copies, class_id, n_links and class_key: the text that stands for the class,
     which is that of the least doc_id, null last, and then the least key."""
-    rows = staged(signed(docs, recall), "signatures")
+    rows = staged(signed(docs), "signatures")
     equal = staged(rows.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")), "equal-texts")
     of_text = rows.join(equal.select("key", F.col("text_id").alias("doc_id")), ["key", "doc_id"])
     unnamed = rows.join(equal.filter("text_id is null").select("key"), "key", "left_semi")
     classes = staged(of_text.unionByName(unnamed.select(of_text.columns)).dropDuplicates(["key"]), "classes")
-    joined = components(candidate_edges(classes), "candidates")
+    joined = components(candidate_edges(classes, threshold, recall), "candidates")
     sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
     candidates = staged(joined.join(sizes, "component").join(equal.select("key", F.col("text_id").alias("doc_id")), "key"), "candidates")
     links, edges = verified(docs, candidates, threshold)
