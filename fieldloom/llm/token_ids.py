@@ -1,8 +1,9 @@
 """Exact token ids of whole texts by the ``tokenizers`` library, with a bounded cache of what lies between spaces.
 
-In a byte-level tokenizer of this kind each word is merged on its own, and a word starts at a space that has no other
-white space after it. So a text may be cut before such spaces, and equal pieces have equal ids.
-The library encodes each new piece once; texts where a cut could be wrong go to it whole.
+In a byte-level tokenizer of this kind each word is merged on its own, and a word starts at a space that has no other white space after
+it. So a text may be cut before such spaces, and equal pieces have equal ids. A piece is cut again where runs of Latin letters begin and
+end; such a run is one word of the tokenizer, so the library's merges (``Tokenizer.model``) take it without another split. All other
+pieces, and texts where a cut could be wrong, go to the library whole. Every piece is encoded once while the cache holds it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -17,6 +20,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A space next to other white space: there a cut could change the ids.
 _UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]")
+#: Letters of the blocks Latin-1 and Latin Extended-A.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: Pieces whose words are runs of Latin letters; an apostrophe, a space inside or any other script may join what the runs part.
+_PLAIN = re.compile(rf" ?[{_LATIN}!-&(-@\[-`{{-~\n]+")
+_RUNS = re.compile(rf" ?[{_LATIN}]+| ?[^{_LATIN}]+")
 #: Pieces kept in one Python worker; about 250 bytes each.
 CACHED_PIECES = 800_000
 
@@ -30,6 +38,32 @@ def encoder(path: str) -> TextEncoder:
     return _encoders[path]
 
 
+def byte_characters() -> dict[int, str]:
+    """The character by which byte-level tokenizers write each byte: itself where it can be seen, else the next free one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+class Pieces(dict):
+    """Packed ids by piece, filled as pieces are asked for. What is not asked for while ``most`` / 2 others come is forgotten."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode(piece)
+        self[piece] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.most // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class TextEncoder:
     def __init__(self, path: str, cached: int = CACHED_PIECES):
         from tokenizers import Tokenizer
@@ -44,63 +78,53 @@ class TextEncoder:
         kind = spec.get("pre_tokenizer") or {}
         by_words = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
         self.cuts = bool(by_words and not spec.get("normalizer") and not spec.get("post_processor"))
-        self.spaced = np.zeros(self.size, dtype=bool)
-        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.cached = cached
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.characters = byte_characters()
+        self.pieces = Pieces(self._piece, cached)
+        self.runs = Pieces(self._run, cached // 2)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H", ids).tobytes() if self.dtype.itemsize == 2 and sys.byteorder == "little" else np.array(ids, dtype=self.dtype).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
-
-    def _pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces that each start with their only space: strung together they are one text, in which a piece starts
-        at each id whose token starts with a space."""
-        out: list[bytes] = []
-        strings, held, n = [], [], 0
-        for piece in new:
-            held.append(piece)
-            n += len(piece)
-            if n > 50_000:
-                strings.append("".join(held))
-                held, n = [], 0
-        strings.append("".join(held))
-        for found in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
-            ids = np.array(found.ids, dtype=self.dtype)
-            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.dtype.itemsize
-            packed, at = ids.tobytes(), at.tolist()
-            out += [packed[i:j] for i, j in zip(at, at[1:])]
-        return out
+        return [self._packed(x.ids) for x in found]
+
+    def _piece(self, piece: str) -> bytes:
+        if "\n\n" in piece or not _PLAIN.fullmatch(piece):
+            return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        runs = _RUNS.findall(piece)
+        if len(runs) == 1:
+            return self._run(piece)
+        return b"".join(map(self.runs.__getitem__, runs))
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of letters, or of what stands between two, with the space before it."""
+        if not run[-1].isalpha():
+            return self._packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
+        if run.isascii():
+            word = self.characters[32] + run[1:] if run[0] == " " else run
+        else:
+            word = run.encode().decode("latin-1").translate(self.characters)
+        return self._packed([token.id for token in self.model.tokenize(word)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as packed little-endian integers of ``dtype``."""
         if not self.cuts:
             return self._whole(texts)
-        known = self.pieces
-        if len(known) > self.cached:  # short pieces are the frequent ones
-            known = self.pieces = {p: v for p, v in known.items() if len(p) <= 7}
-        found: list[list | None] = []
-        gaps: list[tuple[list, int, str]] = []
+        self.pieces.trim()
+        self.runs.trim()
+        ids = self.pieces.__getitem__
+        found: list[bytes | None] = []
         for text in texts:
             if "\0" in text or _UNSAFE.search(text) or any(s in text for s in self.special):
                 found.append(None)
-                continue
-            parts = text.replace(" ", "\0 ").split("\0")
-            ids = list(map(known.get, parts))
-            if None in ids:
-                gaps += [(ids, i, parts[i]) for i, v in enumerate(ids) if v is None]
-            found.append(ids)
-        new = list({piece for _, _, piece in gaps})
-        inner = [p for p in new if len(p) > 1 and p[0] == " "]
-        known.update(zip(inner, self._pieces(inner), strict=True))
-        other = [p for p in new if len(p) <= 1 or p[0] != " "]
-        known.update(zip(other, self._whole(other), strict=True))
-        for ids, i, piece in gaps:
-            ids[i] = known[piece]
-        whole = [t for t, ids in zip(texts, found, strict=True) if ids is None]
+            else:
+                found.append(b"".join(map(ids, text.replace(" ", "\0 ").split("\0"))))
+        whole = [t for t, packed in zip(texts, found, strict=True) if packed is None]
         rest = iter(self._whole(whole) if whole else [])
-        return [next(rest) if ids is None else b"".join(ids) for ids in found]
+        return [next(rest) if packed is None else packed for packed in found]
 
 
 def slices(texts: list[str], chars: int = 2_000_000):

@@ -7,6 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given as given_texts
+from hypothesis import settings
+from hypothesis import strategies as st
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,6 +22,11 @@ from .cases import documents, empty, rows, words
 BYTES, LOWER = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+LIBRARY = Tokenizer.from_file(BYTES)
+#: An encoder that forgets soon.
+SMALL = TextEncoder(BYTES, cached=8)
+
+
 @pytest.fixture(scope="module")
 def given(spark, sf_dir):
     """The cases and a whole table."""
@@ -150,7 +158,7 @@ def test_quality_follows_labels(spark):
 
 
 def test_rules_are_ordered_by_rejections_per_second(spark):
-    df = spark.createDataFrame([("a " * 60,)] * 20, "text string")
+    df = spark.createDataFrame([(" ".join(f"a{i}#" for i in range(60)),)] * 20, "text string")
     rates = [rate for _, rate in quality_rules.rejections_per_second(df, quality_rules.rules())]
     assert rates == sorted(rates, reverse=True) and rates[0] > 0
 
@@ -211,6 +219,32 @@ def test_fingerprints_of_short_texts(spark):
     assert set(whole_) == set(part[0]) | set(part[1])
 
 
+def test_merged_sketches_are_those_of_the_whole(spark):
+    """Parts that overlap by the four words of a border, of sizes on both sides of SHORT."""
+    rows_ = []
+    for seed, (n, at) in enumerate([(20, 9), (140, 70), (200, 100), (200, 190), (320, 160), (600, 20), (3000, 1500), (290, 10), (6, 5)]):
+        w = words(n, 400 + seed).split()
+        rows_.append((" ".join(w), " ".join(w[:at]), " ".join(w[max(0, at - 4) :])))
+    df = spark.createDataFrame(rows_, "a string, b string, c string")
+    a, b, c = (fingerprints.sketch(F.col(x)) for x in "abc")
+    got = df.select(a.alias("a"), fingerprints.merge(b, c).alias("m"), "b").collect()
+    assert all(set(r.a) <= set(r.m) for r in got)
+    # A part of fewer than five words has a shingle of its own, which the whole has not.
+    assert all(len(r.m) == len(r.a) for r in got if len(r.b.split()) >= 5 and len(r.a) > 2)
+
+
+WORDISH = st.text(st.sampled_from("abzAé'ßłα1 \n\t.,-!日 \u00a0\u0301"), max_size=40)
+
+
+@settings(max_examples=400, deadline=None)
+@given_texts(st.lists(WORDISH, max_size=4))
+def test_encoder_is_the_library_on_any_text(some):
+    code = SMALL
+    want = [x.ids for x in LIBRARY.encode_batch(some, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(some)] == want
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert wavelet_ids.read_documents(wavelet_ids.write_shards(none, BYTES)).count() == 0
