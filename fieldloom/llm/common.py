@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,22 +20,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all machines share. Only where it is unset, as in tests in one JVM, a local folder."""
+    """``spark.checkpoint.dir``, which all machines share. Only where it is unset and all work is in one JVM, as in tests, a local folder."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="fieldloom-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return f"file://{_own_folder}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: the lineage ends, lost executors cost nothing,
-    and Spark plans what follows by the true size."""
+    and Spark plans what follows by the true size. ``discard`` takes the result when nothing will read it again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str = "text"):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import rows_by_key, staged, text_of
+from fieldloom.llm.common import discard, rows_by_key, staged, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -158,12 +158,12 @@ def met_across(values: np.ndarray, may: np.ndarray) -> list[tuple[int, int, floa
     return [(i, j, float(agree[i, j]), False) for i, j in connecting(agree >= 1 - EDGE, may)]
 
 
-def blocked(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Rows of (``group``, key, blocks, ...) once for each pair of blocks that they are in: first and second block of the pair, and own."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+def blocked(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Rows of (``group``, ``key``, blocks, ...) once for each pair of blocks that they are in: first and second block of the pair, and own."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     rows = rows.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
-    return rows.drop("blocks", "other").repartition(*group, "first", "second").sortWithinPartitions(*group, "first", "second", "key")
+    return rows.drop("blocks", "other").repartition(*group, "first", "second").sortWithinPartitions(*group, "first", "second", key)
 
 
 def meeting(own: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -182,7 +182,7 @@ def connecting(near: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
 
 
 def trie_entries(classes: DataFrame, floor: int) -> DataFrame:
-    """tree, key, p<depth> for each depth from ``floor``, and values (a byte of each): an entry for each tree in which a class shares its
+    """tree, id, p<depth> for each depth from ``floor``, and values (a byte of each): an entry for each tree in which a class shares its
     prefix of the least depth."""
 
     def prefix(tree, depth: int):
@@ -190,16 +190,19 @@ def trie_entries(classes: DataFrame, floor: int) -> DataFrame:
         return F.xxhash64(tree, part(0), part(1))
 
     some = classes.filter(F.length("signature") > 0)
-    every = some.select("key", F.posexplode(F.array(*[prefix(F.lit(t), floor) for t in range(TREES)])).alias("tree", "prefix"))
+    every = some.select("id", F.posexplode(F.array(*[prefix(F.lit(t), floor) for t in range(TREES)])).alias("tree", "prefix"))
     shared = every.groupBy("prefix").agg(F.count("*").alias("size")).filter("size > 1").select("prefix")
-    met = staged(every.join(shared, "prefix").select("key", "tree"), "met-prefixes")
+    met = staged(every.join(shared, "prefix").select("id", "tree"), "met-prefixes")
     deeper = [prefix(F.col("tree"), d).alias(f"p{d}") for d in range(floor, DEPTH + 1)]
-    return met.join(some.select("key", "signature"), "key").select("tree", "key", *deeper, F.substring("signature", 1, TREES * DEPTH).alias("values"))
+    entries = met.join(some.select("id", "signature"), "id").select("tree", "id", *deeper, F.substring("signature", 1, TREES * DEPTH).alias("values"))
+    entries = staged(entries, "trie-entries")
+    discard(met)
+    return entries
 
 
 def nodes_at(entries: DataFrame, depth: int) -> DataFrame:
     """node, size, parts: the nodes at this depth; ``parts`` if they join more than one deeper node."""
-    deeper = f"p{depth + 1}" if depth < DEPTH else "key"
+    deeper = f"p{depth + 1}" if depth < DEPTH else "id"
     return entries.groupBy(F.col(f"p{depth}").alias("node")).agg(F.count("*").alias("size"), (F.min(deeper) != F.max(deeper)).alias("parts"))
 
 
@@ -207,49 +210,66 @@ def compared(entries: DataFrame, depth: int, nodes: DataFrame, across: bool) ->
     """u, v, agree, captured: the pairs that the members of ``nodes`` give. In a node larger than a block each block compares its own
     members; with ``across``, block meets block."""
     blocks = F.ceil(F.col("size") / BLOCK)
-    rows = entries.select(F.col(f"p{depth}").alias("node"), "key", "values").join(nodes.select("node", blocks.alias("blocks")), "node")
+    rows = entries.select(F.col(f"p{depth}").alias("node"), "id", "values").join(nodes.select("node", blocks.alias("blocks")), "node")
     if across:
-        rows = blocked(rows, ["node"])
+        rows = blocked(rows, ["node"], "id")
     else:
-        rows = rows.withColumn("first", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks").withColumn("second", F.col("first"))
-        rows = rows.repartition("node", "first").sortWithinPartitions("node", "first", "second", "key")
+        rows = rows.withColumn("first", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks").withColumn("second", F.col("first"))
+        rows = rows.repartition("node", "first").sortWithinPartitions("node", "first", "second", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in rows_by_key(batches, ["node", "first", "second"]):
             if group.num_rows < 2:
                 continue
-            keys = group["key"].to_pylist()
-            values = np.frombuffer(b"".join(group["values"].to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
+            ids = group["id"].to_pylist()
+            values = np.frombuffer(b"".join(group["values"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             found = met_across(values, meeting(group["own"].to_numpy(), group["first"][0].as_py(), group["second"][0].as_py())) if across else led(values)
             if found:
                 u, v, agree, captured = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in u], pa.binary()), pa.array([keys[j] for j in v], pa.binary()), pa.array(agree, pa.float64()), pa.array(captured, pa.bool_())], ["u", "v", "agree", "captured"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in u], pa.int64()), pa.array([ids[j] for j in v], pa.int64()), pa.array(agree, pa.float64()), pa.array(captured, pa.bool_())], ["u", "v", "agree", "captured"])
+
+    return rows.mapInArrow(run, "u long, v long, agree double, captured boolean")
 
-    return rows.mapInArrow(run, "u binary, v binary, agree double, captured boolean")
 
+def led_away(entries: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries without the captured, in place of those given, and the edges (u, v) of the pairs, in which leaders stand for the captured.
 
-def without_captured(entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Whoever is captured by a leader that no one has captured leaves; so nobody is further than CAPTURE from one who stays."""
+    Only a leader that no one has captured takes others away; so nobody is further than CAPTURE from one who stays."""
     captures = pairs.filter("captured")
     roots = captures.join(captures.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-    return staged(entries.join(roots.select(F.col("v").alias("key")).distinct(), "key", "left_anti"), "trie-entries")
-
-
-def level(entries: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The entries that stay and the pairs found at this depth. Nodes larger than a block are compared again with their leaders alone
-    until they fit into one, or, where fewer than half are captured, block against block: either way all members meet."""
-    nodes, found = staged(nodes_at(entries, depth).filter("parts"), "nodes"), []
+    gone = staged(roots.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("leader")), "captured")
+    left = staged(entries.join(gone.select("id"), "id", "left_anti"), "trie-entries")
+    edges = pairs.select("u", "v").distinct()
+    for end in "uv":
+        edges = edges.join(gone.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("leader", end)).drop("leader")
+    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+    edges = staged(edges.unionByName(gone.select(F.col("leader").alias("u"), F.col("id").alias("v"))), "level-edges")
+    discard(entries, gone)
+    return left, edges
+
+
+def level(entries: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, list[DataFrame], float]:
+    """The entries that stay, in place of those given, the edges found at this depth, and the least similarity about or above the threshold
+    that two signatures have shown. Nodes larger than a block are compared again with their leaders alone until they fit into one, or, where
+    fewer than half are captured, block against block: either way all members meet."""
+    nodes, found, least = staged(nodes_at(entries, depth).filter("parts"), "nodes"), [], 1.0
+    across = False
     while True:
-        pairs = staged(compared(entries, depth, nodes, False), "pairs")
-        found.append(pairs)
-        entries = without_captured(entries, pairs)
+        pairs = staged(compared(entries, depth, nodes, across), "pairs")
+        like = pairs.filter(F.col("agree") >= threshold - 0.05).agg(F.min("agree")).first()[0]
+        least = min(least, max(threshold, like or 1.0))
+        entries, edges = led_away(entries, pairs)
+        found.append(edges)
+        discard(pairs)
         big = nodes.filter(F.col("size") > BLOCK)
-        before = big.agg(F.sum("size")).first()[0]
+        before = 0 if across else big.agg(F.sum("size")).first()[0]
         if not before:
-            return entries, found
-        nodes = staged(nodes_at(entries, depth).join(big.select("node"), "node", "left_semi"), "nodes")
-        if 2 * (nodes.agg(F.sum("size")).first()[0] or 0) > before:
-            return entries, [*found, staged(compared(entries, depth, nodes, True), "pairs-across")]
+            discard(nodes)
+            return entries, found, least
+        smaller = staged(nodes_at(entries, depth).join(big.select("node"), "node", "left_semi"), "nodes")
+        discard(nodes)
+        nodes = smaller
+        across = 2 * (nodes.agg(F.sum("size")).first()[0] or 0) > before
 
 
 def missed(similarity: float, depth: int) -> float:
@@ -258,27 +278,28 @@ def missed(similarity: float, depth: int) -> float:
 
 
 def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Edges (u, v) of keys that connect candidates, from key and signature of each class."""
+    """Edges (u, v) of ids that connect candidates, from id and signature of each class."""
     floor = depth_for(recall, threshold)
-    entries = staged(trie_entries(classes, floor), "trie-entries")
+    entries = trie_entries(classes, floor)
     found: list[DataFrame] = []
     least = 1.0
     for depth in range(DEPTH, floor - 1, -1):
-        entries, pairs = level(entries, depth)
-        found += pairs
-        like = reduce(DataFrame.unionByName, pairs).filter(F.col("agree") >= threshold - 0.05).agg(F.min("agree")).first()[0]
-        least = min(least, max(threshold, like or 1.0))
+        entries, edges, like = level(entries, depth, threshold)
+        found += edges
+        least = min(least, like)
         if least < 1.0 and missed(least, depth) <= 1 - recall:
             break
-    edges = reduce(DataFrame.unionByName, found)
-    return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = staged(reduce(DataFrame.unionByName, found).distinct(), "candidate-edges")
+    discard(entries, *found)
+    return edges
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """key, component (its least key) of every key in edges (u, v). Least labels spread along edges and then along labels, so that
+    """key, component (its least key) of every end of edges (u, v). Least labels spread along edges and then along labels, so that
     paths halve each round; each round is written."""
     both = staged(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    labels = staged(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("key"), F.least("u", "v").alias("component")), f"{name}-labels")
+    held = staged(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("key"), F.least("u", "v").alias("component")), f"{name}-labels")
+    labels = held
     while True:
         offered = both.join(labels.withColumnRenamed("key", "v"), "v").groupBy("u").agg(F.min("component").alias("offer"))
         spread = labels.join(offered.withColumnRenamed("u", "key"), "key").select("key", "component", F.least("component", "offer").alias("to"))
@@ -286,8 +307,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         jump = spread.select(F.col("key").alias("to"), F.col("to").alias("further"))
         moved = spread.join(jump, "to", "left").select("key", "component", F.least("to", "further").alias("to"))
         moved = staged(moved, f"{name}-moved")
+        discard(held, spread)
+        held = moved
         labels = moved.select("key", F.col("to").alias("component"))
         if moved.filter("component <> to").isEmpty():
+            discard(both)
             return labels
 
 
@@ -314,9 +338,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def own_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """text, key, component and size of each candidate, from rows with both its doc_id and its text."""
+    """text, key, component and size of each candidate, from rows with both its doc_id and its text.
+
+    The candidates grow with the table: they are merged, never broadcast, at whatever size."""
     named = docs.select("doc_id", text_of().alias("text")).withColumn("_own", key_of(F.col("text")))
-    wanted = candidates.withColumnRenamed("doc_id", "_doc_id")
+    wanted = candidates.withColumnRenamed("doc_id", "_doc_id").hint("merge")
     return named.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_own") == F.col("key"))).select("text", "key", "component", "size")
 
 
@@ -330,7 +356,7 @@ def centres(members: DataFrame) -> DataFrame:
             values, often = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([group["component"].combine_chunks()[:1], pa.array([values[2 * often > len(sets)].tobytes()], pa.binary())], ["component", "centre"])
 
-    return voters.repartition("component").sortWithinPartitions("component").mapInArrow(run, "component binary, centre binary")
+    return voters.repartition("component").sortWithinPartitions("component").mapInArrow(run, "component long, centre binary")
 
 
 def measured(members: DataFrame, threshold: float) -> DataFrame:
@@ -353,7 +379,7 @@ def measured(members: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(costs, pa.int64()), pa.array(rooms, pa.int64()), pa.array(differs, pa.binary())], ["component", "key", "cost", "room", "differs"])
 
     rows = members.join(centres(members), "component", "left").select("component", "key", "hashes", "centre")
-    return rows.mapInArrow(run, "component binary, key binary, cost long, room long, differs binary")
+    return rows.mapInArrow(run, "component long, key binary, cost long, room long, differs binary")
 
 
 def sure_links(texts: DataFrame) -> DataFrame:
@@ -367,7 +393,7 @@ def sure_links(texts: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links per key, and the edges that connect, of all pairs of candidates at or above the threshold.
+    """n_links per key, and the edges (u, v) that connect, of all pairs of candidates at or above the threshold.
 
     ``candidates`` has key, doc_id (whose text it is), component and size."""
     share = Fraction(threshold).limit_denominator(1000)
@@ -378,8 +404,10 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[
             hashes = [shingle_hashes(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(hashes, pa.binary())], ["key", "component", "size", "hashes"])
 
-    members = staged(own_texts(docs, candidates).dropDuplicates(["key"]).mapInArrow(texts, "key binary, component binary, size long, hashes binary"), "members")
-    known = staged(measured(members, threshold), "measured")
+    # Repeated rows repeat a member, which then votes twice and is measured twice; from then on it stands once.
+    members = staged(own_texts(docs, candidates).mapInArrow(texts, "key binary, component long, size long, hashes binary"), "members")
+    known = staged(measured(members, threshold).dropDuplicates(["key"]), "measured")
+    discard(members)
     ends = known.groupBy("component").agg(F.max("cost").alias("most"), F.min(F.struct("cost", "key")).alias("anchor"))
     ranged = known.join(ends, "component")
     sure = ranged.filter((F.col("cost") + F.col("anchor.cost") <= F.col("room")) & (F.col("key") != F.col("anchor.key"))).select(F.col("anchor.key").alias("u"), F.col("key").alias("v"))
@@ -400,35 +428,40 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> tuple[
             k = [keys[i] for i in np.flatnonzero(links)]
             yield pa.RecordBatch.from_arrays([pa.array(k + [keys[i] for i, _ in edges], pa.binary()), pa.array([None] * len(k) + [keys[j] for _, j in edges], pa.binary()), pa.array(links[links > 0].tolist() + [0] * len(edges), pa.int64())], ["u", "v", "links"])
 
-    found = staged(blocked(rest.join(sizes, "component"), ["component"]).mapInArrow(run, "u binary, v binary, links long"), "open-links")
+    found = staged(blocked(rest.join(sizes, "component"), ["component"], "key").mapInArrow(run, "u binary, v binary, links long"), "open-links")
     counted = sure_links(known).unionByName(found.filter("v is null").select(F.col("u").alias("key"), "links"))
-    links = counted.groupBy("key").agg(F.sum("links").alias("n_links"))
-    return links, sure.unionByName(found.filter("v is not null").select("u", "v")).distinct()
+    links = staged(counted.groupBy("key").agg(F.sum("links").alias("n_links")), "links")
+    edges = staged(sure.unionByName(found.filter("v is not null").select("u", "v")).distinct(), "true-edges")
+    discard(known, rest, found)
+    return links, edges
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """doc_id and key of each row; and for each key text_id, copies, class_id, n_links and class_key: the text that stands for the class,
     which is that of the least doc_id, null last, and then the least key."""
-    rows = staged(signed(docs), "signatures")
-    equal = staged(rows.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")), "equal-texts")
-    of_text = rows.join(equal.select("key", F.col("text_id").alias("doc_id")), ["key", "doc_id"])
-    unnamed = rows.join(equal.filter("text_id is null").select("key"), "key", "left_semi")
-    classes = staged(of_text.unionByName(unnamed.select(of_text.columns)).dropDuplicates(["key"]), "classes")
-    joined = components(candidate_edges(classes, threshold, recall), "candidates")
-    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
-    candidates = staged(joined.join(sizes, "component").join(equal.select("key", F.col("text_id").alias("doc_id")), "key"), "candidates")
+    signatures = staged(signed(docs), "signatures")
+    rows = signatures.select("doc_id", "key")
+    of_text = [F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.min("signature").alias("signature")]
+    equal = staged(signatures.groupBy("key").agg(*of_text).withColumn("id", F.xxhash64("key")), "equal-texts")
+    met = candidate_edges(equal.select("id", "signature"), threshold, recall)
+    joined = components(met, "candidates").withColumnRenamed("key", "id")
+    # Should two texts have one id, both are candidates; what they share is told by their texts.
+    named = joined.join(equal.select("id", "key", F.col("text_id").alias("doc_id")), "id").select("key", "doc_id", "component")
+    candidates = staged(named.join(named.groupBy("component").agg(F.count("*").alias("size")), "component"), "candidates")
     links, edges = verified(docs, candidates, threshold)
-    groups = components(edges, "links")
+    groups = components(edges, "linked")
     named = groups.join(equal.select("key", "text_id"), "key")
     first = F.min(F.struct(F.col("text_id").isNull(), "text_id", "key"))["key"]
     least = named.groupBy("component").agg(F.min("text_id").alias("class_id"), first.alias("class_key"))
     found = staged(groups.join(least, "component").join(links, "key", "left").select("key", "class_id", "class_key", "n_links"), "groups")
     of_class = [F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links")]
-    return rows, staged(equal.join(found, "key", "left").select("key", "text_id", "copies", *of_class), "text-classes")
+    known = staged(equal.drop("signature").join(found, "key", "left").select("key", "text_id", "copies", *of_class), "text-classes")
+    discard(equal, met, candidates, links, edges, found)
+    return rows, known
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least doc_id of the near-duplicate class), text_id (least doc_id of the equal texts), n_links (different texts at or
     above the threshold), copies (rows of this text)."""
     rows, known = text_classes(docs, threshold, recall)
-    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "text_id", "n_links", "copies")
+    return rows.join(known, "key").select("doc_id", "class_id", "text_id", "n_links", "copies")
