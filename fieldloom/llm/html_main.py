@@ -7,13 +7,17 @@ its own best, its own best is taken.
 
 Defined results: null html is empty, with an empty text; a null url or one without ``://`` has the empty host; repeated rows give equal
 texts; equal votes go to the higher score, then to the first path in order; an empty table gives an empty table; pages of any length
-are read whole; other columns are ignored.
+are read whole, in time and memory proportional to their length however deep or broken they are; other columns are ignored.
+
+An element is left out by its tag or role, or by a class or id word of page furniture; words that an article's own headings and paragraphs may
+carry too (``AMBIGUOUS``) count on containers only.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +37,7 @@ FURNITURE = set("head script style noscript template iframe svg canvas select bu
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = set("article main section div td body".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSABLE = set().union({"p"}, *CLOSED_BY.values())
 SCOPES = set("table ul ol dl article section div body td".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 FURNITURE_WORDS = set(
@@ -40,6 +45,8 @@ FURNITURE_WORDS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead comment comments reply replies disqus share sharing social "
     "related recommended newsletter subscribe signup login search pagination pager toolbar copyright legal disclaimer".split()
 )
+AMBIGUOUS = set("banner copyright disclaimer footer header legal menu notice notices promotion related search share social widget".split())
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption caption th".split()) | INLINE
 MAIN_WORDS = set("article content post entry main story body text".split())
 WEIGHT = {"article": 1.5, "main": 1.3, "body": 0.6}
 #: A container of the winning path counts if it has this share of the page's own best text.
@@ -47,67 +54,104 @@ SHARE = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "children", "furniture", "named", "has_main", "text", "linked")
+    __slots__ = ("tag", "part", "trail", "parent", "near", "children", "furniture", "named", "has_main", "text", "linked")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.children, self.has_main = tag, parent, [], False
+        #: The nearest element, this one or above, that may be closed by another one or ends its reach.
+        self.near = self if parent is None or tag in SCOPES or tag in CLOSABLE else parent.near
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         classes = sorted({re.sub(r"\d+", "N", c) for c in found.get("class", "").split()})
-        self.path = (parent.path + "/" if parent else "") + ".".join([tag, *classes])
+        self.part = ".".join([tag, *classes])
+        self.trail = trail_of(self.part, parent.trail if parent else 0)
         words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()) if w}
         self.named = bool(words & MAIN_WORDS) or found.get("role") == "main"
-        self.furniture = 2 if tag in FURNITURE or found.get("role") in FURNITURE_ROLES else 1 if words & FURNITURE_WORDS and tag not in ("html", "body") else 0
+        told = words & FURNITURE_WORDS
+        if tag in TEXT_TAGS:
+            told -= AMBIGUOUS
+        self.furniture = 2 if tag in FURNITURE or found.get("role") in FURNITURE_ROLES else 1 if told and tag not in ("html", "body") else 0
         self.text = self.linked = 0
 
+    @property
+    def path(self) -> str:
+        parts, node = [], self
+        while node:
+            parts.append(node.part)
+            node = node.parent
+        return "/".join(reversed(parts))
+
+
+def trail_of(path: str, trail: int = 0) -> int:
+    """A 64-bit value of a path, or of a path's next parts after those that ``trail`` stands for."""
+    for part in path.split("/"):
+        trail = hash((trail, part))
+    return trail
+
 
 def parse(page: str) -> Node:
     """A tree of elements and strings. Open paragraphs and items are closed where HTML closes them."""
     root = node = Node("html", None, "")
-    at, end = 0, len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
+    opened: Counter[str] = Counter()
+    at, last = 0, page.rfind(">")
+
+    def up_to(target: Node) -> Node:
+        above = node
+        while above is not target:
+            opened[above.tag] -= 1
+            above = above.parent
+        return target
+
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start > last and not page.startswith("<!--", start):
             node.children.append(_CUT_TAG.sub("", page[at:]))
-            break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
+            return root
+        m = _TAG.match(page, start)
+        if not m:
+            node.children.append(page[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            node.children.append(page[at:start])
         at = m.end()
         closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
             continue
         name = name.lower()
         if closing:
-            up = node
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[name] > 0:
+                up = node
+                while up.tag != name:
+                    up = up.parent
+                node = up_to(up.parent)
             continue
         if name == "html":
             continue
         shut = CLOSED_BY.get(name) or (() if name in INLINE or name in VOID - {"hr"} else {"p"})
-        up = node
-        while shut and up is not root and up.tag not in (SCOPES - set(shut)):
+        up = node.near if any(opened[t] > 0 for t in shut) else root
+        while up is not root:
             if up.tag in shut:
-                node = up.parent
+                node = up_to(up.parent)
                 if name != "tr":
                     break
-            up = up.parent
+            elif up.tag in SCOPES:
+                break
+            up = up.parent.near
         child = Node(name, node, rest)
         node.children.append(child)
         if name in VOID or rest.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = close.end() if close else len(page)
             continue
         if name in ("article", "main"):
             up = node
             while up and not up.has_main:
                 up.has_main = True
                 up = up.parent
+        opened[name] += 1
         node = child
-    return root
 
 
 def skipped(node: Node) -> bool:
@@ -163,19 +207,12 @@ def best(found: list[tuple[float, Node]]) -> tuple[float, Node]:
     return max(found, key=lambda x: x[0])
 
 
-def within(node: Node, outer: Node) -> bool:
-    while node is not None and node is not outer:
-        node = node.parent
-    return node is outer
-
-
 def extract(page: str, path: str | None) -> str:
     found = containers(parse(page))
     own = best(found)
-    held: list[Node] = []
-    for score, node in found:
-        if node.path == path and score > 0 and not any(within(node, n) for n in held):
-            held.append(node)
+    trail = trail_of(path) if path is not None else None
+    # Equal paths are equally deep, so none of these stands in another.
+    held = [node for score, node in found if score > 0 and node.trail == trail]
     if not held or sum(n.text for n in held) < SHARE * own[1].text:
         held = [own[1]]
     return " ".join(filter(None, map(text_in, held)))
