@@ -1,8 +1,10 @@
 """License texts in documents by patience alignment.
 
-Places where a template's own words stand close together are aligned with it: words that occur once in both are anchors, the longest
-increasing run of them is kept, and the gaps between are aligned the same way. The share of the template's words that are aligned is its
-coverage. A template's deciding words (name, version, clause words) must be aligned too, and no other word may stand between those of one
+A stretch of text is aligned with a template: words that occur once in both are anchors, the longest increasing run of them is kept, and the
+gaps between are aligned the same way. The share of the template's words that are aligned is its coverage. Stretches where a template's own
+words stand close together are aligned first; what is left of the text on either side of a find is then aligned from each word that would
+begin the template anew to the next, and at last as one, however many other words stand between; only stretches with too few of the
+template's words to reach the least coverage are passed over. A template's deciding words (name, version, clause words) must be aligned too, and no other word may stand between those of one
 phrase, so that a notice of another license or version does not pass by its coverage. Texts without any template's deciding words are
 passed over at once.
 
@@ -26,7 +28,7 @@ from fieldloom.llm.common import text_of
 
 #: Share of a template's words that a span must align.
 LEAST_COVERAGE = 0.8
-#: Words between two of a template's own words, at most, within one place.
+#: Words between two of a template's own words, at most, in the stretches that are tried first.
 GAP = 12
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -226,32 +228,78 @@ class Scanner:
         if not chosen:
             return []
         where: dict[str, list[int]] = {}
-        marked = set().union(*(self.own[name] for name in chosen))
+        marked = set().union(*(self.counts[name] for name in chosen))
         for i, w in enumerate(words):
             if w in marked:
                 where.setdefault(w, []).append(i)
         spans = []
         for name in chosen:
-            template, own = self.templates[name], self.own[name]
-            places = sorted(i for w in own for i in where.get(w, ()))
-            for group in self._places(places, words, own, self.counts[name]):
-                lo, hi = max(0, group[0] - GAP), min(len(words), group[-1] + GAP + 1)
-                pairs = align(words[lo:hi], template)
-                coverage = len(pairs) / len(template)
-                if coverage >= self.least and self.decided(name, words[lo:hi], pairs):
-                    spans.append((name, coverage, len(pairs), found[lo + pairs[0][0]].start(), found[lo + pairs[-1][0]].end()))
+            for a, b, aligned, coverage in self.found(name, words, where):
+                spans.append((name, coverage, aligned, found[a].start(), found[b - 1].end()))
         kept: list[tuple[str, float, int, int, int]] = []
         for span in sorted(spans, key=lambda s: (-s[2], -s[1], s[0])):
-            if all(span[4] <= k[3] or span[3] >= k[4] for k in kept):
-                kept.append(span)
-        return sorted(kept, key=lambda s: s[3])
+            # Kept spans do not overlap and stand in order: only the neighbours can meet this one.
+            k = bisect_left(kept, span[3], key=lambda s: s[3])
+            if (k == 0 or kept[k - 1][4] <= span[3]) and (k == len(kept) or span[4] <= kept[k][3]):
+                kept.insert(k, span)
+        return kept
+
+    def found(self, name: str, words: list[str], where: dict[str, list[int]]) -> list[tuple[int, int, int, float]]:
+        """Spans (first word, last word + 1, aligned words, coverage) of one template, none over another."""
+        template, own, counts = self.templates[name], self.own[name], self.counts[name]
+        out: list[tuple[int, int, int, float]] = []
+
+        def enough(lo: int, hi: int) -> bool:
+            """Whether these words could be aligned with the least share of the template at all."""
+            held = 0
+            for w, n in counts.items():
+                at = where.get(w, ())
+                i = bisect_left(at, lo)
+                some = min(n, bisect_left(at, hi) - i)
+                if not some and w in self.needed[name]:
+                    return False
+                held += some
+            return held >= self.least * len(template)
+
+        def tried(lo: int, hi: int) -> bool:
+            if not enough(lo, hi):
+                return False
+            pairs = align(words[lo:hi], template)
+            coverage = len(pairs) / len(template)
+            if coverage < self.least or not self.decided(name, words[lo:hi], pairs):
+                return False
+            # A common word far before or behind is not part of the span.
+            first, last = 0, len(pairs) - 1
+            while first < last and pairs[first + 1][0] - pairs[first][0] > GAP and template[pairs[first][1]] in COMMON:
+                first += 1
+            while first < last and pairs[last][0] - pairs[last - 1][0] > GAP and template[pairs[last][1]] in COMMON:
+                last -= 1
+            out.append((lo + pairs[first][0], lo + pairs[last][0] + 1, len(pairs), coverage))
+            return True
+
+        places = sorted(i for w in own for i in where.get(w, ()))
+        for group in self._places(places, words, own, counts, GAP):
+            tried(max(0, group[0] - GAP, out[-1][1] if out else 0), min(len(words), group[-1] + GAP + 1))
+        todo = list(zip([0, *(b for _, b, _, _ in out)], [*(a for a, _, _, _ in out), len(words)], strict=True))
+        while todo:
+            lo, hi = todo.pop()
+            if not enough(lo, hi):
+                continue
+            inside = places[bisect_left(places, lo) : bisect_left(places, hi)]
+            groups = self._places(inside, words, own, counts, hi)
+            ends = [*(g[0] for g in groups[1:]), hi]
+            for begin, end in [*(zip([lo, *ends], ends, strict=False) if len(groups) > 1 else ()), (lo, hi)]:
+                if tried(begin, end):
+                    todo += [(lo, out[-1][0]), (out[-1][1], hi)]
+                    break
+        return out
 
     @staticmethod
-    def _places(places: list[int], words: list[str], own: set[str], counts: Counter) -> list[list[int]]:
-        """Runs of places close together; a run ends before a word that would begin the template anew. Only those with half its own words."""
+    def _places(places: list[int], words: list[str], own: set[str], counts: Counter, gap: int) -> list[list[int]]:
+        """Runs of places at most ``gap`` apart; a run ends before a word that would begin the template anew. Only those with half its own words."""
         out, held, seen = [], [], Counter()
         for i in places:
-            if held and (i - held[-1] > GAP or (len(seen) == len(own) and seen[words[i]] >= counts[words[i]])):
+            if held and (i - held[-1] > gap or (len(seen) == len(own) and seen[words[i]] >= counts[words[i]])):
                 out.append((held, len(seen)))
                 held, seen = [], Counter()
             held.append(i)

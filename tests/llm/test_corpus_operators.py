@@ -1,6 +1,7 @@
 """HTML, toxicity, URL filters, Jaccard join, licenses and the pipeline against brute force and planted cases."""
 
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -36,6 +37,18 @@ def test_html_hosts_agree_on_a_path(spark):
     assert next(r.text for r in html_main.main_text(pages).collect() if r.page_id == 9) == words(40, 9)
 
 
+@pytest.mark.parametrize("page", ["a<b " * 250_000, "<div>" * 100_000 + "x", "<span>" * 40_000 + "<p>x<hr>" * 40_000, "<div>" * 40_000 + "</x>" * 80_000, '<a "' * 200_000])
+def test_html_parser_is_linear(page):
+    begun = time.process_time()
+    html_main.extract(page, "html/body/div.c")
+    assert time.process_time() - begun < 20
+
+
+def test_html_words_of_furniture_within_the_article():
+    page = "<body><article><h1 class='header'>Head</h1><p class='text legal'>one</p><div class='legal'>gone</div><p class='ad'>gone</p><div class='comments'>gone</div><p>two</p></article></body>"
+    assert html_main.extract(page, None) == "Head one two"
+
+
 def test_html_article_in_sibling_containers():
     page = f'<body><div class="content"><p>{words(60, 1)}</p></div><div class="rail"><p>{words(9, 3)}</p></div><div class="content"><p>{words(60, 2)}</p></div></body>'
     path = html_main.best(html_main.containers(html_main.parse(page)))[1].path
@@ -141,7 +154,7 @@ def test_jaccard_links_are_exact(spark, sf_dir):
 def test_candidates_meet_only_their_own_texts(spark):
     """Null and repeated doc_ids: a row for each candidate, not one for each pair, before the texts are read."""
     docs = spark.createDataFrame([(None if i % 2 else 7, words(30, i)) for i in range(200)], "doc_id long, text string")
-    candidates = docs.select("doc_id", jaccard_join.key_of(docs.text).alias("key"), F.lit(b"c").alias("component"), F.lit(200).cast("long").alias("size"))
+    candidates = docs.select("doc_id", jaccard_join.key_of(docs.text).alias("key"), F.lit(1).cast("long").alias("component"), F.lit(200).cast("long").alias("size"))
     rows = jaccard_join.own_texts(docs, candidates).collect()
     assert len(rows) == 200 and all(jaccard_join.text_key(r.text) == bytes(r.key) for r in rows)
 
@@ -151,6 +164,43 @@ def test_prefixes_are_shortened_to_the_recall():
     assert 1 - (1 - 0.8**5) ** jaccard_join.TREES >= jaccard_join.RECALL
 
 
+def outside_phrases(scanner, name):
+    """A place of the template's words near the middle at which no deciding phrase is cut, if there is one."""
+    words_ = scanner.templates[name]
+    inside = {i for phrase in scanner.phrases[name] for places in phrase for i in range(places[0] + 1, places[-1] + 1)}
+    free = [i for i in range(1, len(words_)) if i not in inside]
+    return min(free, key=lambda i: abs(i - len(words_) // 2), default=None)
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_with_inserted_words(name):
+    """Whatever plain alignment of the whole text covers is found, however many words stand in between."""
+    scanner = licenses.Scanner({name: licenses.TEMPLATES[name]})
+    at = outside_phrases(scanner, name)
+    if at is None:
+        return
+    own = [m.group() for m in licenses._WORD.finditer(licenses.TEMPLATES[name])]
+    for n in (1, 13, 30, 200):
+        text = " ".join([words(20, 5), *own[:at], words(n, n), *own[at:], words(20, 6)])
+        split = licenses.words_of(text)
+        pairs = licenses.align(split, scanner.templates[name])
+        found = scanner.scan(text)
+        if len(pairs) >= scanner.least * len(own) and scanner.decided(name, split, pairs):
+            assert found and found[0][1] >= len(pairs) / len(own) - 1e-9
+        assert [f[0] for f in found] in ([name], [])
+    assert scanner.scan(" ".join(own)) and len(own) == len(scanner.templates[name])
+
+
+def test_licenses_far_apart_and_many():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    mit = licenses.TEMPLATES["mit-text"].split()
+    middle = len(mit) // 2
+    text = " ".join([*mit[:middle], words(40, 1), *mit[middle:], words(500, 2), *mit, words(90, 3), *mit[:middle], words(25, 4), *mit[middle:]])
+    assert [f[0] for f in scanner.scan(text)] == ["mit-text"] * 3
+    many = (licenses.TEMPLATES["apache-2.0"] + " " + words(30, 7) + "\n") * 400
+    assert len(scanner.scan(many)) == 400
+
+
 @pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
 def test_license_is_found(name):
     scanner = licenses.Scanner(licenses.TEMPLATES)
