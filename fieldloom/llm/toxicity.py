@@ -15,12 +15,12 @@ table gives an empty table; whole texts are read, however long; other columns ar
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +29,12 @@ from fieldloom.llm.common import staged, text_of
 
 #: Labelled rows, at most, that teach the model; what is broadcast and collected is bounded by it.
 MAX_LABELLED = 20_000
-MAX_TERMS = 5_000
 PRIOR_SHARE = 0.02
 #: Chance that any token without effect is learnt, about.
 LEVEL = 0.01
 LEAST_LOG_ODDS = 1.0
 SIGNIFICANT = 0.05
-_TOKEN = re.compile(r"[^\W\d_]+")
+_TOKEN = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -135,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     # Likelihood ratio against equal rates, at a level for all tokens together: one row's odd words are not learnt.
     excess = lambda y, n: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) * (n1 + n0) / ((F.col("y1") + F.col("y0")) * n))).otherwise(0.0)
     effect = effect.withColumn("ratio", 2 * (excess("y1", n1) + excess("y0", n0)))
-    terms = effect.filter((F.col("ratio") >= 2 * math.log(sums.v / LEVEL)) & (F.col("delta") >= LEAST_LOG_ODDS)).orderBy(F.col("ratio").desc(), "token").limit(MAX_TERMS).collect()
+    terms = effect.filter((F.col("ratio") >= 2 * math.log(sums.v / LEVEL)) & (F.col("delta") >= LEAST_LOG_ODDS)).collect()  # a term takes several labelled rows: bounded as they are
     model = Model()
     if terms:
         model.terms = {r.token: float(r.delta) for r in terms}
