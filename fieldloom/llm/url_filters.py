@@ -7,7 +7,7 @@ computed once per distinct host and path words, and joined back.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, has no words, and is allowed; a null html has
 no words; repeated rows give equal verdicts; rules of equal length go by their text; an empty table gives an empty table; host names of
-any length are split whole, in pieces of at most ``LONGEST`` letters; other columns are ignored.
+any length are split whole, a run longer than a label of a domain name in words of at most ``LONGEST`` letters; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import rows_by_key, staged
 
-#: Letters of the longest word that Viterbi considers.
-LONGEST = 20
+#: Letters of the longest word that a host name can hold: the limit on a label of a domain name.
+LONGEST = 63
 #: Count that a seed word has besides those of the pages.
 SEED_COUNT = 1_000
 SMOOTHING = 1.0
