@@ -7,7 +7,7 @@ Two sketches are compared in full where both hold hashes above the fraction, so
 
 Words are runs of letters and digits in lower case; a text of one to four words is one shingle. Defined results: null text is empty;
 an empty text has an empty sketch, which is like (1.0) another empty one and unlike (0.0) any other; where the
-smaller text has no hash in the range compared, nothing is known and the likeness is null; repeated rows have equal fingerprints; an empty table gives an empty table; other columns are ignored.
+smaller text has no hash in the range compared, nothing is known: ``likeness`` is null and ``edited_fingerprints`` gives 0.0; repeated rows have equal fingerprints; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +61,16 @@ def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     return F.when(empty, F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(compared)
 
 
+def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of the shingles of two texts together, from their sketches.
+
+    A sketch without a hash above the fraction is of a text that is not short, unless it is so small that such a text would have more."""
+    complete = lambda x: (F.size(x) < int(SHORT * fraction / 2)) | (F.array_max(x) >= limit(fraction))
+    both = complete(a) & complete(b)
+    kept = lambda w: F.sort_array(F.when(both & (F.size(w) <= SHORT), w).otherwise(F.filter(w, lambda h: h < limit(fraction))))
+    return let(F.array_union(a, b), kept)
+
+
 def fingerprint(sketched: Column) -> Column:
     """The sketch as text: its hashes in hexadecimal, in order, joined by commas."""
     return F.array_join(F.transform(sketched, lambda h: F.lpad(F.hex(h), 16, "0")), ",")
@@ -115,6 +125,6 @@ def edited_fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFram
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sketch")).alias("fingerprint"),
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), fraction).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch"), fraction).alias("near_next"),
+        F.coalesce(likeness(F.col("sketch"), F.col("edited_sketch"), fraction), F.lit(0.0)).alias("near_edited"),
+        F.coalesce(likeness(F.col("sketch"), F.col("next_sketch"), fraction), F.lit(0.0)).alias("near_next"),
     )
