@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 ARABIC_DIGITS, PERSIAN_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 
 
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often later columns name them: they come out of a generator, into which Catalyst
+    moves no expression that stands above it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def is_present(c: Column) -> Column:
     return c.isNotNull() & (c != "") & (c != "[]")
 
@@ -56,12 +62,20 @@ def dominant_script(c: Column) -> Column:
 def normalize_number(c: Column) -> Column:
     """French and English thousands and decimals: the last of comma and point that is followed by one to three digits is the decimal mark;
     two of one kind are thousands."""
-    c = F.regexp_replace(c, r"[^0-9.,-]", "")
+    return decimal_point(number_characters(c))
+
+
+def number_characters(c: Column) -> Column:
+    return F.regexp_replace(c, r"[^0-9.,-]", "")
+
+
+def decimal_point(c: Column) -> Column:
+    """The second half of ``normalize_number``; it names its argument often, so give it a column that is computed already."""
     comma, point = F.instr(F.reverse(c), ","), F.instr(F.reverse(c), ".")
     both = (comma > 0) & (point > 0)
-    french = F.translate(F.regexp_replace(c, r"\.", ""), ",", ".")
-    english = F.regexp_replace(c, ",", "")
-    many = F.length(c) - F.length(F.regexp_replace(c, ",", "")) > 1
+    french = F.translate(c, ",.", ".")
+    english = F.translate(c, ",", "")
+    many = F.length(c) - F.length(english) > 1
     return F.when(both & (comma < point), french).when(both, english).when(many, english).when(comma > 0, F.translate(c, ",", ".")).otherwise(c)
 
 

@@ -49,17 +49,17 @@ def label_contexts(line: DataFrame, label: str) -> DataFrame:
 
 
 def label_values(box: DataFrame, label: str, reach: float = 400.0) -> DataFrame:
-    """The best neighbour of the document's label boxes: right of it in the row, or below it; equal scores go by box number."""
+    """The best neighbour of the document's label boxes: right of it in the row, or below it; scores equal to 9 places go by box number, then text."""
     rows = geometry(box)
     is_label = F.col("text").rlike(label)
     marks = rows.filter(is_label).select("doc_id", *[F.col(c).alias("l_" + c) for c in ("idx", "x1", "x2", "cx", "cy", "h")])
     pairs = rows.filter(~is_label).join(marks, "doc_id")
-    distance = F.hypot(F.col("cx") - F.col("l_cx"), F.col("cy") - F.col("l_cy"))
+    distance = F.sqrt(F.pow(F.col("cx") - F.col("l_cx"), 2) + F.pow(F.col("cy") - F.col("l_cy"), 2))
     same_row = F.abs(F.col("cy") - F.col("l_cy")) <= F.greatest(F.col("l_h"), F.col("h")) * 0.6
     below = (F.col("cy") > F.col("l_cy")) & (F.abs(F.col("cx") - F.col("l_cx")) <= F.greatest(F.col("l_x2") - F.col("l_x1"), F.col("w")))
     base = F.when(same_row & (F.col("x1") >= F.col("l_x1")), ROW).when(below, BELOW)
-    scored = pairs.filter(distance <= reach).withColumn("score", base - LOSS * distance).filter("score is not null")
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("text", "score", "idx", "l_idx"), F.struct("score", -F.col("idx"), -F.col("l_idx"))).alias("b"))
+    scored = pairs.filter(distance <= reach).withColumn("score", F.round(base - LOSS * distance, 9)).filter("score is not null")
+    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("text", "score", "idx", "l_idx"), F.struct("score", -F.col("idx"), -F.col("l_idx"), "text")).alias("b"))
     return best.select("doc_id", F.col("b.text").alias("value"), F.round("b.score", 4).alias("score"))
 
 

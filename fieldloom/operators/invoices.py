@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import normalize_number
+from fieldloom.functions.text import decimal_point, normalize_number, number_characters, with_computed
 
 AMOUNT = "decimal(18,3)"
 TOLERANCE = 0.010
@@ -54,10 +54,18 @@ def invoice_fields(doc: DataFrame) -> DataFrame:
 
 
 def invoice_results(doc: DataFrame) -> DataFrame:
-    """One row per invoice: header, amounts, and whether net and tax add up to the gross, but for a stamp of at most 5."""
+    """One row per invoice: header, amounts, and whether net and tax add up to the gross, but for a stamp of at most 5.
+
+    Each pattern runs once a row: matches, their number characters and the amounts are computed in steps of their own."""
     value = lambda name: first_match(F.col("raw_text"), PATTERNS[name])[0]
-    rows = doc.select("doc_id", value("invoice_number").alias("invoice_number"), invoice_date_iso(value("invoice_date")).alias("invoice_date"), value("customer").alias("customer"), *[amount(value(n)).alias(n) for n in ("total_ht", "vat", "total_ttc")])
-    stamp = F.col("total_ttc") - F.col("total_ht") - F.col("vat")
-    rows = rows.withColumn("stamp", F.when(stamp.between(0, 5), stamp))
-    gap = F.abs(F.col("total_ht") + F.col("vat") + F.coalesce("stamp", F.lit(0)) - F.col("total_ttc"))
-    return rows.withColumn("consistent", F.coalesce(gap <= TOLERANCE, F.lit(False))).select("doc_id", "invoice_number", "invoice_date", "customer", *[F.col(n).cast("double").alias(n) for n in ("total_ht", "vat", "total_ttc", "stamp")], "consistent")
+    amounts = ("total_ht", "vat", "total_ttc")
+    rows = with_computed(doc.select("doc_id", "raw_text"), number=value("invoice_number"), date=value("invoice_date"), customer=value("customer"), **{n: number_characters(value(n)) for n in amounts})
+    rows = with_computed(rows.drop("raw_text"), **{f"{n}_amount": decimal_point(F.col(n)).try_cast(AMOUNT) for n in amounts})
+    rows = rows.select("doc_id", "number", "date", "customer", *[F.col(f"{n}_amount").alias(n) for n in amounts])
+    gross_less_net = F.col("total_ttc") - F.col("total_ht") - F.col("vat")
+    stamp = F.when(gross_less_net.between(0, 5), gross_less_net)
+    gap = F.abs(F.coalesce(stamp, F.lit(0)) - gross_less_net)
+    return rows.select(
+        "doc_id", F.col("number").alias("invoice_number"), invoice_date_iso(F.col("date")).alias("invoice_date"), "customer",
+        *[F.col(n).cast("double").alias(n) for n in amounts], stamp.cast("double").alias("stamp"), F.coalesce(gap <= TOLERANCE, F.lit(False)).alias("consistent"),
+    )

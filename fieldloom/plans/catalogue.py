@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import text
 from fieldloom.operators import datasets, invoices, mrz, records, routing, scoring
-from fieldloom.plans.field_queries import QUERIES
+from fieldloom.plans import document_queries, field_queries
 from fieldloom.plans.tables import plain, table
 from fieldloom.streaming import metrics
 
@@ -192,6 +192,9 @@ _WITH_TABLES = {
 }
 
 
+QUERIES = field_queries.QUERIES | document_queries.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda spark, sf_dir, t=t, op=op: op(table(spark, sf_dir, t))) for name, (t, op, _) in _all().items()}
     return found | {name: f for name, (f, _, _) in (_WITH_TABLES | QUERIES).items()}

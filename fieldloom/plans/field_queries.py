@@ -184,8 +184,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "label_contexts": (_table("box", lambda d: boxes.label_contexts(boxes.reading_order(d), "Nom")), ["box"], f"{_LINES}, r AS (SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY x1, idx, text) AS text FROM lines GROUP BY 1, 2), c AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS before, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM r) SELECT * FROM c WHERE contains(text, 'Nom')"),
     "label_values": (_table("box", lambda d: boxes.label_values(d, "^Nom$")), ["box"], f"""{_LINES}, m AS (SELECT doc_id, idx, x1, x2, cx, cy, h FROM g WHERE text = 'Nom'),
         d AS (SELECT g.doc_id, g.text, g.idx, m.idx AS l_idx, sqrt(pow(g.cx - m.cx, 2) + pow(g.cy - m.cy, 2)) AS far, abs(g.cy - m.cy) <= greatest(m.h, g.h) * 0.6 AND g.x1 >= m.x1 AS beside, g.cy > m.cy AND abs(g.cx - m.cx) <= greatest(m.x2 - m.x1, g.w) AS under FROM g JOIN m ON g.doc_id = m.doc_id WHERE g.text <> 'Nom'),
-        s AS (SELECT *, CASE WHEN beside THEN 12.0 WHEN under THEN 8.5 END - 0.02 * far AS score FROM d WHERE far <= 400),
-        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx, l_idx) AS r FROM s WHERE score IS NOT NULL)
+        s AS (SELECT *, CASE WHEN beside THEN 12.0 WHEN under THEN 8.5 END - 0.02 * far AS raw FROM d WHERE far <= 400),
+        k AS (SELECT *, round(raw, 9) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9) DESC, idx, l_idx, text DESC) AS r FROM s WHERE raw IS NOT NULL)
         SELECT doc_id, text AS value, round(score, 4) AS score FROM k WHERE r = 1"""),
     "id_from_boxes": (_table("box", boxes.id_from_boxes), ["box"], "SELECT doc_id, arg_max(text, (confidence, -idx, text)) AS number FROM box WHERE regexp_full_match(text, '[0-9]{8}') GROUP BY doc_id"),
     "zone_texts": (_table("box", lambda d: boxes.zone_text(boxes.boxes_in_zone(d, {"head": (0, 0, 1, 0.2), "left": (0, 0.2, 0.4, 1)}, 400, 150))), ["box"], f"{_LINES} SELECT doc_id, zone, string_agg(text, ' ' ORDER BY cy, x1, idx, text) AS text FROM (SELECT *, CASE WHEN cx / 400 BETWEEN 0 AND 1 AND cy / 150 BETWEEN 0 AND 0.2 THEN 'head' WHEN cx / 400 BETWEEN 0 AND 0.4 AND cy / 150 BETWEEN 0.2 AND 1 THEN 'left' END AS zone FROM g) WHERE zone IS NOT NULL GROUP BY 1, 2"),

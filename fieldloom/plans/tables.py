@@ -6,6 +6,22 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+
+def _weighed(expr: str, length: int, place: int = 0) -> str:
+    """The sum of values of the characters of ``expr`` by weights 7, 3, 1, of which the first is at ``place``; 32 is the value of W."""
+    return " + ".join(f"{(7, 3, 1)[(place + i) % 3]} * coalesce(TRY_CAST(substr({expr}, {i + 1}, 1) AS INT), 32)" for i in range(length))
+
+
+def _checked(expr: str, length: int) -> str:
+    return f"CAST(({_weighed(expr, length)}) % 10 AS STRING)"
+
+
+_COMPOSITE = " + ".join(f"{_weighed(e, n, p)}" for e, n, p in (("number", 9, 0), ("number_check", 1, 9), ("birth", 6, 10), ("birth_check", 1, 16), ("expiry", 6, 17), ("expiry_check", 1, 23), ("personal", 14, 24), ("personal_check", 1, 38)))
+_WRONG = "CAST((CAST(birth_check AS INT) + 1) % 10 AS STRING)"
+_SECOND = "number, number_check, country, {birth}, {check}, sex, expiry, expiry_check, personal, personal_check, composite"
+
+
 TABLES = {
     "history": """
         SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey % 40 AS STRING) AS user_id,
@@ -69,6 +85,37 @@ TABLES = {
                concat(lpad(CAST(c_custkey AS STRING), 8, '0'), 'A', CAST(c_custkey % 10 AS STRING), 'UTO', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), '0715', CAST(c_custkey % 7 AS STRING),
                       CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '<' END, lpad(CAST(26 + c_custkey % 50 AS STRING), 2, '0'), '1231', CAST(c_custkey % 9 AS STRING), 'ZE184226B<<<<<', '1', CAST(c_custkey % 10 AS STRING)) AS line2
         FROM {customer}""",
+    # By the key modulo 8: as it should be; letters for digits; no sex; both lines in one; a wrong digit; no zone; other fillers; a misread letter.
+    "passport_text": f"""
+        SELECT doc_id, kind, number, country, birth, expiry, personal, sex, 'CUSTOMER' AS surname, given, label_number, line1, line2, bad_line2,
+               CASE kind WHEN 1 THEN concat(head, line1, chr(10), substr(line2, 1, 13), replace(birth, '0', 'O'), substr(line2, 20), chr(10), 'end')
+                         WHEN 2 THEN concat(head, line1, chr(10), substr(line2, 1, 20), '0', substr(line2, 22))
+                         WHEN 3 THEN concat(head, line1, line2, chr(10), 'end')
+                         WHEN 4 THEN concat(head, line1, chr(10), bad_line2, chr(10), 'end')
+                         WHEN 5 THEN concat('Republic', chr(10), 'Passport No: ', label_number, chr(10), 'end')
+                         WHEN 6 THEN concat(head, replace(line1, '<', '«'), chr(10), line2)
+                         WHEN 7 THEN concat(head, line1, chr(10), '4', substr(line2, 2))
+                         ELSE concat(head, line1, chr(10), line2, chr(10), 'end') END AS raw_text
+        FROM (SELECT *, concat('REPUBLIC ', country, chr(10), 'travel paper', chr(10)) AS head, rpad(concat('P<', country, 'CUSTOMER<<', replace(given, ' ', '<')), 44, '<') AS line1,
+                     concat({_SECOND.format(birth="birth", check="birth_check")}) AS line2, concat({_SECOND.format(birth="birth", check=_WRONG)}) AS bad_line2
+              FROM (SELECT *, CAST(({_COMPOSITE}) % 10 AS STRING) AS composite
+                    FROM (SELECT *, {_checked("number", 9)} AS number_check, {_checked("birth", 6)} AS birth_check, {_checked("expiry", 6)} AS expiry_check, {_checked("personal", 14)} AS personal_check
+                          FROM (SELECT c_custkey AS doc_id, CAST(c_custkey % 8 AS INT) AS kind, CASE c_custkey % 8 WHEN 7 THEN concat('W', lpad(CAST(c_custkey AS STRING), 8, '0')) ELSE lpad(CAST(c_custkey AS STRING), 9, '0') END AS number,
+                                       CASE c_custkey % 8 WHEN 7 THEN 'TUN' ELSE 'UTO' END AS country, concat(CAST(50 + c_custkey % 50 AS STRING), '0715') AS birth, concat(CAST(26 + c_custkey % 50 AS STRING), '1231') AS expiry,
+                                       lpad(CAST(c_custkey * 7 AS STRING), 14, '0') AS personal, CASE WHEN c_custkey % 3 = 0 THEN 'F' ELSE 'M' END AS sex,
+                                       CASE WHEN c_custkey % 2 = 0 THEN 'GIVEN ANNA' ELSE 'GIVEN LEE' END AS given, concat('AB', lpad(CAST(c_custkey AS STRING), 7, '0')) AS label_number
+                                FROM {{customer}}))))""",
+    # By the key modulo 4: French labels, Arabic labels, an extract of before there were labels, the lines of a new one.
+    "registry_text": """
+        SELECT doc_id, kind, code, company, cap, day, k, seg,
+               CASE kind WHEN 0 THEN concat('Date de l''extrait : 2020/03/', day, chr(10), 'Identifiant Unique : ', code, chr(10), 'Raison sociale : ', company, ' SUARL', chr(10), 'Nom Commercial : Boutique ', k, chr(10), 'Adresse Sociale : rue ', k, ' Tunis', chr(10),
+                                'Capital : ', cap, ' 500,000', chr(10), 'Activité Principale : commerce ', seg, chr(10), 'Activité Secondaire : conseil', chr(10), 'Forme Juridique : SUARL', chr(10), 'Date de Publication : ', day, '/04/2020', chr(10),
+                                'Date de début d''activité : 2020-05-', day, chr(10), 'Informations relatives à la Direction gérant Tunisien ', day, '/06/1970 Ali Ben ', seg, chr(10), 'https://page 1/2')
+                         WHEN 1 THEN concat('تاريخ استخراج المضمون 2021-03-', day, chr(10), 'المعرف الوحيد : ', code, chr(10), 'الاسم الاجتماعي : ', company, chr(10), 'الاسم التجاري : دكان', chr(10), 'رأس المال : ', cap, chr(10), 'النشاط الأصلي : تجارة', chr(10), 'النظام القانوني : محدودة', chr(10), 'تاريخ النشر : 2021-04-', day, chr(10), 'معلومات تخص الإدارة وكيل تونسية')
+                         WHEN 2 THEN concat('1999', chr(10), 'GULF ', seg, ' CAZCORPORATION', chr(10), 'B', code7, ' D', code7, ' g', code7, chr(10), 'le ', day, '/07/1999')
+                         ELSE concat('B', code7, chr(10), 'Dénomination', chr(10), company, chr(10), CASE WHEN doc_id % 8 = 3 THEN 'et fils' ELSE 'Forme' END, chr(10), 'sarl', chr(10), CASE WHEN doc_id % 3 = 0 THEN 'au capital de dix mille dinars' ELSE concat('Capital social : ', cap, ' 500,750 DT') END) END AS raw_text
+        FROM (SELECT c_custkey AS doc_id, CAST(c_custkey % 4 AS INT) AS kind, concat(lpad(CAST(c_custkey AS STRING), 7, '0'), 'B') AS code, lpad(CAST(c_custkey AS STRING), 7, '0') AS code7, concat('Maison ', CAST(c_custkey AS STRING)) AS company, CAST(10 + c_custkey % 80 AS STRING) AS cap,
+                     CAST(10 + c_custkey % 18 AS STRING) AS day, CAST(c_custkey AS STRING) AS k, c_mktsegment AS seg FROM {customer})""",
     "invoice_text": """
         SELECT o_orderkey AS doc_id,
                concat('FACTURE N° INV-', CAST(o_orderkey AS STRING), chr(10), 'Date: ', CAST(EXTRACT(DAY FROM o_orderdate) AS STRING), '/', CAST(EXTRACT(MONTH FROM o_orderdate) AS STRING), '/', CAST(EXTRACT(YEAR FROM o_orderdate) AS STRING),
