@@ -24,6 +24,8 @@ _UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]")
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 #: Pieces whose words are runs of Latin letters; an apostrophe, a space inside or any other script may join what the runs part.
 _PLAIN = re.compile(rf" ?[{_LATIN}!-&(-@\[-`{{-~\n]+")
+#: A word and the mark behind it.
+_WORD = re.compile(rf"( ?[{_LATIN}]+)([.,;:!?]?)")
 _RUNS = re.compile(rf" ?[{_LATIN}]+| ?[^{_LATIN}]+")
 #: Pieces kept in one Python worker; about 250 bytes each.
 CACHED_PIECES = 800_000
@@ -79,10 +81,10 @@ class TextEncoder:
         by_words = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
         self.cuts = bool(by_words and not spec.get("normalizer") and not spec.get("post_processor"))
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.characters = byte_characters()
+        self.space = self.characters[32]
         self.pieces = Pieces(self._piece, cached)
-        self.runs = Pieces(self._run, cached // 2)
 
     def _packed(self, ids: list[int]) -> bytes:
         return array("H", ids).tobytes() if self.dtype.itemsize == 2 and sys.byteorder == "little" else np.array(ids, dtype=self.dtype).tobytes()
@@ -92,29 +94,24 @@ class TextEncoder:
         return [self._packed(x.ids) for x in found]
 
     def _piece(self, piece: str) -> bytes:
-        if "\n\n" in piece or not _PLAIN.fullmatch(piece):
-            return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        runs = _RUNS.findall(piece)
-        if len(runs) == 1:
-            return self._run(piece)
-        return b"".join(map(self.runs.__getitem__, runs))
-
-    def _run(self, run: str) -> bytes:
-        """Ids of a run of letters, or of what stands between two, with the space before it."""
-        if not run[-1].isalpha():
-            return self._packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
-        if run.isascii():
-            word = self.characters[32] + run[1:] if run[0] == " " else run
-        else:
-            word = run.encode().decode("latin-1").translate(self.characters)
-        return self._packed([token.id for token in self.model.tokenize(word)])
+        if word := _WORD.fullmatch(piece):
+            run, mark = word.groups()
+            if mark:
+                return self.pieces[run] + self.pieces[mark]
+            if piece.isascii():
+                run = self.space + run[1:] if run[0] == " " else run
+            else:
+                run = run.encode().decode("latin-1").translate(self.characters)
+            return self._packed([token.id for token in self.tokenize(run)])
+        if len(piece) > 1 and "\n\n" not in piece and _PLAIN.fullmatch(piece) and len(runs := _RUNS.findall(piece)) > 1:
+            return b"".join(map(self.pieces.__getitem__, runs))
+        return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as packed little-endian integers of ``dtype``."""
         if not self.cuts:
             return self._whole(texts)
         self.pieces.trim()
-        self.runs.trim()
         ids = self.pieces.__getitem__
         found: list[bytes | None] = []
         for text in texts:
