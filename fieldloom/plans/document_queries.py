@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import passports, registry
+from fieldloom.operators import identity, passports, registry
 from fieldloom.plans.tables import table
 
 YEAR = 2025
@@ -121,6 +121,14 @@ _CHOSEN_SQL = f"""g AS (SELECT doc_id, min(confidence) AS low, max(confidence) A
     SELECT doc_id, name, CASE WHEN second THEN bv ELSE av END AS value, CAST(CASE WHEN ag AND bg AND eq THEN greatest(ac, bc, 0.90) WHEN second THEN bc ELSE ac END AS DOUBLE) AS confidence, CASE WHEN second THEN true ELSE ad END AS validated, CASE WHEN second THEN 'second' ELSE 'first' END AS run FROM z"""
 
 
+def _confidence(candidate: DataFrame) -> DataFrame:
+    """Readings of last and first names by value, from the working table's candidates."""
+    sources = F.collect_set(F.when(F.col("source") == "spatial", "spatial_boxes").when(F.col("source") == "zone", "roi_ocr").otherwise("full_text"))
+    rows = candidate.groupBy("doc_id", "field", "value").agg(F.avg("avg_conf").alias("mean"), F.count("*").alias("n"), sources.alias("sources"))
+    confidence = identity.candidate_confidence(F.col("field"), F.col("mean"), F.col("n"), 7 * F.col("n") + F.col("mean"), F.col("sources"))
+    return rows.select("doc_id", "field", "value", confidence.alias("confidence"))
+
+
 def _runs(doc: DataFrame) -> DataFrame:
     rows = passports.zone_fields(_zone(doc))
     return rows.withColumn("run", F.concat(F.lit("run-"), (F.col("doc_id") % 3).cast("string"))).withColumn("doc_id", F.expr("doc_id div 3"))
@@ -137,6 +145,17 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "choose_registry_values": (_table("field", lambda d: registry.choose_registry_values(*_two_runs(d))), ["field"], _CHOSEN_SQL),
     "registry_warnings": (_table("registry_text", lambda d: registry.registry_warnings(registry.registry_fields(d))), ["registry_text"], """
         SELECT doc_id, CASE kind WHEN 0 THEN '' WHEN 1 THEN 'raison_sociale' WHEN 2 THEN 'identifiant_unique' ELSE 'date_extrait,identifiant_unique' END AS warnings FROM registry_text"""),
+    "card_names": (_table("card_text", identity.names_from_text), [], None),
+    "card_places": (_table("card_text", identity.known_place), ["card_text"], "SELECT doc_id, place FROM card_text"),
+    "card_birth_dates": (_table("card_text", identity.birth_date), ["card_text"], "SELECT doc_id, CASE kind WHEN 0 THEN concat(year, CASE month WHEN 'مارس' THEN '-03-' ELSE '-10-' END, day) WHEN 1 THEN concat(year, '-03-', day) END AS birth_date FROM card_text"),
+    "card_numbers": (_table("card_text", identity.card_number), ["card_text"], "SELECT doc_id, number FROM card_text"),
+    "identity_card": (_table("card_text", lambda d: identity.identity_card(d, F.lit(YEAR))), [], None),
+    "identity_warnings": (_table("field", identity.identity_warnings), ["field"], "SELECT doc_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (review_required AND NOT validated), '') AS warnings FROM field GROUP BY doc_id"),
+    "name_quality": (_table("card_text", lambda d: d.select("doc_id", identity.phrase_quality(F.concat_ws(" ", "family", "first", F.when(F.col("kind") == 1, F.lit("الاسم")), F.when(F.col("kind") == 2, F.col("family")), F.when(F.col("doc_id") % 2 == 0, F.col("day")))).alias("quality"))), ["card_text"],
+                     "SELECT doc_id, CAST(round(0.9 - CASE WHEN kind = 1 THEN 0.35 ELSE 0 END - CASE WHEN kind = 2 THEN 0.10 ELSE 0 END - CASE WHEN doc_id % 2 = 0 THEN 0.25 ELSE 0 END, 4) AS DOUBLE) AS quality FROM card_text"),
+    "candidate_confidence": (_table("candidate", _confidence), ["candidate"], """
+        g AS (SELECT doc_id, field, value, avg(avg_conf) AS mean, count(*) AS n, max(CASE WHEN source = 'spatial' THEN 1 ELSE 0 END) AS spatial, max(CASE WHEN source = 'zone' THEN 1 ELSE 0 END) AS zone FROM candidate GROUP BY 1, 2, 3)
+        SELECT doc_id, field, value, CAST(round(CAST(least(0.95, 0.58 + least(mean, 1) * 0.15 + least(n, 3) * 0.05 + 0.10 * spatial + 0.03 * zone + CASE WHEN 7 * n + mean >= 20 THEN 0.10 WHEN 7 * n + mean >= 12 THEN 0.05 ELSE 0 END) AS DECIMAL(18,9)), 3) AS DOUBLE) AS confidence FROM g"""),
     "best_zone_run": (_table("passport_text", lambda d: passports.best_zone_run(_runs(d))), ["passport_text"], """
         r AS (SELECT CAST(floor(doc_id / 3) AS BIGINT) AS doc_id, concat('run-', doc_id % 3) AS run, kind, kind NOT IN (4, 5) AS valid,
                      CASE WHEN kind IN (4, 5) THEN -15.0 ELSE 12.0 * 1.97 + 50.0 * 1.94 + CASE WHEN kind = 2 THEN 0 ELSE 4 * 1.94 END END AS score FROM passport_text),

@@ -105,6 +105,17 @@ TABLES = {
                                        lpad(CAST(c_custkey * 7 AS STRING), 14, '0') AS personal, CASE WHEN c_custkey % 3 = 0 THEN 'F' ELSE 'M' END AS sex,
                                        CASE WHEN c_custkey % 2 = 0 THEN 'GIVEN ANNA' ELSE 'GIVEN LEE' END AS given, concat('AB', lpad(CAST(c_custkey AS STRING), 7, '0')) AS label_number
                                 FROM {{customer}}))))""",
+    # By the key modulo 3: values behind their labels, values before them, words with their letters turned round.
+    "card_text": """
+        SELECT doc_id, kind, number, family, first, place, day, month, year,
+               CASE kind WHEN 0 THEN concat('الجمهورية التونسية', chr(10), 'بطاقة التعريف الوطنية', chr(10), number, chr(10), 'اللقب ', family, chr(10), 'الاسم ', first, chr(10), 'تاريخ الولادة ', day, ' ', month, ' ', year, chr(10), 'مكانها ', place)
+                         WHEN 1 THEN concat(number, chr(10), family, ' اللقب', chr(10), first, ' الاسم', chr(10), 'بنت ', family, chr(10), day, '/03/', year, ' تاريخ الولادة', chr(10), '01/02/2011', chr(10), place, ' مكانها')
+                         ELSE concat('رقم ', number, chr(10), 'اللقب ', reverse(family), chr(10), 'الاسم ', first, ' بن ', family, chr(10), 'مكانها ', replace(place, ' ', '')) END AS raw_text
+        FROM (SELECT c_custkey AS doc_id, CAST(c_custkey % 3 AS INT) AS kind, lpad(CAST(c_custkey AS STRING), 8, '0') AS number,
+                     CASE c_custkey % 5 WHEN 0 THEN 'الزبيدي' WHEN 1 THEN 'العربي' WHEN 2 THEN 'بوزيد' WHEN 3 THEN 'المنصوري' ELSE 'الطرابلسي' END AS family,
+                     CASE c_custkey % 7 WHEN 0 THEN 'محمد' WHEN 1 THEN 'عزيز' WHEN 2 THEN 'زينب' WHEN 3 THEN 'رمضان' WHEN 4 THEN 'خالد' WHEN 5 THEN 'مريم' ELSE 'سعيد' END AS first,
+                     CASE c_custkey % 4 WHEN 0 THEN 'صفاقس' WHEN 1 THEN 'القيروان' WHEN 2 THEN 'سيدي بوزيد' ELSE 'منزل تميم' END AS place,
+                     CAST(10 + c_custkey % 18 AS STRING) AS day, CASE c_custkey % 2 WHEN 0 THEN 'مارس' ELSE 'أكتوبر' END AS month, CAST(1950 + c_custkey % 50 AS STRING) AS year FROM {customer})""",
     # By the key modulo 4: French labels, Arabic labels, an extract of before there were labels, the lines of a new one.
     "registry_text": """
         SELECT doc_id, kind, code, company, cap, day, k, seg,
