@@ -33,6 +33,45 @@ def normalize_french(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\x{00A0}]+", " "))
 
 
+def cleanup_arabic(c: Column) -> Column:
+    """Without signs that steer the direction of writing; Arabic letters, digits and a few marks stay, all else is a space."""
+    c = ascii_digits(F.regexp_replace(c, r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{061C}]", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\x{0600}-\x{06FF}0-9\s:/\\.\-]", " "), r"\s+", " "))
+
+
+# Misread labels and names of identity cards, and what they mean.
+LABEL_FIXES = [("اللقب:", "اللقب"), ("الالقب", "اللقب"), ("نساما", "الاسم"), ("نسإما", "الاسم"), ("النسم", "الاسم"), ("الاسم:", "الاسم"), ("الممادة", "الولادة"), ("الم ادة", "الولادة"), ("تاريخالممادة", "تاريخ الولادة"), ("بثت", "بنت")]
+NAME_FIXES = [("محمم", "محمد"), ("دمحم", "محمد"), ("عزمم", "عزيز"), ("بممز", "زينب"), ("اضر", "رضا"), ("ناضمر", "رمضان"), ("نمسحما", "الحسين"), ("نبرعما", "العربي")]
+
+
+def fix_labels(c: Column) -> Column:
+    """Misread labels wherever they stand, in order, then misread names where they are whole words."""
+    for bad, good in LABEL_FIXES:
+        c = F.replace(c, F.lit(bad), F.lit(good))
+    for bad, good in NAME_FIXES:
+        c = F.regexp_replace(c, rf"(?<![\x{{0600}}-\x{{06FF}}]){bad}(?![\x{{0600}}-\x{{06FF}}])", good)
+    return c
+
+
+# Frequent small words by which Latin texts are told apart.
+STOP_WORDS = {"fr": "le la les de des du et est dans pour une".split(), "en": "the of and to in is that for with on".split(), "de": "der die das und ist nicht ein zu den mit".split(), "es": "el los las y en que por una con del".split()}
+
+
+def detect_language(c: Column, hint: Column | None = None) -> Column:
+    """The hint, else English, for fewer than ten characters; Arabic where its letters are more than the Latin ones; else the language with
+    most small words, the first of equals, and the hint or English without any. A vote stands in for a trained model."""
+    text, hint = F.coalesce(c, F.lit("")), F.lit(None).cast("string") if hint is None else hint
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    votes = F.array(*[F.struct(F.size(F.filter(words, _is_one_of(some))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, some) in enumerate(STOP_WORDS.items())])
+    best = F.array_max(votes)
+    arabic = F.regexp_count(text, F.lit(r"[\x{0600}-\x{06FF}]")) > F.regexp_count(text, F.lit(r"[A-Za-zÀ-ÿ]"))
+    return F.when(F.length(F.trim(text)) < 10, F.coalesce(hint, F.lit("en"))).when(arabic, F.when(hint.startswith("fr"), "ar+fr").otherwise("ar")).when(best["n"] > 0, best["lang"]).otherwise(F.coalesce(hint, F.lit("en")))
+
+
+def _is_one_of(some: list[str]):
+    return lambda w: w.isin(*some)
+
+
 def normalize_arabic(c: Column) -> Column:
     c = F.regexp_replace(c, r"[\x{064B}-\x{065F}\x{0670}\x{0640}]", "")
     return F.translate(c, "أإآىة", "اااايه"[:3] + "يه")

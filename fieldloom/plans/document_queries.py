@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import identity, passports, registry
+from fieldloom.functions import text
+from fieldloom.operators import identity, passports, registry, results
 from fieldloom.plans.tables import table
 
 YEAR = 2025
@@ -134,6 +135,123 @@ def _runs(doc: DataFrame) -> DataFrame:
     return rows.withColumn("run", F.concat(F.lit("run-"), (F.col("doc_id") % 3).cast("string"))).withColumn("doc_id", F.expr("doc_id div 3"))
 
 
+def _tables(names: list[str], op: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(*[table(spark, sf_dir, n) for n in names])
+
+
+def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _types(passport: DataFrame, extract: DataFrame) -> DataFrame:
+    texts = passport.select(F.col("doc_id") * 2, "raw_text").toDF("doc_id", "raw_text").unionByName(extract.select((F.col("doc_id") * 2 + 1).alias("doc_id"), "raw_text"))
+    return results.detect_document_type(texts)
+
+
+def _compatible(history: DataFrame) -> DataFrame:
+    seen = F.when(F.col("template_id") == "tpl-1", "Facture").when(F.col("template_id") == "tpl-2", "cin").when(F.col("template_id") == "tpl-3", "passeport")
+    return history.select("id", results.type_compatible(F.when(F.col("document_type") == "identity", "id_card").otherwise(F.col("document_type")), seen, F.col("global_confidence")).alias("compatible"))
+
+
+_COMPATIBLE_SQL = """
+    c AS (SELECT id, global_confidence AS g, CASE document_type WHEN 'identity' THEN 'id_document' ELSE coalesce(document_type, 'auto') END AS a, CASE template_id WHEN 'tpl-1' THEN 'invoice' WHEN 'tpl-2' THEN 'cin_tn' WHEN 'tpl-3' THEN 'passport' ELSE 'auto' END AS b FROM history)
+    SELECT id, a = 'auto' OR b = 'auto' OR a = b OR (a = 'id_document' AND b = 'cin_tn') OR g < 0.25 AS compatible FROM c"""
+
+
+def _extractor(history: DataFrame) -> DataFrame:
+    rows = history.select(F.col("id").alias("doc_id"), F.col("document_type").alias("family"), F.when(F.col("user_id") != "5", F.col("template_id")).alias("template_id"), F.col("global_confidence").alias("confidence"))
+    return results.choose_extractor(rows, {"invoice": "invoice_fields", "passport": "passport_fields"})
+
+
+def _profiles(doc: DataFrame) -> DataFrame:
+    body = F.when(F.col("doc_id") % 4 == 0, F.concat("raw_text", F.lit(" TTN"))).when(F.col("doc_id") % 4 == 1, F.regexp_replace("raw_text", "TVA|TTC", "X")).when(F.col("doc_id") % 4 == 2, F.lit("page")).otherwise(F.col("raw_text"))
+    return doc.select("doc_id", results.invoice_profile(body).alias("profile"))
+
+
+def _gross(doc: DataFrame) -> DataFrame:
+    k = F.col("doc_id")
+    body = F.concat(F.lit("total Montant T.T.C, "), (k % 90 + 10).cast("string"), F.lit(".500 et "), (k % 70 + 5).cast("string"), F.lit(",250"))
+    amount = results.gross_fallback(body, (k % 70).cast("decimal(18,3)"), F.lit(5).cast("decimal(18,3)"), F.when(k % 2 == 0, F.lit(0.25)).cast("decimal(18,3)"))
+    return doc.select("doc_id", amount.cast("double").alias("amount"))
+
+
+def _outputs(field: DataFrame) -> DataFrame:
+    entries = F.array_join(F.transform(F.map_entries("data"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return results.output_values(field, {"invoice_number": "number", "total_amount": "total"}).select("doc_id", entries.alias("data"))
+
+
+def _formatted(field: DataFrame) -> DataFrame:
+    out = results.formatted(results.build_result(field), results.output_values(field), field)
+    return out.select("doc_id", "status", F.coalesce(F.size("data"), F.lit(0)).cast("bigint").alias("n_data"), F.size("confidences").cast("bigint").alias("n_confidences"))
+
+
+_LAYOUT = ["numero_registre", "dirigeant_qualite", "raison_sociale", "adresse_sociale", "photo"]
+
+
+def _layout(field: DataFrame) -> DataFrame:
+    rows = field.groupBy("doc_id").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max("confidence").alias("c"), F.bool_and("validated").alias("ok")).withColumn("name", F.element_at(F.array(*map(F.lit, _LAYOUT)), (F.col("doc_id") % len(_LAYOUT) + 1).cast("int")))
+    base = rows.filter("doc_id % 3 <> 0").select("doc_id", "name", F.col("a").alias("value"), (1 - F.col("c")).alias("confidence"), F.col("ok").alias("validated"))
+    return results.merge_layout(base, rows.filter("doc_id % 4 <> 0").select("doc_id", "name", F.col("b").alias("value"), F.col("c").alias("confidence"), F.lit(True).alias("validated")), ["raison_sociale"])
+
+
+_LAYOUT_SQL = f"""
+    g AS (SELECT doc_id, min(value) AS a, max(value) AS b, max(confidence) AS c, bool_and(validated) AS ok, [{", ".join(repr(n) for n in _LAYOUT)}][CAST(doc_id % 5 + 1 AS INT)] AS name FROM field GROUP BY doc_id),
+    x AS (SELECT *, doc_id % 3 <> 0 AS ah, doc_id % 4 <> 0 AND name NOT IN ('raison_sociale', 'photo') AND coalesce(b, '') <> '' AS bh, coalesce(doc_id % 3 <> 0 AND ok AND a <> '', false) AS held FROM g),
+    y AS (SELECT *, CASE WHEN NOT bh THEN 'kept' WHEN NOT held THEN 'added' WHEN name = 'dirigeant_qualite' AND a <> b THEN 'replaced' ELSE 'kept' END AS action FROM x WHERE ah OR bh)
+    SELECT doc_id, name, CASE WHEN action = 'kept' THEN a ELSE b END AS value, CAST(CASE WHEN action = 'kept' THEN 1 - c ELSE round(c, 3) END AS DOUBLE) AS confidence, CASE WHEN action = 'kept' THEN ok ELSE true END AS validated, action FROM y"""
+
+_LABELLED = ["family_name", "first_name", "date_of_birth", "place_of_birth"]
+
+
+def _override(field: DataFrame) -> DataFrame:
+    rows = field.groupBy(F.expr("doc_id div 4").alias("doc_id"), F.element_at(F.array(*map(F.lit, _LABELLED)), (F.col("doc_id") % 4 + 1).cast("int")).alias("name")).agg(F.min("value").alias("a"), F.max("value").alias("b"), F.bool_or("validated").alias("ok"), F.max("confidence").alias("c"))
+    spatial = rows.select("doc_id", "name", F.col("a").alias("value"), F.col("ok").alias("valid"), (F.col("c") / 2).alias("score"))
+    labelled = rows.select("doc_id", "name", F.col("b").alias("value"), F.lit(True).alias("valid"), F.when(F.col("c") > 0.5, F.col("c")).alias("score"))
+    return results.override_by_labels(spatial, labelled, ["A1"]).select("doc_id", "name", "value", F.round("score", 4).alias("score"), "taken")
+
+
+_OVERRIDE_SQL = f"""
+    g AS (SELECT CAST(floor(doc_id / 4) AS BIGINT) AS doc_id, [{", ".join(repr(n) for n in _LABELLED)}][CAST(doc_id % 4 + 1 AS INT)] AS name, min(value) AS a, max(value) AS b, bool_or(validated) AS ok, max(confidence) AS c FROM field GROUP BY 1, 2),
+    o AS (SELECT doc_id, CASE name WHEN 'family_name' THEN 'first_name' ELSE 'family_name' END AS name, b AS other FROM g WHERE name IN ('family_name', 'first_name')),
+    x AS (SELECT g.*, other, coalesce(a, '') IN ('', '[]') AS empty, coalesce(b, '') NOT IN ('', '[]') AS bh FROM g LEFT JOIN o ON g.doc_id = o.doc_id AND g.name = o.name),
+    y AS (SELECT *, bh AND coalesce(CASE WHEN name IN ('family_name', 'first_name') THEN empty OR NOT ok OR coalesce(a = other, false) WHEN name = 'place_of_birth' THEN empty OR a = 'A1' OR (a <> b AND length(b) > length(a)) ELSE empty END, false) AS taken FROM x)
+    SELECT doc_id, name, CASE WHEN taken THEN b ELSE a END AS value, CAST(round(CASE WHEN taken THEN greatest(c / 2, CASE WHEN c > 0.5 THEN c ELSE 0.90 END) ELSE c / 2 END, 4) AS DOUBLE) AS score, taken FROM y"""
+
+#: Texts of zones by the key modulo 8.
+_ZONE_TEXTS = {
+    "birth_date": ("concat(lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'), ' . O3.1', '98', CAST(doc_id % 10 AS {s}))", "concat('198', CAST(doc_id % 10 AS {s}), '-03-', lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'))", "true"),
+    "gender": ("CASE WHEN doc_id % 3 = 0 THEN 'sex: f' ELSE 'x' END", "CASE WHEN doc_id % 3 = 0 THEN 'F' END", "doc_id % 3 = 0"),
+    "number": ("concat('[U ', CAST(100000 + doc_id AS {s}), '|')", "concat('EU', CAST(100000 + doc_id AS {s}))", "true"),
+    "id_number": ("concat('no ', CAST(500000 + doc_id AS {s}), CASE WHEN doc_id % 3 = 0 THEN '/' ELSE '' END, 'l2I')", "CASE WHEN doc_id % 3 = 0 THEN concat(CAST(500000 + doc_id AS {s}), '/121') ELSE concat('0', substr(CAST(500000 + doc_id AS {s}), 1, 5), '/', substr(CAST(500000 + doc_id AS {s}), 6, 1), '121') END", "true"),
+    "nationality": ("CASE WHEN doc_id % 3 = 0 THEN 'svk ' ELSE 'gtt' END", "CASE WHEN doc_id % 3 = 0 THEN 'SVK' ELSE 'GTT' END", "doc_id % 3 = 0"),
+    "surname": ("CASE WHEN doc_id % 3 = 0 THEN 'Novák  Jana' WHEN doc_id % 3 = 1 THEN 'C S E trjeo' ELSE 'SURNAME' END", "CASE WHEN doc_id % 3 = 0 THEN 'Novák Jana' WHEN doc_id % 3 = 1 THEN 'C S E trjeo' END", "doc_id % 3 = 0"),
+    "issue_place": ("CASE WHEN doc_id % 3 = 0 THEN 'Bratislava, (II)' ELSE 'Md' END", "CASE WHEN doc_id % 3 = 0 THEN 'Bratislava, (II)' ELSE 'Md' END", "doc_id % 3 = 0"),
+    "note": ("CASE WHEN doc_id % 3 = 0 THEN ' a  b ' ELSE '' END", "CASE WHEN doc_id % 3 = 0 THEN 'a b' END", "doc_id % 3 = 0"),
+}
+
+
+def _zones(doc: DataFrame) -> DataFrame:
+    raw = F.expr("CASE name " + " ".join(f"WHEN '{n}' THEN {t.format(s='STRING')}" for n, (t, _, _) in _ZONE_TEXTS.items()) + " END")
+    names = doc.select("doc_id", F.element_at(F.array(*map(F.lit, _ZONE_TEXTS)), (F.col("doc_id") % len(_ZONE_TEXTS) + 1).cast("int")).alias("name"))
+    rows = names.select("doc_id", "name", raw.alias("text"), (F.col("doc_id") % 5 / 5).alias("mean"), (F.col("doc_id") % 2 == 0).alias("required"))
+    return results.zone_fields(rows)
+
+
+def _zones_sql() -> str:
+    case = lambda k: "CASE name " + " ".join(f"WHEN '{n}' THEN {x[k].format(s='VARCHAR')}" for n, x in _ZONE_TEXTS.items()) + " END"
+    errors = "CASE name " + " ".join(f"WHEN '{n}' THEN '{e}'" for n, e in results.ZONE_ERRORS.items()) + " ELSE 'empty' END"
+    names = ", ".join(f"'{n}'" for n in _ZONE_TEXTS)
+    return f"""n AS (SELECT doc_id, [{names}][CAST(doc_id % {len(_ZONE_TEXTS)} + 1 AS INT)] AS name FROM card_text), x AS (SELECT *, {case(1)} AS value, {case(2)} AS ok FROM n)
+        SELECT doc_id, name, value, CAST(round(CASE WHEN ok THEN least(0.95, 0.70 + 0.25 * (doc_id % 5 / 5)) WHEN value IS NOT NULL THEN 0.45 ELSE 0 END, 4) AS DOUBLE) AS confidence, ok AS validated, CASE WHEN NOT ok THEN {errors} END AS error, doc_id % 2 = 0 AND NOT ok AS review_required FROM x"""
+
+
+_LANGUAGE_SQL = "SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 10 THEN 'en' WHEN " + "len(regexp_extract_all(text, '[\\x{0600}-\\x{06FF}]')) > len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) THEN 'ar' " + " ".join(
+    f"WHEN n{i} > 0 AND n{i} = greatest(n0, n1, n2, n3) THEN '{lang}'" for i, lang in enumerate(text.STOP_WORDS)
+) + " ELSE 'en' END AS language FROM (SELECT doc_id, text, " + ", ".join(
+    f"len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda w: w IN ({', '.join(repr(w) for w in words)}))) AS n{i}" for i, words in enumerate(text.STOP_WORDS.values())
+) + " FROM documents)"
+
+
 #: Name: query, working tables of its SQL, SQL.
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], str | None]] = {
     "passport_zones": (_table("passport_text", lambda d: _zone(d).select("doc_id", "line1", "line2", "valid")), ["passport_text"], """
@@ -145,6 +263,36 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "choose_registry_values": (_table("field", lambda d: registry.choose_registry_values(*_two_runs(d))), ["field"], _CHOSEN_SQL),
     "registry_warnings": (_table("registry_text", lambda d: registry.registry_warnings(registry.registry_fields(d))), ["registry_text"], """
         SELECT doc_id, CASE kind WHEN 0 THEN '' WHEN 1 THEN 'raison_sociale' WHEN 2 THEN 'identifiant_unique' ELSE 'date_extrait,identifiant_unique' END AS warnings FROM registry_text"""),
+    "document_types": (_tables(["passport_text", "registry_text"], _types), ["passport_text", "registry_text"], """
+        SELECT doc_id * 2 AS doc_id, CASE kind WHEN 6 THEN 'unknown' ELSE 'passport' END AS document_type, CAST(CASE kind WHEN 6 THEN 0 ELSE 1 END AS DOUBLE) AS confidence FROM passport_text
+        UNION ALL SELECT doc_id * 2 + 1, CASE kind WHEN 1 THEN 'cin_tn' WHEN 2 THEN 'unknown' ELSE 'registre_commerce' END, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 0.875 WHEN 2 THEN 0 ELSE 0.5 END FROM registry_text"""),
+    "type_compatible": (_table("history", _compatible), ["history"], _COMPATIBLE_SQL),
+    "keyword_family": (_documents(lambda d: d.select("doc_id", results.first_keyword_family(F.col("text")).alias("family"))), [], "SELECT doc_id, CASE WHEN regexp_matches(t, 'facture|invoice|ttc|montant total') THEN 'FACTURE' WHEN regexp_matches(t, 'registre de commerce|raison sociale|rc|denomination') THEN 'REGISTRE_COMMERCE' ELSE 'CIN' END AS family FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"),
+    "choose_extractor": (_table("history", _extractor), ["history"], "SELECT id AS doc_id, coalesce(CASE WHEN global_confidence >= 0.5 AND user_id <> '5' THEN concat('template:', template_id) END, CASE document_type WHEN 'invoice' THEN 'invoice_fields' WHEN 'passport' THEN 'passport_fields' END, CASE WHEN user_id <> '5' THEN concat('template:', template_id) END, 'none') AS extractor FROM history"),
+    "invoice_profiles": (_table("invoice_text", _profiles), ["invoice_text"], "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ttn_electronic' WHEN 1 THEN 'simple' WHEN 2 THEN 'unknown' ELSE 'standard' END AS profile FROM invoice_text"),
+    "gross_fallback": (_table("invoice_text", _gross), ["invoice_text"], "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 70 + 5.25 ELSE greatest(doc_id % 90 + 10.5, doc_id % 70 + 5.25) END AS DOUBLE) AS amount FROM invoice_text"),
+    "build_results": (_table("field", results.build_result), ["field"], """
+        c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (validated) AS n_valid, count(*) FILTER (coalesce(value, '') NOT IN ('', '[]')) AS n_present, bool_or(review_required) AS review, avg(confidence) AS mean, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (review_required), '') AS review_reasons FROM field GROUP BY 1)
+        SELECT doc_id, CASE WHEN review THEN 'review_required' WHEN n_valid / n >= 0.70 THEN 'success' ELSE 'partial' END AS status, CAST(round(CAST(0.65 * mean + 0.35 * n_valid / n AS DECIMAL(18,9)), 4) AS DOUBLE) AS global_confidence, round(n_valid / n, 4) AS coverage, n_valid, n_present, review_reasons FROM c"""),
+    "output_values": (_table("field", _outputs), ["field"], "v AS (SELECT doc_id, CASE name WHEN 'invoice_number' THEN 'number' WHEN 'total_amount' THEN 'total' ELSE name END AS key, max(value) AS value FROM field WHERE validated AND coalesce(value, '') NOT IN ('', '[]') GROUP BY 1, 2) SELECT doc_id, string_agg(concat(key, '=', value), ';' ORDER BY key) AS data FROM v GROUP BY 1"),
+    "formatted_results": (_table("field", _formatted), ["field"], """
+        c AS (SELECT doc_id, bool_or(review_required) AS review, count(*) FILTER (validated) / count(*) AS share, count(DISTINCT CASE WHEN validated AND coalesce(value, '') NOT IN ('', '[]') THEN name END) AS n_data, count(DISTINCT name) AS n_confidences FROM field GROUP BY 1)
+        SELECT doc_id, CASE WHEN review THEN 'review_required' WHEN share >= 0.70 THEN 'success' ELSE 'partial' END AS status, n_data, n_confidences FROM c"""),
+    "drop_visual": (_table("region", lambda d: results.drop_visual(d.withColumnRenamed("field_name", "name")).select("filename", "name", "x", "y")), ["region"], "SELECT filename, field_name AS name, x, y FROM region WHERE field_name <> 'photo'"),
+    "template_summary": (_tables(["template", "region", "history"], lambda t, r, h: results.template_summary(t, r.select(F.concat(F.lit("tpl-"), F.substring_index("class_name", "-", -1)).alias("template_id")), h)), ["template", "region", "history"], """
+        f AS (SELECT concat('tpl-', split_part(class_name, '-', 2)) AS id, count(*) AS n FROM region GROUP BY 1), u AS (SELECT template_id AS id, count(*) AS n FROM history GROUP BY 1)
+        SELECT t.id, t.name, coalesce(f.n, 0) AS field_count, coalesce(u.n, 0) AS usage_count FROM template t LEFT JOIN f ON t.id = f.id LEFT JOIN u ON t.id = u.id"""),
+    "merge_layout": (_table("field", _layout), ["field"], _LAYOUT_SQL),
+    "override_by_labels": (_table("field", _override), ["field"], _OVERRIDE_SQL),
+    "document_summary": (_table("case_result", results.document_summary), ["case_result"], "SELECT case_id, family, critical_total - critical_valid_count AS critical_missing, critical_valid_count >= critical_total AS critical_pass, http_ok AND template_ok AND api_status IN ('success', 'review_required', 'partial') AND critical_valid_count >= critical_total AS benchmark_pass FROM case_result"),
+    "service_counts": (lambda s, d: results.service_counts(table(s, d, "job"), s.read.parquet(f"{d}/events.parquet"), F.col("event_id") % 9 == 0), ["job"], """
+        SELECT 'pages_processed' AS name, organization_id AS label, CAST(sum(page_count) AS BIGINT) AS n FROM job WHERE status = 'done' GROUP BY 2 UNION ALL SELECT 'queue_depth', 'all', count(*) FROM job WHERE status = 'queued' HAVING count(*) > 0
+        UNION ALL SELECT 'rate_limit_hits', CAST(user_id AS VARCHAR), count(*) FROM events WHERE event_id % 9 = 0 GROUP BY 2"""),
+    "union_variants": (_table("region", lambda d: results.union_variants(d.filter("x < 100").select("filename", "field_name", "x"), d.filter("y < 50").select("filename", "field_name", "y"))), ["region"], "SELECT filename, field_name, x, CAST(NULL AS DOUBLE) AS y FROM region WHERE x < 100 UNION ALL SELECT filename, field_name, NULL, y FROM region WHERE y < 50"),
+    "zone_text_fields": (_table("card_text", _zones), ["card_text"], _zones_sql()),
+    "card_cleanup": (_table("card_text", lambda d: d.select("doc_id", text.cleanup_arabic(F.concat("place", F.lit(" x\u200f٣-"), "number")).alias("clean"), text.fix_labels(F.concat(F.lit("نساما دمحم "), "family", F.lit(" دمحمم"))).alias("fixed"))), ["card_text"], "SELECT doc_id, concat(place, ' 3-', number) AS clean, concat('الاسم محمد ', family, ' دمحمم') AS fixed FROM card_text"),
+    "text_languages": (_documents(lambda d: d.select("doc_id", text.detect_language(F.col("text")).alias("language"))), [], _LANGUAGE_SQL),
+    "capital_words": (_table("registry_text", lambda d: d.select("doc_id", registry.capital_in_words(F.concat(F.lit("Capital de "), F.when(F.col("doc_id") % 3 == 0, "CINQ MILLE").when(F.col("doc_id") % 3 == 1, "cent mille"))).alias("amount"))), ["registry_text"], "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '5000' WHEN 1 THEN '100000' END AS amount FROM registry_text"),
     "card_names": (_table("card_text", identity.names_from_text), [], None),
     "card_places": (_table("card_text", identity.known_place), ["card_text"], "SELECT doc_id, place FROM card_text"),
     "card_birth_dates": (_table("card_text", identity.birth_date), ["card_text"], "SELECT doc_id, CASE kind WHEN 0 THEN concat(year, CASE month WHEN 'مارس' THEN '-03-' ELSE '-10-' END, day) WHEN 1 THEN concat(year, '-03-', day) END AS birth_date FROM card_text"),
