@@ -44,7 +44,7 @@ def _all() -> dict[str, tuple[str, Callable[[DataFrame], DataFrame], str]]:
         "duration_quantiles": (h, records.duration_quantiles, "SELECT template_id, quantile_cont(CAST(processing_time_ms AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(processing_time_ms AS DOUBLE), 0.95) AS p95, quantile_cont(CAST(processing_time_ms AS DOUBLE), 0.99) AS p99 FROM history GROUP BY 1"),
         "field_outcomes": (f, records.field_outcomes, "SELECT name, CASE WHEN coalesce(value, '') = '' THEN 'missing' WHEN NOT validated THEN 'invalid' ELSE 'found' END AS outcome, count(*) AS n FROM field GROUP BY 1, 2"),
         "avg_confidence_pct": (h, records.avg_confidence_pct, "SELECT round(100 * avg(m), 4) AS pct FROM (SELECT avg(global_confidence) AS m FROM history GROUP BY template_id, engine_used)"),
-        "anonymize_audit": ("audit", lambda d: records.anonymize_audit(d, F.expr("TIMESTAMP '2024-06-01 00:00:00'")).withColumn("ip_address", F.substring("ip_address", 1, 5)), "SELECT id, CASE WHEN old THEN 'anon_' ELSE substr(ip_address, 1, 5) END AS ip_address, CASE WHEN old THEN '***' ELSE api_key_prefix END AS api_key_prefix, CASE WHEN NOT old THEN details END AS details, is_anonymized OR old AS is_anonymized FROM (SELECT *, NOT is_anonymized AND created_at < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 30 DAY AS old FROM audit)"),
+        "anonymize_audit": ("audit", lambda d: records.anonymize_audit(d, F.expr("TIMESTAMP '2024-06-01 00:00:00'")), "SELECT id, CASE WHEN old THEN 'anon_' || translate(base64(unhex(substr(sha256(ip_address), 1, 24))), '+/', '-_') ELSE ip_address END AS ip_address, CASE WHEN old THEN '***' ELSE api_key_prefix END AS api_key_prefix, CASE WHEN NOT old THEN details END AS details, is_anonymized OR old AS is_anonymized FROM (SELECT *, NOT is_anonymized AND created_at < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 30 DAY AS old FROM audit)"),
         "document_scores": (f, scoring.document_scores, f"""
             SELECT *, CASE WHEN n_present = 0 THEN 'failed' WHEN review_required THEN 'review_required' WHEN n_missing > 0 THEN 'partial' ELSE 'success' END AS status FROM (
             SELECT doc_id, CAST(round(CAST(sum(weight * CASE WHEN {PRESENT} THEN confidence ELSE 0.0 END) / sum(weight) AS DECIMAL(18,9)), 4) AS DOUBLE) AS global_confidence, CAST(round(CAST(avg(CASE WHEN {PRESENT} THEN confidence END) AS DECIMAL(18,9)), 4) AS DOUBLE) AS quality,
@@ -87,10 +87,13 @@ def _all() -> dict[str, tuple[str, Callable[[DataFrame], DataFrame], str]]:
                 SELECT e.name, lower('N' || regexp_replace(e.value, '^[A-Z]', '')) AS expected, a.value, coalesce(a.value <> '' AND a.value <> '[]', false) AS there
                 FROM field e LEFT JOIN (SELECT * FROM field WHERE confidence > 0.2) a ON e.doc_id = a.doc_id AND e.name = a.name) GROUP BY name)"""),
         "invoice_results": ("invoice_text", invoices.invoice_results, _INVOICE),
-        "invoice_fields": ("invoice_text", lambda d: invoices.invoice_fields(d).filter("name in ('invoice_number', 'customer', 'invoice_date')"), f"""
+        "invoice_fields": ("invoice_text", invoices.invoice_fields, f"""
             SELECT doc_id, 'invoice_number' AS name, regexp_extract(raw_text, 'N° ([A-Z0-9-]+)', 1) AS value, CAST(0.95 AS DOUBLE) AS confidence FROM invoice_text
             UNION ALL SELECT doc_id, 'customer', regexp_extract(raw_text, 'Client: ([^\\n]+)', 1), 0.95 FROM invoice_text
-            UNION ALL SELECT doc_id, 'invoice_date', strftime({_DATE}, '%Y-%m-%d'), 0.95 FROM invoice_text"""),
+            UNION ALL SELECT doc_id, 'invoice_date', strftime({_DATE}, '%Y-%m-%d'), 0.95 FROM invoice_text
+            UNION ALL SELECT doc_id, 'total_ht', CAST({_AMOUNT.format('Total HT')} AS VARCHAR), 0.95 FROM invoice_text
+            UNION ALL SELECT doc_id, 'vat', CAST({_AMOUNT.format('TVA 19%')} AS VARCHAR), 0.95 FROM invoice_text
+            UNION ALL SELECT doc_id, 'total_ttc', CAST({_AMOUNT.format('Total TTC')} AS VARCHAR), 0.95 FROM invoice_text"""),
     }
 
 
@@ -209,4 +212,10 @@ def oracle_sql() -> dict[str, str]:
             ctes = [f"{t} AS ({plain(t)})" for t in used]
             starts = sql.lstrip().upper().startswith("SELECT")
             found[name] = ("WITH " + ", ".join(ctes) + (" " if starts else ", ") if ctes else "") + sql
+    scores, critical = found["document_scores"], found["critical_pass"]
+    found["recommendations"] = f"""WITH s AS ({scores}) SELECT doc_id, CASE WHEN status = 'failed' THEN 'rescan' WHEN n_missing > 0 THEN 'complete_fields' WHEN global_confidence < 0.70 THEN 'check_values'
+        WHEN status = 'review_required' THEN 'review' ELSE 'accept' END AS advice FROM s"""
+    found["assess_documents"] = f"""WITH s AS ({scores}), c AS ({critical}), b AS (SELECT s.doc_id, n_present, c.n_valid / 3 AS share,
+        round(CAST(0.60 * coalesce(quality, 0) + 0.25 * (c.n_valid / 3) + 0.10 * coverage_pct / 100 + 0.05 * s.n_valid / n_fields AS DECIMAL(18,9)), 4) AS score FROM s JOIN c ON s.doc_id = c.doc_id)
+        SELECT doc_id, CAST(score AS DOUBLE) AS business_score, CASE WHEN n_present = 0 THEN 'failed' WHEN share < 1 THEN 'review_required' WHEN score < 0.5 THEN 'partial' ELSE 'success' END AS assessed FROM b"""
     return found

@@ -137,8 +137,7 @@ def _detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _delete(history: DataFrame, detail: DataFrame) -> DataFrame:
     kept, details = governance.delete_history(history, detail, history.filter("user_id = '7'").select("id"))
-    counts = [d.agg(F.count("*").alias("n")).withColumn("kept", F.lit(name)) for name, d in (("history", kept), ("detail", details))]
-    return counts[0].unionByName(counts[1])
+    return kept.select(F.lit("history").alias("kept"), "id").unionByName(details.select(F.lit("detail").alias("kept"), F.col("detail_id").cast("string").alias("id")))
 
 
 def _assess(field: DataFrame) -> DataFrame:
@@ -172,7 +171,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
         UNION ALL SELECT c_custkey, 'id_number', {_ID}, 0.86, true, NULL FROM customer
         UNION ALL SELECT c_custkey, 'sex', CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'X' END, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 2 = 0 THEN 0.86 ELSE 0.45 END, c_custkey % 3 <> 0 AND c_custkey % 2 = 0, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 1 THEN 'not_an_option' END FROM customer"""),
     "marker_fields": (_table("identity_text", lambda d: extraction.marker_extract(d, "CIN")), [], "SELECT c_custkey AS doc_id, 'place' AS name, c_mktsegment AS value FROM customer"),
-    "line_items": (lambda s, d: extraction.line_items(_item_text(s, d)).drop("line_no"), [], "SELECT l_orderkey AS doc_id, concat('P', l_partkey) AS code, concat('Part no ', l_suppkey) AS designation, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS quantity, CAST(CAST(l_discount AS DECIMAL(18,2)) AS DOUBLE) AS price, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS total FROM lineitem"),
+    "line_items": (lambda s, d: extraction.line_items(_item_text(s, d)), [], "SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, concat('P', l_partkey, '  Part no ', l_suppkey, '  ', CAST(l_quantity AS BIGINT), '  ', CAST(l_discount AS DECIMAL(18,2)), '  ', CAST(l_extendedprice AS DECIMAL(18,2)))) AS INT) AS line_no, concat('P', l_partkey) AS code, concat('Part no ', l_suppkey) AS designation, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS quantity, CAST(CAST(l_discount AS DECIMAL(18,2)) AS DOUBLE) AS price, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS total FROM lineitem"),
     "classify_family": (_documents(lambda d: routing.classify_family(d, FAMILIES)), [], _family_sql()),
     "classify_variant": (_documents(lambda d: routing.classify_variant(d, VARIANTS, "text_generic")), [], _variant_sql()),
     "auto_template": (_documents(lambda d: routing.auto_template(d, TEMPLATES)), [], _template_sql()),
@@ -219,9 +218,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "group_leakage": (_table("region", lambda d: datasets.group_leakage(d.filter("field_name = 'photo'"), d.filter("class_name = 'class-1'"), "group_id")), ["region"], "SELECT DISTINCT group_id FROM region WHERE field_name = 'photo' INTERSECT SELECT group_id FROM region WHERE class_name = 'class-1'"),
     "first_per_class": (_table("listed_file", lambda d: files.discover_cases(d, 5)), ["listed_file"], "c AS (SELECT path, split_part(path, '/', 3) AS class_name, split_part(path, '/', 4) AS variant FROM listed_file) SELECT path, class_name, variant FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY path) AS r FROM c) WHERE r <= 5"),
     "screen_uploads": (_table("listed_file", files.screen_uploads), ["listed_file"], "SELECT path, length, CASE WHEN path LIKE '%.exe' THEN 'extension' WHEN length = 0 THEN 'empty' WHEN length > 20971520 THEN 'too_large' END AS reason FROM listed_file"),
-    "latest_details": (_table("detail", lambda d: files.latest_per_key(d.filter("job_id is not null"), "job_id", "detail_at").groupBy("job_id").agg(F.max("detail_at").alias("detail_at"))), ["detail"], "SELECT job_id, max(detail_at) AS detail_at FROM detail WHERE job_id IS NOT NULL GROUP BY 1"),
+    "latest_details": (_table("detail", lambda d: files.latest_per_key(d.filter("job_id is not null"), "job_id", "detail_at")), ["detail"], "SELECT * FROM detail WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY detail_at DESC, detail_id DESC) = 1"),
     "history_with_detail": (_tables(["history", "detail"], lambda h, d: governance.history_with_detail(h, d).select("id", "detail_id", "note")), ["history", "detail"], "p AS (SELECT history_id AS id, detail_at, detail_id, note FROM detail WHERE history_id IS NOT NULL UNION ALL SELECT h.id, detail_at, detail_id, note FROM detail d JOIN history h ON d.job_id = h.job_id), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY detail_at DESC, detail_id DESC, note DESC) AS r FROM p) SELECT h.id, n.detail_id, n.note FROM history h LEFT JOIN n ON h.id = n.id AND n.r = 1"),
-    "delete_history": (_tables(["history", "detail"], _delete), ["history", "detail"], "SELECT count(*) AS n, 'history' AS kept FROM history WHERE user_id <> '7' UNION ALL SELECT count(*), 'detail' FROM detail WHERE coalesce(history_id, '') NOT IN (SELECT id FROM history WHERE user_id = '7') AND coalesce(job_id, '') NOT IN (SELECT job_id FROM history WHERE user_id = '7')"),
+    "delete_history": (_tables(["history", "detail"], _delete), ["history", "detail"], "SELECT 'history' AS kept, id FROM history WHERE user_id <> '7' UNION ALL SELECT 'detail', CAST(detail_id AS VARCHAR) FROM detail WHERE coalesce(history_id, '') NOT IN (SELECT id FROM history WHERE user_id = '7') AND coalesce(job_id, '') NOT IN (SELECT job_id FROM history WHERE user_id = '7')"),
     "erase_org": (_table("job", lambda d: governance.erase(d, F.col("organization_id") == "7", F.expr(NOW)).select("id", "is_purged", "result_path", F.col("purged_at").isNotNull().alias("stamped"))), ["job"], "SELECT id, is_purged OR organization_id = '7' AS is_purged, CASE WHEN is_purged OR organization_id <> '7' THEN result_path END AS result_path, NOT is_purged AND organization_id = '7' AS stamped FROM job"),
     "export_org": (_table("job", governance.export_org), ["job"], "SELECT organization_id, CAST(row_number() OVER (PARTITION BY organization_id ORDER BY created_at DESC, id) AS INT) AS place, concat('{\"id\":\"', id, '\",\"status\":\"', status, '\",\"page_count\":', page_count, '}') AS json FROM job"),
     "retention_info": (_table("org", governance.retention_info), ["org"], "SELECT id, data_retention_days, CASE WHEN data_retention_days < 90 THEN 'short' ELSE 'standard' END AS policy FROM org"),
@@ -231,9 +230,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "user_counts": (_table("account", governance.user_counts), ["account"], "SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (role = 'admin') AS admins, count(*) FILTER (role = 'operator' AND NOT is_active) AS pending_operators FROM account"),
     "search_templates": (_table("template", lambda d: governance.search(d, "TPL-1", None, True)), ["template"], "SELECT * FROM template WHERE is_active AND (contains(lower(id), 'tpl-1') OR contains(lower(name), 'tpl-1') OR contains(lower(document_type), 'tpl-1'))"),
     "upsert_templates": (_table("template", lambda d: governance.upsert(d, d.filter("is_active").withColumn("name", F.upper("name")))), ["template"], "SELECT id, CASE WHEN is_active THEN upper(name) ELSE name END AS name, document_type, is_active FROM template"),
-    "flat_record": (_table("field", lambda d: governance.flat_record(d, {"invoice_number": "number", "total_amount": "total"}).drop("json")), ["field"], "v AS (SELECT doc_id, CASE name WHEN 'invoice_number' THEN 'number' WHEN 'total_amount' THEN 'total' ELSE name END AS key, max(value) AS value FROM field WHERE validated AND value <> '' GROUP BY 1, 2) SELECT doc_id, string_agg(concat(key, '=', value), ';' ORDER BY key) AS record FROM v GROUP BY 1"),
+    "flat_record": (_table("field", lambda d: governance.flat_record(d, {"invoice_number": "number", "total_amount": "total"})), ["field"], "v AS (SELECT doc_id, CASE name WHEN 'invoice_number' THEN 'number' WHEN 'total_amount' THEN 'total' ELSE name END AS key, max(value) AS value FROM field WHERE validated AND value <> '' GROUP BY 1, 2) SELECT doc_id, string_agg(concat(key, '=', value), ';' ORDER BY key) AS record, '{' || string_agg('\"' || key || '\":\"' || value || '\"', ',' ORDER BY key) || '}' AS json FROM v GROUP BY 1"),
     "recommendations": (_table("field", lambda d: governance.recommendation(scoring.document_scores(d))), [], None),
     "assess_documents": (_table("field", _assess), [], None),
     "job_states": (_table("job_event", states.job_states), ["job_event"], "SELECT job_id, arg_max(state, (ts, event_id)) AS state, count(*) FILTER (state = 'processing') AS attempts, count(*) FILTER (state = 'failed') AS failures, max(ts) AS changed_at FROM job_event GROUP BY 1"),
-    "breaker_states": (_table("job_event", lambda d: states.breaker_table(d.select((F.col("job_id") % 50).alias("key"), "ts", (F.col("state") != "failed").alias("ok"), "event_id"))), [], None),
+    "breaker_states": (_table("job_event", lambda d: states.breaker_table(d.select(F.col("job_id").alias("key"), "ts", (F.col("state") != "failed").alias("ok"), "event_id"))), [], None),
 }

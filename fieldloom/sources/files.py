@@ -71,9 +71,9 @@ def write_results(result: DataFrame, path: str) -> None:
 
 
 def latest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The newest row of each key, for writers that replace."""
+    """The newest row of each key, for writers that replace; of equally new ones the largest, column by column."""
     whole = F.struct(*rows.columns)
-    return rows.groupBy(key).agg(F.max_by(whole, F.struct(order, F.xxhash64(whole))).alias("_r")).select("_r.*")
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct(order, whole)).alias("_r")).select("_r.*")
 
 
 def write_csv_export(flat: DataFrame, path: str) -> None:
