@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import identity, passports, registry, results
+from fieldloom.operators import identity, passports, plugins, registry, results
 from fieldloom.plans.tables import table
 
 YEAR = 2025
@@ -217,6 +217,31 @@ _OVERRIDE_SQL = f"""
     y AS (SELECT *, bh AND coalesce(CASE WHEN name IN ('family_name', 'first_name') THEN empty OR NOT ok OR coalesce(a = other, false) WHEN name = 'place_of_birth' THEN empty OR a = 'A1' OR (a <> b AND length(b) > length(a)) ELSE empty END, false) AS taken FROM x)
     SELECT doc_id, name, CASE WHEN taken THEN b ELSE a END AS value, CAST(round(CASE WHEN taken THEN greatest(c / 2, CASE WHEN c > 0.5 THEN c ELSE 0.90 END) ELSE c / 2 END, 4) AS DOUBLE) AS score, taken FROM y"""
 
+RULE_TABLE = [
+    ("invoice", "number", 1, r"N° (INV-\d*5)\b"), ("invoice", "number", 2, r"(INV-\d+)"), ("invoice", "client", 1, r"Client: ([^\n]+)"), ("invoice", "stamp", 1, r"Timbre: (\d+)"),
+    ("identity", "place", 1, r"CIN_PLACE: (\w+)"), ("identity", "number", 1, r"(\d{8}) : Numero"),
+]
+
+
+def _rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "invoice_text").select("doc_id", "raw_text", F.lit("invoice").alias("document_type")).unionByName(table(spark, sf_dir, "identity_text").select((-F.col("doc_id") - 1).alias("doc_id"), "raw_text", F.lit("identity").alias("document_type")))
+    return plugins.extract_by_rule_table(docs, spark.createDataFrame(RULE_TABLE, "document_type string, name string, place int, pattern string"))
+
+
+_RULE_TABLE_SQL = """
+    SELECT CAST(o_orderkey AS BIGINT) AS doc_id, 'number' AS name, concat('INV-', o_orderkey) AS value, CASE WHEN o_orderkey % 10 = 5 THEN 1 ELSE 2 END AS place FROM orders
+    UNION ALL SELECT o_orderkey, 'client', concat('Customer ', o_custkey), 1 FROM orders
+    UNION ALL SELECT -c_custkey - 1, 'place', c_mktsegment, 1 FROM customer UNION ALL SELECT -c_custkey - 1, 'number', lpad(CAST(c_custkey AS VARCHAR), 8, '0'), 1 FROM customer"""
+
+
+def _families(passport: DataFrame, extract: DataFrame, invoice: DataFrame) -> DataFrame:
+    """Three tables of texts as one, each with its family; extracts of kind 2 are of a family that no extractor takes."""
+    part = lambda df, k, family, variant=None: df.select((F.col("doc_id") * 3 + k).alias("doc_id"), "raw_text", family.alias("family"), F.lit(variant).cast("string").alias("variant"))
+    family = F.when(F.col("kind") == 2, "unknown").otherwise("business_registry")
+    docs = part(passport, 0, F.lit("id_document"), "passport_generic").unionByName(part(extract, 1, family)).unionByName(part(invoice, 2, F.lit("invoice")))
+    return plugins.extract(docs, plugins.default_extractors(YEAR)).select("doc_id", "extractor", "name", "value", "validated")
+
+
 #: Texts of zones by the key modulo 8.
 _ZONE_TEXTS = {
     "birth_date": ("concat(lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'), ' . O3.1', '98', CAST(doc_id % 10 AS {s}))", "concat('198', CAST(doc_id % 10 AS {s}), '-03-', lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'))", "true"),
@@ -263,6 +288,14 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "choose_registry_values": (_table("field", lambda d: registry.choose_registry_values(*_two_runs(d))), ["field"], _CHOSEN_SQL),
     "registry_warnings": (_table("registry_text", lambda d: registry.registry_warnings(registry.registry_fields(d))), ["registry_text"], """
         SELECT doc_id, CASE kind WHEN 0 THEN '' WHEN 1 THEN 'raison_sociale' WHEN 2 THEN 'identifiant_unique' ELSE 'date_extrait,identifiant_unique' END AS warnings FROM registry_text"""),
+    "rule_table_fields": (_rule_table, [], _RULE_TABLE_SQL),
+    "routed_fields": (_tables(["passport_text", "registry_text", "invoice_text"], _families), ["passport_text", "registry_text", "invoice_text"], f"""
+        p AS ({_passport_sql()}), r AS ({_registry_sql()})
+        SELECT doc_id * 3 AS doc_id, 'passport' AS extractor, name, value, validated FROM p
+        UNION ALL SELECT r.doc_id * 3 + 1, 'registry', name, value, validated FROM r JOIN registry_text t ON r.doc_id = t.doc_id WHERE kind <> 2
+        UNION ALL SELECT doc_id * 3 + 2, 'invoice', n, v, true FROM (SELECT doc_id, unnest(['invoice_number', 'customer', 'invoice_date', 'total_ht', 'vat', 'total_ttc']) AS n, unnest([regexp_extract(raw_text, 'N° ([A-Z0-9-]+)', 1), regexp_extract(raw_text, 'Client: ([^\\n]+)', 1),
+            strftime(make_date(CAST(regexp_extract(raw_text, 'Date: (\\d+)/(\\d+)/(\\d+)', 3) AS INT), CAST(regexp_extract(raw_text, 'Date: (\\d+)/(\\d+)/(\\d+)', 2) AS INT), CAST(regexp_extract(raw_text, 'Date: (\\d+)/(\\d+)/(\\d+)', 1) AS INT)), '%Y-%m-%d'),
+            CAST(CAST(replace(regexp_extract(raw_text, 'Total HT: ([0-9,]+)', 1), ',', '.') AS DECIMAL(18,3)) AS VARCHAR), CAST(CAST(replace(regexp_extract(raw_text, 'TVA 19%: ([0-9,]+)', 1), ',', '.') AS DECIMAL(18,3)) AS VARCHAR), CAST(CAST(replace(regexp_extract(raw_text, 'Total TTC: ([0-9,]+)', 1), ',', '.') AS DECIMAL(18,3)) AS VARCHAR)]) AS v FROM invoice_text)"""),
     "document_types": (_tables(["passport_text", "registry_text"], _types), ["passport_text", "registry_text"], """
         SELECT doc_id * 2 AS doc_id, CASE kind WHEN 6 THEN 'unknown' ELSE 'passport' END AS document_type, CAST(CASE kind WHEN 6 THEN 0 ELSE 1 END AS DOUBLE) AS confidence FROM passport_text
         UNION ALL SELECT doc_id * 2 + 1, CASE kind WHEN 1 THEN 'cin_tn' WHEN 2 THEN 'unknown' ELSE 'registre_commerce' END, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 0.875 WHEN 2 THEN 0 ELSE 0.5 END FROM registry_text"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,43 @@ ANNOTATION = f"_via_img_metadata map<string,struct<filename:string,regions:array
 EXTENSIONS, MOST_BYTES = ["pdf", "png", "jpg", "jpeg", "tif", "tiff"], 20 * 1024 * 1024
 
 
+DOCUMENT = "doc_id bigint, raw_text string"
+RULES = "array<struct<name:string,place:int,pattern:string>>"
+TEMPLATE = f"id string, name string, document_type string, doc_family string, language string, is_active boolean, fields {RULES}"
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, raw_text of recognised texts: Parquet tables or folders of JSON lines, by the path's ending."""
+    return spark.read.schema(DOCUMENT).json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.parquet(path).select("doc_id", "raw_text")
+
+
+def load_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue of a folder of YAML files, one template each; parsed where the files are read. A file that is no template gives no row."""
+    def parse(batches):
+        import pyarrow as pa
+        import yaml
+
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                try:
+                    found = yaml.safe_load(text)
+                except yaml.YAMLError:
+                    continue
+                if isinstance(found, dict) and found.get("id"):
+                    out.append(json.dumps(found, default=str))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["template"])
+
+    parsed = spark.read.option("pathGlobFilter", "*.y*ml").text(folder, wholetext=True).mapInArrow(parse, "template string")
+    rows = parsed.select(F.from_json("template", TEMPLATE).alias("t")).select("t.*")
+    return rows.withColumn("is_active", F.coalesce("is_active", F.lit(True))).withColumn("n_fields", F.coalesce(F.size("fields"), F.lit(0)))
+
+
+def template_rules(catalog: DataFrame) -> DataFrame:
+    """document_type, name, place, pattern: one row for each rule of an active template."""
+    return catalog.filter("is_active").select("document_type", F.inline("fields"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """One stored result per file; a file that is no JSON gives a row of nulls."""
     return spark.read.schema(RESULT).option("multiLine", True).json(path)
