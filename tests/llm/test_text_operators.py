@@ -49,10 +49,12 @@ def test_encoder_is_the_library(text):
         assert np.frombuffer(code.encode([text])[0], code.dtype).tolist() == ids_of(text)
 
 
-def test_wavelet_matrix_answers():
+def test_wavelet_matrix_answers(monkeypatch):
     ids = np.random.default_rng(1).zipf(1.4, 5000) % 700
     ids = ids.astype("<u2")
-    matrix = wavelet_ids.WaveletMatrix.unpack(wavelet_ids.WaveletMatrix.build(ids).pack())
+    monkeypatch.setattr(wavelet_ids, "BLOCK", 1 << 9)
+    monkeypatch.setattr(wavelet_ids, "HELD_BLOCKS", 3)
+    matrix = wavelet_ids.StoredMatrix(wavelet_ids.WaveletMatrix.build(ids).pack())
     assert matrix.all().tolist() == ids.tolist()
     assert [matrix.access(i) for i in range(0, 5000, 97)] == ids[::97].tolist()
     for value in (1, 2, 77, 699, 4000):
@@ -245,6 +247,22 @@ def test_encoder_is_the_library_on_any_text(some):
         assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(some)] == want
 
 
+def test_shards_answer_as_spark_jobs(spark):
+    """Counts, places and single ids over several shards, against the library's ids."""
+    docs = spark.createDataFrame([(i, words(60, i)) for i in range(40)], "doc_id long, text string")
+    shards = wavelet_ids.write_shards(docs, BYTES, shard_tokens=600)
+    ids = {r.doc_id: [*ids_of(r.text), 2] for r in docs.collect()}
+    token = ids[3][5]
+    want = {(d, i) for d, x in ids.items() for i, t in enumerate(x) if t == token}
+    assert {(r.doc_id, r.place) for r in wavelet_ids.occurrences(shards, token).collect()} == want
+    counts = wavelet_ids.token_counts(shards, token).collect()
+    assert len(counts) == shards.count() > 5 and sum(r.n for r in counts) == len(want)
+    asked = spark.createDataFrame([(d, p) for d in (0, 7, 39, 99) for p in (0, 3, 50, 10_000, -1)] + [(None, 0)], "doc_id long, place long")
+    got = {(r.doc_id, r.place): r.token for r in wavelet_ids.tokens_at(shards, asked).collect()}
+    assert got == {(d, p): ids[d][p] for d in (0, 7, 39) for p in (0, 3, 50)}
+    assert wavelet_ids.occurrences(shards.limit(0), token).count() == 0
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert wavelet_ids.read_documents(wavelet_ids.write_shards(none, BYTES)).count() == 0
