@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import identity, passports, plugins, registry, results
+from fieldloom.operators import extraction, identity, passports, plugins, registry, results
 from fieldloom.plans.tables import table
 
 YEAR = 2025
@@ -242,6 +242,38 @@ def _families(passport: DataFrame, extract: DataFrame, invoice: DataFrame) -> Da
     return plugins.extract(docs, plugins.default_extractors(YEAR)).select("doc_id", "extractor", "name", "value", "validated")
 
 
+def _legacy(invoice: DataFrame, extract: DataFrame) -> DataFrame:
+    docs = invoice.select((F.col("doc_id") * 2).alias("doc_id"), "raw_text", F.when(F.col("doc_id") % 3 != 0, "FACTURE").alias("family"))
+    return extraction.legacy_extract(docs.unionByName(extract.select((F.col("doc_id") * 2 + 1).alias("doc_id"), "raw_text", F.lit("REGISTRE_COMMERCE").alias("family"))))
+
+
+_LEGACY_SQL = """
+    SELECT doc_id * 2 AS doc_id, unnest(['invoice_number', 'invoice_date', 'total_ttc', 'ice']) AS name,
+           unnest([regexp_extract(raw_text, 'N° ([A-Z0-9-]+)', 1), regexp_extract(raw_text, 'Date: ([0-9/]+)', 1), regexp_extract(raw_text, 'Total TTC: ([0-9,]+)', 1), NULL]) AS value FROM invoice_text WHERE doc_id % 3 <> 0
+    UNION ALL SELECT doc_id * 2 + 1, unnest(['rc_number', 'company_name', 'if_number', 'ice']), unnest([CASE kind WHEN 0 THEN 'ial' END, CASE kind WHEN 0 THEN concat(company, ' SUARL') WHEN 3 THEN company END, NULL, NULL]) FROM registry_text"""
+
+
+def _registry_zones(extract: DataFrame) -> DataFrame:
+    zone = lambda name, *parts: F.struct(F.lit(name).alias("zone"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+    day, k = F.col("day"), F.col("k")
+    every = F.array(zone("company_block", "Nom Commercial : Boutique ", k), zone("adresse_zone", "Adresse Sociale - rue ", k, " Capital : 5 "), zone("activity_block", "Activité Principale : vente Forme Juridique : "), zone("forme_juridique_zone", "sarl"), zone("direction_table_zone", "2019-01-02 Gérant tunisien ", day, "/06/1970 Ali ", F.col("seg")))
+    return registry.registry_zone_fields(extract.select("doc_id", F.inline(F.when(F.col("kind") < 2, every).otherwise(F.slice(every, 1, 2)))))
+
+
+_REGISTRY_ZONES_SQL = """
+    SELECT doc_id, 'nom_commercial' AS name, concat('Boutique ', k) AS value, CAST(0.58 AS DOUBLE) AS confidence, 'company_block' AS source_zone FROM registry_text
+    UNION ALL SELECT doc_id, 'adresse_sociale', concat('rue ', k), 0.60, 'adresse_zone' FROM registry_text UNION ALL SELECT doc_id, 'activite_principale', 'vente', 0.58, 'activite_zone' FROM registry_text WHERE kind < 2
+    UNION ALL SELECT doc_id, 'forme_juridique', 'sarl', 0.58, 'forme_juridique_zone' FROM registry_text WHERE kind < 2 UNION ALL SELECT doc_id, 'dirigeant_date_naissance', concat('1970-06-', day), 0.72, 'direction_table_zone' FROM registry_text WHERE kind < 2
+    UNION ALL SELECT doc_id, 'dirigeant_nationalite', 'Tunisienne', 0.68, 'direction_table_zone' FROM registry_text WHERE kind < 2 UNION ALL SELECT doc_id, 'dirigeant_qualite', 'Gérant', 0.58, 'direction_table_zone' FROM registry_text WHERE kind < 2
+    UNION ALL SELECT doc_id, 'dirigeant_nom_prenom', concat('Ali ', seg), 0.48, 'direction_table_zone' FROM registry_text WHERE kind < 2"""
+
+
+def _best_place(card: DataFrame) -> DataFrame:
+    one = lambda value, score, source, rank: F.struct(value.alias("value"), F.lit(score).alias("score"), F.array(source).alias("sources"), F.lit(rank).alias("rank"))
+    every = F.array(one(F.lit("XYZ"), 99.0, F.lit("spatial_boxes"), 1), one(F.col("place"), 10.0, F.when(F.col("doc_id") % 3 != 0, "text_place_global").otherwise("zone"), 2), one(F.lit("تونس"), 12.0, F.lit("spatial_boxes"), 3))
+    return identity.best_place(card.select("doc_id", F.inline(every)))
+
+
 #: Texts of zones by the key modulo 8.
 _ZONE_TEXTS = {
     "birth_date": ("concat(lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'), ' . O3.1', '98', CAST(doc_id % 10 AS {s}))", "concat('198', CAST(doc_id % 10 AS {s}), '-03-', lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'))", "true"),
@@ -296,6 +328,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
         UNION ALL SELECT doc_id * 3 + 2, 'invoice', n, v, true FROM (SELECT doc_id, unnest(['invoice_number', 'customer', 'invoice_date', 'total_ht', 'vat', 'total_ttc']) AS n, unnest([regexp_extract(raw_text, 'N° ([A-Z0-9-]+)', 1), regexp_extract(raw_text, 'Client: ([^\\n]+)', 1),
             strftime(make_date(CAST(regexp_extract(raw_text, 'Date: (\\d+)/(\\d+)/(\\d+)', 3) AS INT), CAST(regexp_extract(raw_text, 'Date: (\\d+)/(\\d+)/(\\d+)', 2) AS INT), CAST(regexp_extract(raw_text, 'Date: (\\d+)/(\\d+)/(\\d+)', 1) AS INT)), '%Y-%m-%d'),
             CAST(CAST(replace(regexp_extract(raw_text, 'Total HT: ([0-9,]+)', 1), ',', '.') AS DECIMAL(18,3)) AS VARCHAR), CAST(CAST(replace(regexp_extract(raw_text, 'TVA 19%: ([0-9,]+)', 1), ',', '.') AS DECIMAL(18,3)) AS VARCHAR), CAST(CAST(replace(regexp_extract(raw_text, 'Total TTC: ([0-9,]+)', 1), ',', '.') AS DECIMAL(18,3)) AS VARCHAR)]) AS v FROM invoice_text)"""),
+    "legacy_fields": (_tables(["invoice_text", "registry_text"], _legacy), ["invoice_text", "registry_text"], _LEGACY_SQL),
+    "registry_zone_fields": (_table("registry_text", _registry_zones), ["registry_text"], _REGISTRY_ZONES_SQL),
+    "best_places": (_table("card_text", _best_place), ["card_text"], "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 OR contains(place, ' ') THEN place ELSE 'تونس' END AS place FROM card_text"),
     "document_types": (_tables(["passport_text", "registry_text"], _types), ["passport_text", "registry_text"], """
         SELECT doc_id * 2 AS doc_id, CASE kind WHEN 6 THEN 'unknown' ELSE 'passport' END AS document_type, CAST(CASE kind WHEN 6 THEN 0 ELSE 1 END AS DOUBLE) AS confidence FROM passport_text
         UNION ALL SELECT doc_id * 2 + 1, CASE kind WHEN 1 THEN 'cin_tn' WHEN 2 THEN 'unknown' ELSE 'registre_commerce' END, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 0.875 WHEN 2 THEN 0 ELSE 0.5 END FROM registry_text"""),
