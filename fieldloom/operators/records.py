@@ -111,11 +111,19 @@ def avg_confidence_pct(history: DataFrame) -> DataFrame:
     return series.agg(F.round(100 * F.avg("m"), 4).alias("pct"))
 
 
+#: Milliseconds of a slice of a key's events, and of the window before each event.
+SLICE, REACH = 600_000, 60_000
+
+
 def rate_limit_windows(events: DataFrame, rpm: int, burst: int) -> DataFrame:
-    """Requests of the key in the last 60 seconds (now - 60 s, now], what remains of the limit, and whether it is allowed."""
-    rows = events.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    n = F.count("*").over(Window.partitionBy("user_id").orderBy("ms").rangeBetween(-59_999, 0))
-    rows = rows.withColumn("n", n)
+    """Requests of the key in the last 60 seconds (now - 60 s, now], what remains of the limit, and whether it is allowed.
+
+    A key's events are cut into slices of time, each with a copy of the minute before it, so one busy key is many tasks' work."""
+    rows = events.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("own", F.floor(F.col("ms") / SLICE))
+    late = F.pmod("ms", F.lit(SLICE)) > SLICE - REACH
+    rows = rows.withColumn("slice", F.explode(F.when(late, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    n = F.count("*").over(Window.partitionBy("user_id", "slice").orderBy("ms").rangeBetween(1 - REACH, 0))
+    rows = rows.withColumn("n", n).filter(F.col("slice").eqNullSafe(F.col("own")))
     return rows.select("event_id", "user_id", "n", F.greatest(F.lit(rpm + burst) - F.col("n"), F.lit(0)).alias("remaining"), (F.col("n") <= rpm + burst).alias("allowed"))
 
 
