@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import discard, rows_by_key, staged, text_of
+from fieldloom.llm.token_ids import forget_encoders
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -101,6 +102,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, key, signature (the low bytes of all values, then their second bytes; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             keys, signatures = [], []
             for text in batch.column(1).to_pylist():

@@ -40,6 +40,11 @@ def encoder(path: str) -> TextEncoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Frees what this Python worker holds for encoding. Workers outlive a job: a stage that needs their memory for something else calls this."""
+    _encoders.clear()
+
+
 def byte_characters() -> dict[int, str]:
     """The character by which byte-level tokenizers write each byte: itself where it can be seen, else the next free one from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.llm.common import staged, text_of
+from fieldloom.llm.token_ids import forget_encoders
 
 #: Labelled rows, at most, that teach the model; what is broadcast and collected is bounded by it.
 MAX_LABELLED = 20_000
@@ -168,6 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     part = pa.list_(pa.struct([("score", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             found = [evidence(t, model) for t in batch.column(1).to_pylist()]
             scores = pa.array([probability(total, model) for total, _ in found], pa.float64())
