@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import decimal_point, normalize_number, number_characters, with_computed
+from fieldloom.functions.text import decimal_point, number_characters, with_computed
 
 AMOUNT = "decimal(18,3)"
 TOLERANCE = 0.010
@@ -36,21 +36,14 @@ def invoice_date_iso(c: Column) -> Column:
     return F.coalesce(F.when(c.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}$"), F.format_string("%04d-%02d-%02d", year, month, day)), c)
 
 
-def amount(c: Column) -> Column:
-    return normalize_number(c).try_cast(AMOUNT)
-
-
 def invoice_fields(doc: DataFrame) -> DataFrame:
-    """Long table: doc_id, name, value, confidence."""
-    rows = []
-    for name, patterns in PATTERNS.items():
-        value, confidence = first_match(F.col("raw_text"), patterns)
-        if name == "invoice_date":
-            value = invoice_date_iso(value)
-        elif name in ("total_ht", "vat", "total_ttc"):
-            value = amount(value).cast("string")
-        rows.append(F.struct(F.lit(name).alias("name"), value.alias("value"), confidence.alias("confidence")))
-    return doc.select("doc_id", F.inline(F.array(*rows)))
+    """Long table: doc_id, name, value, confidence. Each pattern runs once a row."""
+    found = {n: first_match(F.col("raw_text"), patterns) for n, patterns in PATTERNS.items()}
+    amounts = ("total_ht", "vat", "total_ttc")
+    rows = with_computed(doc.select("doc_id", "raw_text"), **{f"m_{n}": number_characters(v) if n in amounts else v for n, (v, _) in found.items()}, **{f"c_{n}": c for n, (_, c) in found.items()}).drop("raw_text")
+    rows = with_computed(rows, **{f"a_{n}": decimal_point(F.col(f"m_{n}")).try_cast(AMOUNT).cast("string") for n in amounts})
+    value = lambda n: F.col(f"a_{n}") if n in amounts else invoice_date_iso(F.col(f"m_{n}")) if n == "invoice_date" else F.col(f"m_{n}")
+    return rows.select("doc_id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), value(n).alias("value"), F.col(f"c_{n}").alias("confidence")) for n in PATTERNS])))
 
 
 def invoice_results(doc: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "group_leakage": (_table("region", lambda d: datasets.group_leakage(d.filter("field_name = 'photo'"), d.filter("class_name = 'class-1'"), "group_id")), ["region"], "SELECT DISTINCT group_id FROM region WHERE field_name = 'photo' INTERSECT SELECT group_id FROM region WHERE class_name = 'class-1'"),
     "first_per_class": (_table("listed_file", lambda d: files.discover_cases(d, 5)), ["listed_file"], "c AS (SELECT path, split_part(path, '/', 3) AS class_name, split_part(path, '/', 4) AS variant FROM listed_file) SELECT path, class_name, variant FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY path) AS r FROM c) WHERE r <= 5"),
     "screen_uploads": (_table("listed_file", files.screen_uploads), ["listed_file"], "SELECT path, length, CASE WHEN path LIKE '%.exe' THEN 'extension' WHEN length = 0 THEN 'empty' WHEN length > 20971520 THEN 'too_large' END AS reason FROM listed_file"),
-    "latest_details": (_table("detail", lambda d: files.latest_per_key(d.filter("job_id is not null"), "job_id", "detail_at")), ["detail"], "SELECT * FROM detail WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY detail_at DESC, detail_id DESC) = 1"),
+    "latest_details": (_table("detail", lambda d: files.latest_per_key(d.filter("job_id is not null"), "job_id", "detail_at")), ["detail"], "SELECT * FROM detail WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY detail_at DESC, detail_id DESC, history_id DESC NULLS LAST, note DESC) = 1"),
     "history_with_detail": (_tables(["history", "detail"], lambda h, d: governance.history_with_detail(h, d).select("id", "detail_id", "note")), ["history", "detail"], "p AS (SELECT history_id AS id, detail_at, detail_id, note FROM detail WHERE history_id IS NOT NULL UNION ALL SELECT h.id, detail_at, detail_id, note FROM detail d JOIN history h ON d.job_id = h.job_id), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY detail_at DESC, detail_id DESC, note DESC) AS r FROM p) SELECT h.id, n.detail_id, n.note FROM history h LEFT JOIN n ON h.id = n.id AND n.r = 1"),
     "delete_history": (_tables(["history", "detail"], _delete), ["history", "detail"], "SELECT 'history' AS kept, id FROM history WHERE user_id <> '7' UNION ALL SELECT 'detail', CAST(detail_id AS VARCHAR) FROM detail WHERE coalesce(history_id, '') NOT IN (SELECT id FROM history WHERE user_id = '7') AND coalesce(job_id, '') NOT IN (SELECT job_id FROM history WHERE user_id = '7')"),
     "erase_org": (_table("job", lambda d: governance.erase(d, F.col("organization_id") == "7", F.expr(NOW)).select("id", "is_purged", "result_path", F.col("purged_at").isNotNull().alias("stamped"))), ["job"], "SELECT id, is_purged OR organization_id = '7' AS is_purged, CASE WHEN is_purged OR organization_id <> '7' THEN result_path END AS result_path, NOT is_purged AND organization_id = '7' AS stamped FROM job"),
