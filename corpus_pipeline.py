@@ -1,6 +1,8 @@
 """The training-data pipeline: quality rules, toxicity, near duplicates, packing.
 
-Each stage takes (spark, docs, sf_dir) and keeps the columns of documents, but for the last, whose rows are packed pieces.
+Each stage takes (spark, docs, sf_dir) and keeps the columns of documents, but for the last, whose rows are packed pieces. Columns beside
+doc_id and text come through as they are, whatever their names; null texts read as empty ones; texts of any length are read whole; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from fieldloom.llm.queries import held_out, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects; empty ones go. Repeated rows stay or go together."""
     return quality_rules.judge(docs).filter("kept").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5. Labels of held-out rows teach nothing; without labels of both kinds all stay."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").filter(~held_out()))
     return toxicity.score(docs, model).filter("score < 0.5").select("row.*")
 
@@ -33,6 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens; repeated rows and null doc_ids are packed each for itself."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
