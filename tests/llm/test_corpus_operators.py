@@ -289,6 +289,22 @@ def kept_of(rows):
     return out
 
 
+def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, sf_dir, tmp_path):
+    """No documents; and nulls, repeats, long texts and columns whose names operators use inside."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for name, rows in (("none", empty(spark)), ("odd", documents(spark))):
+        rows.withColumn("key", F.lit(1)).withColumn("row", F.lit("r")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    held = corpus_pipeline.keep_quality(spark, docs, "")
+    assert held.columns == docs.columns and {r.doc_id for r in held.collect()} >= {6, None}
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    texts = [r.text or "" for r in left.collect()]
+    assert len(set(texts)) == len(texts) == len({r.text or "" for r in docs.collect()}) - 1
+
+
 def test_pipeline_is_the_plain_stages(spark, sf_dir, tmp_path):
     """run() against plain Python: kept documents and their pieces, with null and repeated doc_ids among them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
