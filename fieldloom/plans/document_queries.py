@@ -274,6 +274,27 @@ def _best_place(card: DataFrame) -> DataFrame:
     return identity.best_place(card.select("doc_id", F.inline(every)))
 
 
+def _scored(card: DataFrame) -> DataFrame:
+    """Candidates of cards: numbers (every fifth with a digit too many), names (every seventh a label), dates and places."""
+    one = lambda name, raw, source: F.struct(F.lit(name).alias("field"), raw.alias("raw_text"), F.lit(source).alias("source"))
+    k = F.col("doc_id")
+    every = F.array(
+        one("id_number", F.concat(F.lit("رقم "), "number", F.when(k % 5 == 0, "7").otherwise("")), "zone:id_number"), one("last_name", F.when(k % 7 == 0, F.lit("اللقب")).otherwise(F.col("family")), "zone:names"),
+        one("birth_date", F.concat("day", F.lit("/03/"), "year"), "full"), one("birth_place", F.col("place"), "zone:right_text"),
+    )
+    rows = card.select("doc_id", "kind", F.inline(every)).withColumns({"confidence": F.col("doc_id") % 10 / 10, "anchor_hit": F.col("kind") == 0, "same_line": F.col("kind") != 2, "wanted_zone": F.when(F.col("field") == "id_number", "id_number").otherwise("none")})
+    return identity.score_candidates(rows).select("doc_id", "field", "value", "valid", "business_score")
+
+
+_SCORED_SQL = """
+    c AS (SELECT *, doc_id % 10 / 10 AS g FROM card_text),
+    x AS (SELECT doc_id, 'id_number' AS field, number AS value, true AS valid, CASE WHEN doc_id % 5 = 0 THEN 0.74 ELSE least(0.99, 0.76 + g * 0.20 + 0.14) END AS s FROM c
+    UNION ALL SELECT doc_id, 'last_name', CASE WHEN doc_id % 7 <> 0 THEN family END, doc_id % 7 <> 0, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE least(0.97, 0.28 + g * 0.38 + 0.9 * 0.22 + 0.04 + CASE WHEN kind = 0 THEN 0.12 ELSE 0 END + CASE WHEN kind <> 2 THEN 0.05 ELSE 0 END) END FROM c
+    UNION ALL SELECT doc_id, 'birth_date', concat(year, '-03-', day), true, least(0.98, 0.54 + g * 0.34) FROM c
+    UNION ALL SELECT doc_id, 'birth_place', place, true, greatest(0, least(0.90, 0.18 + g * 0.35 + 0.9 * 0.20 - 0.04 + CASE WHEN kind = 0 THEN 0.08 ELSE 0 END)) FROM c)
+    SELECT doc_id, field, value, valid, CAST(round(CAST(s AS DECIMAL(18,9)), 3) AS DOUBLE) AS business_score FROM x"""
+
+
 #: Texts of zones by the key modulo 8.
 _ZONE_TEXTS = {
     "birth_date": ("concat(lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'), ' . O3.1', '98', CAST(doc_id % 10 AS {s}))", "concat('198', CAST(doc_id % 10 AS {s}), '-03-', lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'))", "true"),
@@ -331,6 +352,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "legacy_fields": (_tables(["invoice_text", "registry_text"], _legacy), ["invoice_text", "registry_text"], _LEGACY_SQL),
     "registry_zone_fields": (_table("registry_text", _registry_zones), ["registry_text"], _REGISTRY_ZONES_SQL),
     "best_places": (_table("card_text", _best_place), ["card_text"], "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 OR contains(place, ' ') THEN place ELSE 'تونس' END AS place FROM card_text"),
+    "score_candidates": (_table("card_text", _scored), ["card_text"], _SCORED_SQL),
     "document_types": (_tables(["passport_text", "registry_text"], _types), ["passport_text", "registry_text"], """
         SELECT doc_id * 2 AS doc_id, CASE kind WHEN 6 THEN 'unknown' ELSE 'passport' END AS document_type, CAST(CASE kind WHEN 6 THEN 0 ELSE 1 END AS DOUBLE) AS confidence FROM passport_text
         UNION ALL SELECT doc_id * 2 + 1, CASE kind WHEN 1 THEN 'cin_tn' WHEN 2 THEN 'unknown' ELSE 'registre_commerce' END, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 0.875 WHEN 2 THEN 0 ELSE 0.5 END FROM registry_text"""),

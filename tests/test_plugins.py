@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from fieldloom.operators import plugins, results
+from fieldloom.operators import plugins, results, routing
 from fieldloom.plans.tables import table
 from fieldloom.sources import files
 from fieldloom.streaming import states
@@ -53,6 +53,16 @@ def test_nightly_work(spark, sf_dir):
     assert trail.filter("not is_anonymized").count() == 0 and orgs.agg(F.max("usage_jobs_this_month")).first()[0] == 0
 
 
+def test_families_by_zone_and_variants_by_script(spark):
+    docs = spark.createDataFrame([(1, "P<UTOX<<Y"), (2, "passport total"), (3, "facture بطاقة تعريف وطنية"), (4, "facture tva two three")], "doc_id long, text string")
+    families = {"invoice": ["facture", "total", "tva"], "passport": ["passport", "mrz", "surname"]}
+    got = {r.doc_id: (r.family, r.confidence) for r in routing.classify_family(docs, families, zone_family="passport").collect()}
+    assert got == {1: ("passport", 0.85), 2: ("invoice", 0.3333), 3: ("invoice", 0.3333), 4: ("invoice", 0.6667)}
+    variants = {"ar": (["facture"], ["x"], 0.4), "fr": (["facture"], ["tva"], 0.4)}
+    got = {r.doc_id: (r.variant, r.confidence) for r in routing.classify_variant(docs, variants, "g", {"ar": "arabic", "fr": "latin"}).collect()}
+    assert got == {1: ("g", 0.0), 2: ("g", 0.0), 3: ("ar", 0.6), 4: ("fr", 1.0)}
+
+
 def test_types_and_zone_values_at_the_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, "ةقاطب فيرعتلا"), (3, "surname nationality"), (4, "<<id<<<abc")], "doc_id long, raw_text string")
     got = {r.doc_id: (r.document_type, r.confidence) for r in results.detect_document_type(docs).collect()}
