@@ -28,7 +28,7 @@ _PLAIN = re.compile(rf" ?[{_LATIN}!-&(-@\[-`{{-~\n]+")
 _WORD = re.compile(rf"( ?[{_LATIN}]+)([.,;:!?]?)")
 _RUNS = re.compile(rf" ?[{_LATIN}]+| ?[^{_LATIN}]+")
 #: Pieces kept in one Python worker; about 250 bytes each.
-CACHED_PIECES = 800_000
+CACHED_PIECES = 400_000
 
 _encoders: dict[str, TextEncoder] = {}
 
