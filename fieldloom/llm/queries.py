@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat_format, exact_bpe, fingerprints, html_main, jaccard_join, licenses, packing, prefix_trie, quality_rules, toxicity, url_filters, wavelet_ids
+from fieldloom.llm import chat_format, exact_bpe, fingerprints, html_main, jaccard_join, licenses, packing, prefix_trie, quality_rules, token_alignment, toxicity, url_filters, wavelet_ids
 from fieldloom.llm.common import read_table
 
 
@@ -70,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.doc_id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 #: One more conversation for the chat query: its texts are control strings.
 CONTROL_TURNS = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
@@ -86,7 +90,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_html_main_text, op2_fingerprints, op3_toxicity, op4_url_filters, op5_token_files, op6_jaccard_join, op7_licenses, op8_bpe, op9_packing, op10_quality_rules, op12_chat_formatting, op13_prefix_trie)
+    named = (op1_html_main_text, op2_fingerprints, op3_toxicity, op4_url_filters, op5_token_files, op6_jaccard_join, op7_licenses, op8_bpe, op9_packing, op10_quality_rules, op11_token_alignment, op12_chat_formatting, op13_prefix_trie)
     return {f.__name__: f for f in named}
 
 
