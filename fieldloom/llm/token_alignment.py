@@ -38,8 +38,10 @@ from fieldloom.llm.token_ids import Pieces, TextEncoder, byte_characters, slices
 RANGE = 16_384
 #: Fragments that one step of the tree joins.
 FAN = 16
+#: Documents whose links are looked up at once.
+LOOKED_UP = 256
 #: Words kept in one Python worker, and the longest of them.
-CACHED, LONGEST = 200_000, 64
+CACHED, LONGEST = 150_000, 64
 
 _CUT_A, _CUT_B = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])"), re.compile(r"(?<=[^ ])(?= )")
 
@@ -433,16 +435,14 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, size: int = RANGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = sent.value
-        for batch in batches:
-            blobs = batch.column("links").to_pylist()
-            sizes = np.array([len(x) // 4 for x in blobs], np.int64)
-            at = np.searchsorted(pairs, np.frombuffer(b"".join(blobs), "<u4"))
-            rows = np.repeat(np.arange(len(blobs)), sizes)
-            sums = [np.zeros(len(blobs), np.int64) for _ in range(2)]
-            if len(at):
-                np.add.at(sums[0], rows, best[at])
-                np.add.at(sums[1], rows, counts[at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "n_a", "n_b", "n_groups", "sha")), *map(pa.array, (sizes, *sums))], names)
+        for whole in batches:
+            for batch in (whole.slice(at, LOOKED_UP) for at in range(0, whole.num_rows, LOOKED_UP)):
+                blobs = batch.column("links").to_pylist()
+                sizes = np.array([len(x) // 4 for x in blobs], np.int64)
+                at = np.searchsorted(pairs, np.frombuffer(b"".join(blobs), "<u4").astype(np.int64))
+                rows = np.repeat(np.arange(len(blobs)), sizes)
+                sums = [np.bincount(rows, x[at], len(blobs)).astype(np.int64) for x in (best, counts)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "n_a", "n_b", "n_groups", "sha")), *map(pa.array, (sizes, *sums))], names)
 
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "sha", "n_links", "n_best", "count_sum"]
     told = parts.mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, sha string, n_links long, n_best long, count_sum long")
