@@ -1,6 +1,6 @@
 """Boxes of recognised text: geometry, lines, reading order, values near labels, zones, unions.
 
-Windows and joins are per document, whose boxes one page bounds; labels are filtered before they meet the other boxes.
+Windows are per document, whose boxes one page bounds; labels meet the boxes within their reach on a grid.
 """
 
 from __future__ import annotations
@@ -48,17 +48,30 @@ def label_contexts(line: DataFrame, label: str) -> DataFrame:
     return rows.filter(F.col("text").rlike(label))
 
 
+def near(labels: DataFrame, rows: DataFrame, reach: float) -> DataFrame:
+    """Pairs of labels (doc_id, a) and boxes (doc_id, b) whose centres (cx, cy) are at most ``reach`` apart, with ``distance``.
+
+    They meet on the cells of a grid as wide as the reach: a label stands in the nine cells around it, a box in one. So a page with any number
+    of boxes is spread over many keys, and no box meets a label that it is far from.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    spread = labels.withColumn("_s", F.explode(steps)).withColumns({"_gx": cell("a.cx") + F.col("_s.i"), "_gy": cell("a.cy") + F.col("_s.j")}).drop("_s")
+    placed = rows.withColumns({"_gx": cell("b.cx"), "_gy": cell("b.cy")})
+    distance = F.sqrt(F.pow(F.col("b.cx") - F.col("a.cx"), 2) + F.pow(F.col("b.cy") - F.col("a.cy"), 2))
+    return spread.join(placed, ["doc_id", "_gx", "_gy"]).drop("_gx", "_gy").withColumn("distance", distance).filter(F.col("distance") <= reach)
+
+
 def label_values(box: DataFrame, label: str, reach: float = 400.0) -> DataFrame:
     """The best neighbour of the document's label boxes: right of it in the row, or below it; scores equal to 9 places go by box number, then text."""
-    rows = geometry(box)
-    is_label = F.col("text").rlike(label)
-    marks = rows.filter(is_label).select("doc_id", *[F.col(c).alias("l_" + c) for c in ("idx", "x1", "x2", "cx", "cy", "h")])
-    pairs = rows.filter(~is_label).join(marks, "doc_id")
-    distance = F.sqrt(F.pow(F.col("cx") - F.col("l_cx"), 2) + F.pow(F.col("cy") - F.col("l_cy"), 2))
-    same_row = F.abs(F.col("cy") - F.col("l_cy")) <= F.greatest(F.col("l_h"), F.col("h")) * 0.6
-    below = (F.col("cy") > F.col("l_cy")) & (F.abs(F.col("cx") - F.col("l_cx")) <= F.greatest(F.col("l_x2") - F.col("l_x1"), F.col("w")))
-    base = F.when(same_row & (F.col("x1") >= F.col("l_x1")), ROW).when(below, BELOW)
-    scored = pairs.filter(distance <= reach).withColumn("score", F.round(base - LOSS * distance, 9)).filter("score is not null")
+    rows = geometry(box).withColumn("label", F.col("text").rlike(label))
+    side = F.struct("idx", "text", "x1", "x2", "cx", "cy", "w", "h")
+    pairs = near(rows.filter("label").select("doc_id", side.alias("a")), rows.filter("not label").select("doc_id", side.alias("b")), reach)
+    same_row = F.abs(F.col("b.cy") - F.col("a.cy")) <= F.greatest("a.h", "b.h") * 0.6
+    below = (F.col("b.cy") > F.col("a.cy")) & (F.abs(F.col("b.cx") - F.col("a.cx")) <= F.greatest("a.w", "b.w"))
+    base = F.when(same_row & (F.col("b.x1") >= F.col("a.x1")), ROW).when(below, BELOW)
+    scored = pairs.withColumn("score", F.round(base - LOSS * F.col("distance"), 9)).filter("score is not null")
+    scored = scored.select("doc_id", "score", F.col("b.text").alias("text"), F.col("b.idx").alias("idx"), F.col("a.idx").alias("l_idx"))
     best = scored.groupBy("doc_id").agg(F.max_by(F.struct("text", "score", "idx", "l_idx"), F.struct("score", -F.col("idx"), -F.col("l_idx"), "text")).alias("b"))
     return best.select("doc_id", F.col("b.text").alias("value"), F.round("b.score", 4).alias("score"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import text
 from fieldloom.operators import datasets, invoices, mrz, records, routing, scoring
-from fieldloom.plans import document_queries, field_queries
+from fieldloom.plans import document_queries, field_queries, layout_queries
 from fieldloom.plans.tables import plain, table
 from fieldloom.streaming import metrics
 
@@ -195,7 +195,7 @@ _WITH_TABLES = {
 }
 
 
-QUERIES = field_queries.QUERIES | document_queries.QUERIES
+QUERIES = field_queries.QUERIES | document_queries.QUERIES | layout_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

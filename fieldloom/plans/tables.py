@@ -144,6 +144,41 @@ TABLES = {
                CAST(l_linenumber % 3 * 100 + l_partkey % 40 + 20 + l_partkey % 30 AS DOUBLE) AS x2, CAST(floor(l_linenumber / 3) * 30 + l_suppkey % 7 + 12 + l_partkey % 5 AS DOUBLE) AS y2,
                CAST(l_partkey % 101 AS DOUBLE) / 100 AS confidence
         FROM {lineitem}""",
+    # Labels, values, and labels with values, anywhere on a page.
+    "form_box": """
+        SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS idx,
+               CASE l_linenumber
+                    WHEN 1 THEN CASE l_partkey % 4 WHEN 0 THEN concat('Nom: ', word) WHEN 1 THEN 'Nom Ben' ELSE 'Nom' END
+                    WHEN 2 THEN CASE l_partkey % 3 WHEN 0 THEN concat('Naissance ', day) ELSE 'Naissance' END
+                    WHEN 3 THEN CASE l_partkey % 3 WHEN 0 THEN concat('Lieu - ', town) ELSE 'Lieu' END
+                    WHEN 4 THEN CASE l_partkey % 4 WHEN 0 THEN concat('emis le ', day) ELSE day END
+                    WHEN 5 THEN CASE l_partkey % 5 WHEN 0 THEN concat(word, ' 12') ELSE word END
+                    WHEN 6 THEN CASE l_partkey % 4 WHEN 0 THEN 'Nom' WHEN 1 THEN word ELSE town END
+                    ELSE CASE l_partkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN lpad(CAST(l_partkey AS STRING), 8, '0') ELSE concat('a ', town) END END AS text,
+               CAST(l_partkey * 37 % 500 AS DOUBLE) AS x1, CAST(l_suppkey * 13 % 120 AS DOUBLE) AS y1,
+               CAST(l_partkey * 37 % 500 + 20 + l_partkey % 60 AS DOUBLE) AS x2, CAST(l_suppkey * 13 % 120 + 8 + l_suppkey % 12 AS DOUBLE) AS y2,
+               CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE CAST(l_partkey % 101 AS DOUBLE) / 100 END AS confidence
+        FROM (SELECT *, CASE l_suppkey % 5 WHEN 0 THEN 'Amel' WHEN 1 THEN 'Karim' WHEN 2 THEN 'Leila Hedi' WHEN 3 THEN 'Salma' ELSE 'Tarek' END AS word,
+                     CASE l_suppkey % 4 WHEN 0 THEN 'Tunis' WHEN 1 THEN 'Sfax' WHEN 2 THEN 'Gabes' ELSE 'Sousse' END AS town,
+                     concat(CAST(10 + l_partkey % 18 AS STRING), '/0', CAST(1 + l_partkey % 9 AS STRING), '/', CAST(1950 + l_suppkey % 50 AS STRING)) AS day FROM {lineitem})""",
+    # Cards as boxes, by the key modulo 4: values left of their labels, inside, below, above; what is no value stands around them.
+    "card_box": """
+        SELECT doc_id, CAST(i AS BIGINT) AS idx, text, 0.9 - i / 100.0 AS confidence, x AS x1, y AS y1, x + w AS x2, y + 20.0 AS y2
+        FROM (SELECT doc_id, i, text, w,
+                     CASE WHEN i < 3 THEN 100.0 WHEN i % 2 = 1 OR kind > 1 THEN 300.0 ELSE 150.0 END AS x,
+                     CASE WHEN i < 3 THEN 10.0 + 40.0 * i ELSE 150.0 + 140.0 * floor((i - 3) / 2) + CASE WHEN i % 2 = 1 OR kind < 2 THEN 0.0 WHEN kind = 2 THEN 35.0 ELSE -35.0 END END AS y
+              FROM (SELECT doc_id, kind, i, 100.0 AS w,
+                           CASE i WHEN 0 THEN 'الجمهورية التونسية' WHEN 1 THEN 'بطاقة التعريف الوطنية' WHEN 2 THEN number
+                                  WHEN 3 THEN CASE WHEN kind = 1 THEN concat('اللقب : ', family) ELSE 'اللقب' END WHEN 4 THEN CASE WHEN kind = 1 THEN '' ELSE family END
+                                  WHEN 5 THEN CASE WHEN kind = 1 THEN concat('الاسم ', first) ELSE 'الاسم' END WHEN 6 THEN CASE WHEN kind = 1 THEN '-' ELSE first END
+                                  WHEN 7 THEN CASE WHEN kind = 1 THEN concat('تاريخ الولادة ', day) ELSE 'تاريخ الولادة' END WHEN 8 THEN CASE WHEN kind = 1 THEN '' ELSE day END
+                                  WHEN 9 THEN CASE WHEN kind = 1 THEN concat('مكانها ', place) ELSE 'مكانها' END ELSE CASE WHEN kind = 1 THEN NULL ELSE place END END AS text
+                    FROM (SELECT c_custkey AS doc_id, CAST(c_custkey % 4 AS INT) AS kind, lpad(CAST(c_custkey AS STRING), 8, '0') AS number,
+                                 CASE c_custkey % 5 WHEN 0 THEN 'الزبيدي' WHEN 1 THEN 'العربي' WHEN 2 THEN 'بوزيد' WHEN 3 THEN 'شريف' ELSE 'الطرابلسي' END AS family,
+                                 CASE c_custkey % 7 WHEN 0 THEN 'محمد' WHEN 1 THEN 'عزيز' WHEN 2 THEN 'زينب' WHEN 3 THEN 'رمضان' WHEN 4 THEN 'خالد' WHEN 5 THEN 'شريف' ELSE 'سعيد' END AS first,
+                                 CASE c_custkey % 3 WHEN 0 THEN 'صفاقس' WHEN 1 THEN 'القيروان' ELSE 'سيدي بوزيد' END AS place,
+                                 concat(CAST(10 + c_custkey % 18 AS STRING), '/03/', CAST(1950 + c_custkey % 50 AS STRING)) AS day, c_mktsegment FROM {customer}) AS c
+                    CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS i FROM {nation} WHERE n_nationkey < 11) AS n) AS t) AS u""",
     "region": """
         SELECT concat('img-', CAST(l_orderkey AS STRING)) AS filename, concat('class-', CAST(l_orderkey % 6 AS STRING)) AS class_name, concat('group-', CAST(l_orderkey % 97 AS STRING)) AS group_id,
                CASE l_linenumber % 5 WHEN 0 THEN 'photo' WHEN 1 THEN 'birth_date' WHEN 2 THEN 'doc_number' WHEN 3 THEN 'gender' ELSE 'surname' END AS field_name,
