@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import parse_date_any
-from fieldloom.operators import spatial
+from fieldloom.operators import places, readings, spatial
 from fieldloom.operators.spatial import Wanted
 from fieldloom.plans.tables import table
 
@@ -72,8 +72,56 @@ _CARD = """
                  max(regexp_replace(regexp_replace(text, '^تاريخ الولادة ', ''), '(..)/(..)/(....)', '\\3-\\2-\\1')) FILTER (idx = CASE WHEN doc_id % 4 = 1 THEN 7 ELSE 8 END) AS day, max(regexp_replace(text, '^مكانها ', '')) FILTER (idx = CASE WHEN doc_id % 4 = 1 THEN 9 ELSE 10 END) AS place
           FROM card_box GROUP BY doc_id)"""
 
+READING_BONUS = {"spatial": 3.0, "zone": 1.5}
+READING_KINDS = {"spatial": "boxes", "zone": "boxes", "text_global": "text", "text_line": "text"}
+
+
+def fused_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.fuse(table(spark, sf_dir, "reading"), READING_BONUS, READING_KINDS)
+
+
+#: All pairs of all clusters.
+_FUSED = r"""
+    r AS (SELECT doc_id, field, coalesce(confidence, 0) AS conf, CASE source WHEN 'spatial' THEN 3.0 WHEN 'zone' THEN 1.5 ELSE 0 END AS gain, CASE source WHEN 'spatial' THEN 'boxes' WHEN 'zone' THEN 'boxes' WHEN 'text_global' THEN 'text' WHEN 'text_line' THEN 'text' ELSE source END AS kind,
+                 CASE WHEN field IN ('family_name', 'first_name') THEN CASE WHEN NOT regexp_matches(value, '[0-9]') AND length(value) >= 3 THEN upper(value) END
+                      WHEN field = 'date_of_birth' THEN regexp_replace(value, '(..)/(..)/(....)', '\3-\2-\1') WHEN field = 'cin_number' THEN CASE WHEN length(value) = 11 THEN substr(value, 4) END ELSE trim(value) END AS v FROM reading),
+    w AS (SELECT doc_id, field, v, count(*) AS n, sum(conf) AS sure, max(gain) AS gain, list(DISTINCT kind) AS kinds, CASE WHEN regexp_replace(upper(v), '[^A-Z]|[AEIOUY]', '', 'g') = '' THEN v ELSE regexp_replace(upper(v), '[^A-Z]|[AEIOUY]', '', 'g') END AS sk FROM r WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+    l AS (SELECT *, first_value(v) OVER (PARTITION BY doc_id, field, sk ORDER BY round(7 * n + sure / n + gain, 6) DESC, v) AS lead FROM w),
+    c AS (SELECT doc_id, field, sk, v, n, round(7 * n + sure / n + gain, 6) AS s, kinds
+          FROM (SELECT doc_id, field, sk, CASE WHEN field IN ('family_name', 'first_name') AND levenshtein(v, lead) <= greatest(1, length(lead) // 4) THEN lead ELSE v END AS v, sum(n) AS n, sum(sure) AS sure, max(gain) AS gain, flatten(list(kinds)) AS kinds FROM l GROUP BY 1, 2, 3, 4)),
+    f AS (SELECT * FROM c WHERE field = 'family_name'), g AS (SELECT * FROM c WHERE field = 'first_name'),
+    p AS (SELECT f.doc_id, f.v AS fv, f.s AS fs, f.n AS fn, g.v AS gv, g.s AS gs, g.n AS gn FROM f JOIN g ON f.doc_id = g.doc_id AND f.sk <> g.sk
+          QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY round(f.s + g.s + CASE WHEN list_has_any(f.kinds, g.kinds) THEN 3 ELSE 0 END, 6) DESC, f.s DESC, f.v, g.v) = 1),
+    b AS (SELECT * FROM c WHERE field NOT IN ('family_name', 'first_name') QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY s DESC, v) = 1),
+    o AS (SELECT * FROM c WHERE field IN ('family_name', 'first_name') AND doc_id NOT IN (SELECT doc_id FROM p) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, field, v) = 1)
+    SELECT doc_id, 'family_name' AS name, fv AS value, fs AS score, fn AS n FROM p UNION ALL SELECT doc_id, 'first_name', gv, gs, gn FROM p
+    UNION ALL SELECT doc_id, field, v, s, n FROM b UNION ALL SELECT doc_id, field, v, s, n FROM o"""
+
+def place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.place_lookup(table(spark, sf_dir, "place_text"), table(spark, sf_dir, "place"), ["lieu"])
+
+
+def union_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' places and those that invoices name behind a label."""
+    named = table(spark, sf_dir, "place_text").select(F.regexp_extract("raw_text", "Lieu: (.*) le 3", 1).alias("place"))
+    return places.union_places(table(spark, sf_dir, "place"), named).select("place")
+
+
+#: Every run of words beside every place.
+_PLACES = r"""
+    f AS (SELECT min(place) AS place, lower(place) AS form FROM place GROUP BY lower(place)),
+    w AS (SELECT doc_id, list_filter(string_split_regex(lower(raw_text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM place_text),
+    i AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM w),
+    r AS (SELECT doc_id, pos, k AS size, array_to_string(w[pos + 1 : pos + k], ' ') AS run, list_contains(w[greatest(pos - 3, 0) + 1 : pos], 'lieu') OR list_contains(w[pos + k + 1 : pos + k + 1], 'lieu') AS labelled FROM i, (VALUES (1), (2)) v(k) WHERE pos + k <= len(w)),
+    d AS (SELECT DISTINCT run FROM r),
+    m AS (SELECT run, place, levenshtein(run, form) AS edits FROM d JOIN f ON abs(length(run) - length(form)) <= 1 AND levenshtein(run, form) <= CASE WHEN length(form) >= 5 AND length(run) >= 4 THEN 1 ELSE 0 END)
+    SELECT doc_id, place, CAST(edits AS INT) AS edits, labelled FROM r JOIN m USING (run) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY labelled DESC, size DESC, edits, pos, place) = 1"""
+
 #: Name: query, working tables of its SQL, SQL.
 QUERIES = {
     "near_labels": (near_labels, ["form_box"], _NEAR),
+    "fused_fields": (fused_fields, ["reading"], _FUSED),
+    "place_lookup": (place_lookup, ["place", "place_text"], _PLACES),
+    "union_places": (union_places, ["place", "place_text"], r"SELECT min(place) AS place FROM (SELECT place FROM place UNION ALL SELECT regexp_extract(raw_text, 'Lieu: (.*) le 3', 1) FROM place_text) WHERE place <> '' GROUP BY lower(place)"),
     "spatial_fields": (spatial_fields, ["card_box"], f"SELECT * FROM ({_CARD}) WHERE value IS NOT NULL"),
 }

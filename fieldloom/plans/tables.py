@@ -17,6 +17,14 @@ def _checked(expr: str, length: int) -> str:
     return f"CAST(({_weighed(expr, length)}) % 10 AS STRING)"
 
 
+def _lettered(expr: str) -> str:
+    """A number with each digit as a letter twice."""
+    out = f"CAST({expr} AS STRING)"
+    for digit, letter in enumerate("bcdfghjkmn"):
+        out = f"replace({out}, '{digit}', '{letter * 2}')"
+    return out
+
+
 _COMPOSITE = " + ".join(f"{_weighed(e, n, p)}" for e, n, p in (("number", 9, 0), ("number_check", 1, 9), ("birth", 6, 10), ("birth_check", 1, 16), ("expiry", 6, 17), ("expiry_check", 1, 23), ("personal", 14, 24), ("personal_check", 1, 38)))
 _WRONG = "CAST((CAST(birth_check AS INT) + 1) % 10 AS STRING)"
 _SECOND = "number, number_check, country, {birth}, {check}, sex, expiry, expiry_check, personal, personal_check, composite"
@@ -179,6 +187,27 @@ TABLES = {
                                  CASE c_custkey % 3 WHEN 0 THEN 'صفاقس' WHEN 1 THEN 'القيروان' ELSE 'سيدي بوزيد' END AS place,
                                  concat(CAST(10 + c_custkey % 18 AS STRING), '/03/', CAST(1950 + c_custkey % 50 AS STRING)) AS day, c_mktsegment FROM {customer}) AS c
                     CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS i FROM {nation} WHERE n_nationkey < 11) AS n) AS t) AS u""",
+    # Readings of cards: some in lower case, with a vowel misread, with a letter lost, or with the two names swapped.
+    "reading": """
+        SELECT doc_id, field, CASE WHEN field IN ('family_name', 'first_name') THEN CASE err WHEN 1 THEN replace(name, 'A', 'E') WHEN 2 THEN concat(substr(name, 1, 1), substr(name, 3)) WHEN 3 THEN lower(name) WHEN 4 THEN concat(name, '7') ELSE name END
+                                   WHEN field = 'date_of_birth' THEN concat(CAST(10 + (doc_id + err) % 18 AS STRING), '/03/', CAST(1950 + doc_id % 50 AS STRING))
+                                   WHEN field = 'cin_number' THEN concat('no ', lpad(CAST(doc_id * 7 AS STRING), 8, '0'), CASE WHEN err = 1 THEN '5' ELSE '' END) ELSE concat(' ', CASE WHEN err = 1 THEN 'Sfax' ELSE 'Tunis' END) END AS value,
+               source, engine, CASE WHEN err = 5 THEN NULL ELSE confidence END AS confidence
+        FROM (SELECT *, CASE WHEN (field = 'family_name') <> (swap = 0) THEN family ELSE first END AS name
+              FROM (SELECT CAST(floor(l_orderkey / 5) AS BIGINT) AS doc_id, CASE l_linenumber WHEN 4 THEN 'first_name' WHEN 5 THEN 'first_name' WHEN 6 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'date_of_birth' ELSE 'cin_number' END WHEN 7 THEN 'place_of_birth' ELSE 'family_name' END AS field,
+                           CAST(l_partkey % 7 AS INT) AS err, CAST(l_suppkey % 4 AS INT) AS swap, CAST(l_partkey % 101 AS DOUBLE) / 100 AS confidence,
+                           CASE l_suppkey % 5 WHEN 0 THEN 'spatial' WHEN 1 THEN 'zone' WHEN 2 THEN 'text_global' WHEN 3 THEN 'text_line' ELSE 'other' END AS source, CASE l_partkey % 2 WHEN 0 THEN 'first' ELSE 'second' END AS engine,
+                           CASE floor(l_orderkey / 5) % 5 WHEN 0 THEN 'BENSALEM' WHEN 1 THEN 'TRABELSI' WHEN 2 THEN 'MANSOUR' WHEN 3 THEN 'GHARBI' ELSE 'AOUIA' END AS family,
+                           CASE floor(l_orderkey / 5) % 7 WHEN 0 THEN 'MARIAM' WHEN 1 THEN 'TRABELSI' WHEN 2 THEN 'KARIM' WHEN 3 THEN 'SALMA' WHEN 4 THEN 'MANSOUR' WHEN 5 THEN 'LEILA' ELSE 'HEDI' END AS first FROM {lineitem}) AS t) AS u""",
+    # A place for each customer, its number in doubled letters: any two differ in two letters at least. Some have two words, some repeat.
+    "place": f"""
+        SELECT concat(CASE WHEN c_custkey % 3 = 0 THEN 'Ain ' ELSE '' END, upper(substr(code, 1, 1)), substr(code, 2)) AS place
+        FROM (SELECT c_custkey, {_lettered('c_custkey + 100')} AS code FROM {{customer}})""",
+    # Orders that name a customer's place: as it is, with a letter lost, changed or added, with two changed; some name another one behind a label.
+    "place_text": f"""
+        SELECT o_orderkey AS doc_id, concat('livre a ', CASE o_orderkey % 6 WHEN 1 THEN concat(substr(name, 1, 4), substr(name, 6)) WHEN 2 THEN concat(substr(name, 1, 3), 'z', substr(name, 5)) WHEN 3 THEN concat(name, 'e') WHEN 4 THEN concat('zz', substr(name, 3)) ELSE name END,
+                                            CASE WHEN o_orderkey % 7 = 0 THEN concat('. Lieu: ', upper(other), ' le 3') ELSE ' le 3 mars' END) AS raw_text
+        FROM (SELECT o_orderkey, {_lettered('o_custkey + 100')} AS name, {_lettered('o_custkey + 1 + 100')} AS other FROM {{orders}})""",
     "region": """
         SELECT concat('img-', CAST(l_orderkey AS STRING)) AS filename, concat('class-', CAST(l_orderkey % 6 AS STRING)) AS class_name, concat('group-', CAST(l_orderkey % 97 AS STRING)) AS group_id,
                CASE l_linenumber % 5 WHEN 0 THEN 'photo' WHEN 1 THEN 'birth_date' WHEN 2 THEN 'doc_number' WHEN 3 THEN 'gender' ELSE 'surname' END AS field_name,
