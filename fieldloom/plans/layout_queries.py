@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import parse_date_any
-from fieldloom.operators import places, readings, spatial
+from fieldloom.operators import line_tables, places, readings, spatial
 from fieldloom.operators.spatial import Wanted
 from fieldloom.plans.tables import table
 
@@ -117,10 +117,33 @@ _PLACES = r"""
     m AS (SELECT run, place, levenshtein(run, form) AS edits FROM d JOIN f ON abs(length(run) - length(form)) <= 1 AND levenshtein(run, form) <= CASE WHEN length(form) >= 5 AND length(run) >= 4 THEN 1 ELSE 0 END)
     SELECT doc_id, place, CAST(edits AS INT) AS edits, labelled FROM r JOIN m USING (run) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY labelled DESC, size DESC, edits, pos, place) = 1"""
 
+#: A line of an order as a row of a table, in each of three layouts: one line with a rate; wrapped, with a rate and a rest of the name behind the
+#: numbers; with a unit and a number in the name.
+_CODE, _QTY, _PRICE = "concat('P', CAST(l_partkey AS STRING))", "CAST(l_quantity AS BIGINT)", "CAST(100 + l_suppkey % 900 AS BIGINT)"
+_ROW = f"""CASE l_orderkey % 3 WHEN 0 THEN concat({_CODE}, ' Piece bleue ', CAST({_QTY} AS STRING), ' 19 ', CAST({_PRICE} AS STRING), ',500 ', CAST({_QTY} * {_PRICE} AS STRING), '.000')
+    WHEN 1 THEN concat({_CODE}, ' Piece GRANDE', chr(10), 'modele ', l_returnflag, 'x', chr(10), CAST({_QTY} AS STRING), ' 7% ', CAST({_PRICE} AS STRING), ',0 ', CAST({_QTY} * {_PRICE} AS STRING), chr(10), 'avec housse')
+    ELSE concat({_CODE}, ' Cable 5 metres ', CAST({_QTY} AS STRING), ' pcs ', CAST({_PRICE} AS STRING), '.00 ', CAST({_QTY} * {_PRICE} AS STRING), ',00') END"""
+
+
+def table_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(_ROW).alias("row")).alias("l"))
+    docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    text = F.concat(F.lit("FACTURE 12\nABC 1 2 3\nCode Designation Qte TVA PU Total\n"), F.array_join(F.transform("l", lambda x: x["row"]), "\n"), F.lit("\nTotal HT 12 13 14\nP1 apres 1 2 3"))
+    return line_tables.table_items(docs.select("doc_id", text.alias("raw_text")))
+
+
+_ITEMS = """
+    r AS (SELECT DISTINCT ON (doc_id, code, designation, quantity, price) * FROM (
+        SELECT l_orderkey AS doc_id, 'P' || l_partkey AS code, CASE l_orderkey % 3 WHEN 0 THEN 'Piece bleue' WHEN 1 THEN 'Piece GRANDE modele ' || l_returnflag || 'x avec housse' ELSE 'Cable 5 metres' END AS designation, l_quantity AS quantity,
+               CASE l_orderkey % 3 WHEN 2 THEN 'pcs' END AS unit, CASE l_orderkey % 3 WHEN 0 THEN 19.0 WHEN 1 THEN 7.0 END AS tax_rate, 100 + l_suppkey % 900 + CASE WHEN l_orderkey % 3 = 0 THEN 0.5 ELSE 0 END AS price, l_quantity * (100 + l_suppkey % 900) AS total, l_linenumber, l_partkey,
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem) ORDER BY doc_id, code, designation, quantity, price, pos)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS line_no, code, designation, quantity, unit, CAST(tax_rate AS DOUBLE) AS tax_rate, CAST(price AS DOUBLE) AS price, CAST(total AS DOUBLE) AS total FROM r"""
+
 #: Name: query, working tables of its SQL, SQL.
 QUERIES = {
     "near_labels": (near_labels, ["form_box"], _NEAR),
     "fused_fields": (fused_fields, ["reading"], _FUSED),
+    "table_items": (table_items, [], "WITH " + _ITEMS.lstrip()),
     "place_lookup": (place_lookup, ["place", "place_text"], _PLACES),
     "union_places": (union_places, ["place", "place_text"], r"SELECT min(place) AS place FROM (SELECT place FROM place UNION ALL SELECT regexp_extract(raw_text, 'Lieu: (.*) le 3', 1) FROM place_text) WHERE place <> '' GROUP BY lower(place)"),
     "spatial_fields": (spatial_fields, ["card_box"], f"SELECT * FROM ({_CARD}) WHERE value IS NOT NULL"),
