@@ -234,5 +234,4 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "recommendations": (_table("field", lambda d: governance.recommendation(scoring.document_scores(d))), [], None),
     "assess_documents": (_table("field", _assess), [], None),
     "job_states": (_table("job_event", states.job_states), ["job_event"], "SELECT job_id, arg_max(state, (ts, event_id)) AS state, count(*) FILTER (state = 'processing') AS attempts, count(*) FILTER (state = 'failed') AS failures, max(ts) AS changed_at FROM job_event GROUP BY 1"),
-    "breaker_states": (_table("job_event", lambda d: states.breaker_table(d.select(F.col("job_id").alias("key"), "ts", (F.col("state") != "failed").alias("ok"), "event_id"))), [], None),
 }

@@ -10,6 +10,7 @@ from fieldloom.functions.dates import parse_date_any
 from fieldloom.operators import line_tables, places, readings, spatial
 from fieldloom.operators.spatial import Wanted
 from fieldloom.plans.tables import table
+from fieldloom.streaming import states
 
 _TOWNS = "Tunis|Sfax|Gabes|Sousse"
 _LABELS = r"\b(Nom|Naissance|Lieu)\b"
@@ -126,7 +127,7 @@ _ROW = f"""CASE l_orderkey % 3 WHEN 0 THEN concat({_CODE}, ' Piece bleue ', CAST
 
 
 def table_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(_ROW).alias("row")).alias("l"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.expr(_ROW).alias("row")).alias("l"))
     docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("l")).alias("l"))
     text = F.concat(F.lit("FACTURE 12\nABC 1 2 3\nCode Designation Qte TVA PU Total\n"), F.array_join(F.transform("l", lambda x: x["row"]), "\n"), F.lit("\nTotal HT 12 13 14\nP1 apres 1 2 3"))
     return line_tables.table_items(docs.select("doc_id", text.alias("raw_text")))
@@ -136,13 +137,40 @@ _ITEMS = """
     r AS (SELECT DISTINCT ON (doc_id, code, designation, quantity, price) * FROM (
         SELECT l_orderkey AS doc_id, 'P' || l_partkey AS code, CASE l_orderkey % 3 WHEN 0 THEN 'Piece bleue' WHEN 1 THEN 'Piece GRANDE modele ' || l_returnflag || 'x avec housse' ELSE 'Cable 5 metres' END AS designation, l_quantity AS quantity,
                CASE l_orderkey % 3 WHEN 2 THEN 'pcs' END AS unit, CASE l_orderkey % 3 WHEN 0 THEN 19.0 WHEN 1 THEN 7.0 END AS tax_rate, 100 + l_suppkey % 900 + CASE WHEN l_orderkey % 3 = 0 THEN 0.5 ELSE 0 END AS price, l_quantity * (100 + l_suppkey % 900) AS total, l_linenumber, l_partkey,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem) ORDER BY doc_id, code, designation, quantity, price, pos)
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem) ORDER BY doc_id, code, designation, quantity, price, pos)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS line_no, code, designation, quantity, unit, CAST(tax_rate AS DOUBLE) AS tax_rate, CAST(price AS DOUBLE) AS price, CAST(total AS DOUBLE) AS total FROM r"""
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "job_event").select(F.col("job_id").alias("key"), "ts", (F.col("state") != "failed").alias("ok"), "event_id")
+
+
+def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.breaker_table(_outcomes(spark, sf_dir), threshold=3, wait=7200.0, span="6 hours")
+
+
+def breaker_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a success also forgets the failures before it."""
+    return states.breaker_table(_outcomes(spark, sf_dir), threshold=2, wait=7200.0, span="6 hours", resets=True)
+
+
+def _breaker(threshold: int, resets: bool) -> str:
+    """Each key's events one after the other."""
+    return f"""
+    WITH RECURSIVE e AS (SELECT CAST(job_id AS VARCHAR) AS key, ts, state <> 'failed' AS ok, epoch_ms(ts) / 1000 AS tm, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM (SELECT event_id, user_id AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS state FROM events)),
+    s AS (SELECT DISTINCT key, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS BIGINT) AS n, 'closed' AS state, CAST(0 AS BIGINT) AS failures, CAST(0 AS DOUBLE) AS changed FROM e
+          UNION ALL SELECT e.key, e.ts, e.n, CASE WHEN ok THEN CASE WHEN s.state = 'open' AND tm - changed >= 7200 THEN 'closed' ELSE s.state END WHEN s.state = 'open' OR failures + 1 >= {threshold} THEN 'open' ELSE s.state END,
+                 CASE WHEN NOT ok THEN failures + 1 WHEN s.state = 'open' AND tm - changed >= 7200 THEN 0 WHEN {str(resets).lower()} AND s.state = 'closed' THEN 0 ELSE failures END,
+                 CASE WHEN ok AND NOT (s.state = 'open' AND tm - changed >= 7200) THEN changed WHEN NOT ok AND s.state = 'closed' AND failures + 1 < {threshold} THEN changed ELSE tm END
+          FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+    SELECT key, ts, state, failures FROM s WHERE n > 0"""
+
+
 #: Name: query, working tables of its SQL, SQL.
 QUERIES = {
     "near_labels": (near_labels, ["form_box"], _NEAR),
     "fused_fields": (fused_fields, ["reading"], _FUSED),
+    "breaker_states": (breaker_states, [], _breaker(3, False)),
+    "breaker_resets": (breaker_resets, [], _breaker(2, True)),
     "table_items": (table_items, [], "WITH " + _ITEMS.lstrip()),
     "place_lookup": (place_lookup, ["place", "place_text"], _PLACES),
     "union_places": (union_places, ["place", "place_text"], r"SELECT min(place) AS place FROM (SELECT place FROM place UNION ALL SELECT regexp_extract(raw_text, 'Lieu: (.*) le 3', 1) FROM place_text) WHERE place <> '' GROUP BY lower(place)"),

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import dates
@@ -104,7 +105,8 @@ def test_annotations_and_boxes(spark, tmp_path):
     assert [(r["text"], r["confidence"], r["x2"], r["cy"]) for r in got] == [("t", 0.5, 9.0, 3.0), ("u", 0.7, 4.0, 2.0)]
 
 
-def test_breaker_is_the_plain_walk(spark):
+@pytest.mark.parametrize(("span", "resets"), [("1 hour", False), ("20 seconds", False), ("20 seconds", True), ("3 minutes", True)])
+def test_breaker_is_the_plain_walk(spark, span, resets):
     rnd, start = random.Random(5), dt.datetime(2024, 1, 1)
     rows, at = [], {k: start for k in "abc"}
     for i in range(600):
@@ -117,12 +119,12 @@ def test_breaker_is_the_plain_walk(spark):
         now = ts.timestamp()
         half = mode == "open" and now - since >= 30
         if ok:
-            held[key] = ("closed", 0, now) if half else (mode, n, since)
+            held[key] = ("closed", 0, now) if half else (mode, 0 if resets and mode == "closed" else n, since)
         else:
             held[key] = ("open", n + 1, now) if half or n + 1 >= 5 else (mode, n + 1, since)
         want[key, ts.timestamp()] = held[key][:2]
     df = spark.createDataFrame(rows, "key string, ts timestamp, ok boolean, event_id long")
-    got = {(r["key"], r["ts"].timestamp()): (r["state"], r["failures"]) for r in states.breaker_table(df).collect()}
+    got = {(r["key"], r["ts"].timestamp()): (r["state"], r["failures"]) for r in states.breaker_table(df, span=span, resets=resets).collect()}
     assert got == want and {s for s, _ in want.values()} == {"closed", "open"}
 
 
