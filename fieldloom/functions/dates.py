@@ -25,6 +25,10 @@ MONTHS = {
 CURRENCIES = {"TND": ["tnd", "dt", "dinar", "dinars"], "EUR": ["eur", "€", "euro", "euros"], "USD": ["usd", "$", "dollar", "dollars"], "GBP": ["gbp", "£"]}
 
 
+#: A date in a text, perhaps broken over lines.
+DATE_SPAN = r"(?<!\d)(?:\d{1,2}\s*[/.\-]\s*\d{1,2}\s*[/.\-]\s*\d{4}|\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2}|\d{1,2}\s+\p{L}{3,12}\s+\d{4})(?!\d)"
+
+
 def _iso(year: Column, month: Column, day: Column) -> Column:
     """The date as text, null where there is no such day."""
     whole = F.format_string("%04d-%02d-%02d", year, month, day)

@@ -16,6 +16,20 @@ def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """Where a pattern stands in a text, from the left: start, end (from 0, end excluded) and text of each match."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(matches, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        begin = s["at"] + x["gap"]
+        end = begin + F.length(x["m"])
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+
+    return F.aggregate(both, start, add, lambda s: s["out"])
+
+
 def is_present(c: Column) -> Column:
     return c.isNotNull() & (c != "") & (c != "[]")
 

@@ -387,6 +387,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "card_places": (_table("card_text", identity.known_place), ["card_text"], "SELECT doc_id, place FROM card_text"),
     "card_birth_dates": (_table("card_text", identity.birth_date), ["card_text"], "SELECT doc_id, CASE kind WHEN 0 THEN concat(year, CASE month WHEN 'مارس' THEN '-03-' ELSE '-10-' END, day) WHEN 1 THEN concat(year, '-03-', day) END AS birth_date FROM card_text"),
     "card_numbers": (_table("card_text", identity.card_number), ["card_text"], "SELECT doc_id, number FROM card_text"),
+    "birth_dates": (_table("dated_text", identity.birth_date), ["dated_text"], "SELECT doc_id, concat(year, CASE WHEN kind = 6 THEN '-10-' ELSE '-03-' END, day) AS birth_date FROM dated_text"),
     "identity_card": (_table("card_text", lambda d: identity.identity_card(d, F.lit(YEAR))), [], None),
     "identity_warnings": (_table("field", identity.identity_warnings), ["field"], "SELECT doc_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (review_required AND NOT validated), '') AS warnings FROM field GROUP BY doc_id"),
     "name_quality": (_table("card_text", lambda d: d.select("doc_id", identity.phrase_quality(F.concat_ws(" ", "family", "first", F.when(F.col("kind") == 1, F.lit("الاسم")), F.when(F.col("kind") == 2, F.col("family")), F.when(F.col("doc_id") % 2 == 0, F.col("day")))).alias("quality"))), ["card_text"],

@@ -208,6 +208,17 @@ TABLES = {
         SELECT o_orderkey AS doc_id, concat('livre a ', CASE o_orderkey % 6 WHEN 1 THEN concat(substr(name, 1, 4), substr(name, 6)) WHEN 2 THEN concat(substr(name, 1, 3), 'z', substr(name, 5)) WHEN 3 THEN concat(name, 'e') WHEN 4 THEN concat('zz', substr(name, 3)) ELSE name END,
                                             CASE WHEN o_orderkey % 7 = 0 THEN concat('. Lieu: ', upper(other), ' le 3') ELSE ' le 3 mars' END) AS raw_text
         FROM (SELECT o_orderkey, {_lettered('o_custkey + 100')} AS name, {_lettered('o_custkey + 1 + 100')} AS other FROM {{orders}})""",
+    # Dates of birth beside, behind, before and far from their labels, on either side of line breaks, with rivals.
+    "dated_text": """
+        SELECT doc_id, kind, day, year,
+               CASE kind WHEN 0 THEN concat('تاريخ الولادة', chr(10), day, ' مارس ', year, chr(10), 'تاريخ الاصدار 01/02/2011')
+                         WHEN 1 THEN concat('صدر في 01/02/2011', chr(10), day, '/03/', year, ' تاريخ الولادة')
+                         WHEN 2 THEN concat('مولود في ', year, '-03-', day, ' ', rpad('', 40, 'ب'), ' 05/06/2012')
+                         WHEN 3 THEN concat('01/02/2011 ', rpad('', 160, 'ب '), 'تاريخ الولادة', chr(10), chr(10), day, '/03/', year, chr(10), '07/08/2013')
+                         WHEN 4 THEN concat(day, '/03/', year, chr(10), rpad('', 200, 'ب '), 'الولادة ', rpad('', 200, 'ب '), '01/02/2011')
+                         WHEN 5 THEN concat('Date de naissance ', day, chr(10), 'mars', chr(10), year, ' 01/02/2011')
+                         ELSE concat('delivre 01/02/2011', chr(10), '31/02/1990 الولادة ', day, ' octobre ', year) END AS raw_text
+        FROM (SELECT c_custkey AS doc_id, CAST(c_custkey % 7 AS INT) AS kind, CAST(10 + c_custkey % 18 AS STRING) AS day, CAST(1950 + c_custkey % 50 AS STRING) AS year FROM {customer}) AS t""",
     "region": """
         SELECT concat('img-', CAST(l_orderkey AS STRING)) AS filename, concat('class-', CAST(l_orderkey % 6 AS STRING)) AS class_name, concat('group-', CAST(l_orderkey % 97 AS STRING)) AS group_id,
                CASE l_linenumber % 5 WHEN 0 THEN 'photo' WHEN 1 THEN 'birth_date' WHEN 2 THEN 'doc_number' WHEN 3 THEN 'gender' ELSE 'surname' END AS field_name,
