@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import parse_date_any
+from fieldloom.operators import invoice_header as headers
 from fieldloom.operators import line_tables, places, readings, spatial
 from fieldloom.operators.spatial import Wanted
 from fieldloom.plans.tables import table
@@ -140,6 +141,17 @@ _ITEMS = """
                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem) ORDER BY doc_id, code, designation, quantity, price, pos)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS line_no, code, designation, quantity, unit, CAST(tax_rate AS DOUBLE) AS tax_rate, CAST(price AS DOUBLE) AS price, CAST(total AS DOUBLE) AS total FROM r"""
 
+def invoice_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headers.invoice_header(table(spark, sf_dir, "header_text"))
+
+
+_ISO = "regexp_replace({0}, '(..)/(..)/(....)', '\\3-\\2-\\1')"
+_HEADER = f"""
+    SELECT doc_id, 'Maison ' || number AS supplier, '1' || number || CASE WHEN kind = 5 THEN '/A/M/000' ELSE 'A/M/000' END AS supplier_tax_id, 'Customer ' || cust AS customer, '7' || number || 'C' AS customer_tax_id, 'INV-' || number AS invoice_number, {_ISO.format("day")} AS invoice_date,
+           CASE WHEN kind <> 4 THEN {_ISO.format("due")} END AS due_date, CASE WHEN kind NOT IN (3, 4) THEN {_ISO.format("begin")} END AS period_start, CASE WHEN kind NOT IN (3, 4) THEN {_ISO.format("finish")} END AS period_end,
+           CASE WHEN kind = 5 THEN 'EUR' ELSE 'TND' END AS currency, CAST(net AS DOUBLE) + 0.5 AS total_ht, CAST(tax AS DOUBLE) AS vat, CAST(net AS DOUBLE) + CAST(tax AS DOUBLE) + 0.5 AS total_ttc, true AS consistent FROM header_text"""
+
+
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "job_event").select(F.col("job_id").alias("key"), "ts", (F.col("state") != "failed").alias("ok"), "event_id")
 
@@ -171,6 +183,7 @@ QUERIES = {
     "fused_fields": (fused_fields, ["reading"], _FUSED),
     "breaker_states": (breaker_states, [], _breaker(3, False)),
     "breaker_resets": (breaker_resets, [], _breaker(2, True)),
+    "invoice_header": (invoice_header, ["header_text"], _HEADER),
     "table_items": (table_items, [], "WITH " + _ITEMS.lstrip()),
     "place_lookup": (place_lookup, ["place", "place_text"], _PLACES),
     "union_places": (union_places, ["place", "place_text"], r"SELECT min(place) AS place FROM (SELECT place FROM place UNION ALL SELECT regexp_extract(raw_text, 'Lieu: (.*) le 3', 1) FROM place_text) WHERE place <> '' GROUP BY lower(place)"),

@@ -30,6 +30,11 @@ _WRONG = "CAST((CAST(birth_check AS INT) + 1) % 10 AS STRING)"
 _SECOND = "number, number_check, country, {birth}, {check}, sex, expiry, expiry_check, personal, personal_check, composite"
 
 
+def _day(expr: str) -> str:
+    """A date as day/month/year."""
+    return f"concat(lpad(CAST(EXTRACT(DAY FROM {expr}) AS STRING), 2, '0'), '/', lpad(CAST(EXTRACT(MONTH FROM {expr}) AS STRING), 2, '0'), '/', CAST(EXTRACT(YEAR FROM {expr}) AS STRING))"
+
+
 TABLES = {
     "history": """
         SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey % 40 AS STRING) AS user_id,
@@ -219,6 +224,16 @@ TABLES = {
                          WHEN 5 THEN concat('Date de naissance ', day, chr(10), 'mars', chr(10), year, ' 01/02/2011')
                          ELSE concat('delivre 01/02/2011', chr(10), '31/02/1990 الولادة ', day, ' octobre ', year) END AS raw_text
         FROM (SELECT c_custkey AS doc_id, CAST(c_custkey % 7 AS INT) AS kind, CAST(10 + c_custkey % 18 AS STRING) AS day, CAST(1950 + c_custkey % 50 AS STRING) AS year FROM {customer}) AS t""",
+    # Invoice headers by the key modulo 6: as they should be; a due date before the invoice first; a subtotal first; a tax number out of shape and a
+    # period turned round; neither due date nor period; labels in English, the parties' order turned round.
+    "header_text": f"""
+        SELECT doc_id, kind, number, net, tax, day, due, begin, finish, cust,
+               CASE kind WHEN 5 THEN concat('Customer: Customer ', cust, chr(10), 'Tax ID: 7', number, 'C', chr(10), 'Supplier: Maison ', number, chr(10), 'Tax ID 1', number, ' / A / M / 000', chr(10), 'Invoice No: INV-', number, chr(10), 'Invoice date: ', day, chr(10), 'Due date: ', due, chr(10), 'Period: ', begin, ' to ', finish, chr(10), 'Currency: EUR', chr(10), 'Total HT ', net, '.50', chr(10), 'Total TVA ', tax, '.00', chr(10), 'Total TTC ', gross, '.50')
+                    ELSE concat('Fournisseur : Maison ', number, chr(10), CASE WHEN kind = 3 THEN concat('MF : 12', number, '345', chr(10)) ELSE '' END, 'Matricule fiscal : 1', number, 'A/M/000', chr(10), 'Client : Customer ', cust, chr(10), 'MF: 7', number, 'C', chr(10), 'Facture N° : INV-', number, chr(10), 'Date : ', day, chr(10),
+                                CASE WHEN kind = 1 THEN concat('Echéance : 01/01/1980', chr(10)) ELSE '' END, CASE WHEN kind = 4 THEN '' ELSE concat('Date d''échéance : ', due, chr(10), 'Période : du ', CASE WHEN kind = 3 THEN concat(finish, ' au ', begin) ELSE concat(begin, ' au ', finish) END, chr(10)) END,
+                                CASE WHEN kind = 2 THEN concat('Total HT : 12,000', chr(10)) ELSE '' END, 'Total HT : ', net, ',500', chr(10), 'TVA 19% : ', tax, ',000', chr(10), 'Total TTC : ', gross, ',500 DT') END AS raw_text
+        FROM (SELECT o_orderkey AS doc_id, CAST(o_orderkey % 6 AS INT) AS kind, lpad(CAST(o_orderkey AS STRING), 6, '0') AS number, CAST(o_custkey AS STRING) AS cust, {_day("o_orderdate")} AS day, {_day("(o_orderdate + INTERVAL 30 DAY)")} AS due, {_day("(o_orderdate - INTERVAL 40 DAY)")} AS begin, {_day("(o_orderdate - INTERVAL 10 DAY)")} AS finish,
+                     CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS net, CAST(CAST(floor(o_totalprice * 0.19) AS BIGINT) AS STRING) AS tax, CAST(CAST(floor(o_totalprice) + floor(o_totalprice * 0.19) AS BIGINT) AS STRING) AS gross FROM {{orders}}) AS t""",
     "region": """
         SELECT concat('img-', CAST(l_orderkey AS STRING)) AS filename, concat('class-', CAST(l_orderkey % 6 AS STRING)) AS class_name, concat('group-', CAST(l_orderkey % 97 AS STRING)) AS group_id,
                CASE l_linenumber % 5 WHEN 0 THEN 'photo' WHEN 1 THEN 'birth_date' WHEN 2 THEN 'doc_number' WHEN 3 THEN 'gender' ELSE 'surname' END AS field_name,
