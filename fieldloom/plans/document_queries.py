@@ -383,12 +383,15 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
     "card_cleanup": (_table("card_text", lambda d: d.select("doc_id", text.cleanup_arabic(F.concat("place", F.lit(" x\u200f٣-"), "number")).alias("clean"), text.fix_labels(F.concat(F.lit("نساما دمحم "), "family", F.lit(" دمحمم"))).alias("fixed"))), ["card_text"], "SELECT doc_id, concat(place, ' 3-', number) AS clean, concat('الاسم محمد ', family, ' دمحمم') AS fixed FROM card_text"),
     "text_languages": (_documents(lambda d: d.select("doc_id", text.detect_language(F.col("text")).alias("language"))), [], _LANGUAGE_SQL),
     "capital_words": (_table("registry_text", lambda d: d.select("doc_id", registry.capital_in_words(F.concat(F.lit("Capital de "), F.when(F.col("doc_id") % 3 == 0, "CINQ MILLE").when(F.col("doc_id") % 3 == 1, "cent mille"))).alias("amount"))), ["registry_text"], "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '5000' WHEN 1 THEN '100000' END AS amount FROM registry_text"),
-    "card_names": (_table("card_text", identity.names_from_text), [], None),
+    "card_names": (_table("card_text", identity.names_from_text), ["card_text"], "SELECT doc_id, family AS family_name, first AS first_name FROM card_text"),
     "card_places": (_table("card_text", identity.known_place), ["card_text"], "SELECT doc_id, place FROM card_text"),
     "card_birth_dates": (_table("card_text", identity.birth_date), ["card_text"], "SELECT doc_id, CASE kind WHEN 0 THEN concat(year, CASE month WHEN 'مارس' THEN '-03-' ELSE '-10-' END, day) WHEN 1 THEN concat(year, '-03-', day) END AS birth_date FROM card_text"),
     "card_numbers": (_table("card_text", identity.card_number), ["card_text"], "SELECT doc_id, number FROM card_text"),
     "birth_dates": (_table("dated_text", identity.birth_date), ["dated_text"], "SELECT doc_id, concat(year, CASE WHEN kind = 6 THEN '-10-' ELSE '-03-' END, day) AS birth_date FROM dated_text"),
-    "identity_card": (_table("card_text", lambda d: identity.identity_card(d, F.lit(YEAR))), [], None),
+    "identity_card": (_table("card_text", lambda d: identity.identity_card(d, F.lit(YEAR))), ["card_text"], """
+        SELECT doc_id, name, value, CASE WHEN value IS NULL THEN 0 ELSE CAST(sure AS DOUBLE) END AS confidence, value IS NOT NULL AS validated, CASE WHEN value IS NULL THEN concat('missing_', name) END AS error, value IS NULL AND name <> 'place_of_birth' AS review_required
+        FROM (SELECT doc_id, 'cin_number' AS name, number AS value, 0.95 AS sure FROM card_text UNION ALL SELECT doc_id, 'family_name', family, 0.85 FROM card_text UNION ALL SELECT doc_id, 'first_name', first, 0.85 FROM card_text
+              UNION ALL SELECT doc_id, 'date_of_birth', CASE kind WHEN 0 THEN concat(year, CASE month WHEN 'مارس' THEN '-03-' ELSE '-10-' END, day) WHEN 1 THEN concat(year, '-03-', day) END, 0.88 FROM card_text UNION ALL SELECT doc_id, 'place_of_birth', place, 0.82 FROM card_text)"""),
     "identity_warnings": (_table("field", identity.identity_warnings), ["field"], "SELECT doc_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (review_required AND NOT validated), '') AS warnings FROM field GROUP BY doc_id"),
     "name_quality": (_table("card_text", lambda d: d.select("doc_id", identity.phrase_quality(F.concat_ws(" ", "family", "first", F.when(F.col("kind") == 1, F.lit("الاسم")), F.when(F.col("kind") == 2, F.col("family")), F.when(F.col("doc_id") % 2 == 0, F.col("day")))).alias("quality"))), ["card_text"],
                      "SELECT doc_id, CAST(round(0.9 - CASE WHEN kind = 1 THEN 0.35 ELSE 0 END - CASE WHEN kind = 2 THEN 0.10 ELSE 0 END - CASE WHEN doc_id % 2 = 0 THEN 0.25 ELSE 0 END, 4) AS DOUBLE) AS quality FROM card_text"),
