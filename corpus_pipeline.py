@@ -30,10 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each near-duplicate class one row stays: of its least doc_id, null last, and then of the least text key. Where rows are equal in
     both, they differ in other columns only, and any one stays."""
     _, known = jaccard_join.text_classes(docs)
-    kept = known.filter("key = class_key").select(F.col("key").alias("_key"), F.col("text_id").alias("_text_id"))
-    keyed = docs.withColumn("_own", jaccard_join.key_of(text_of()))
-    named = keyed.join(kept, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_text_id")), "left_semi")
-    return named.dropDuplicates(["_own"]).select(docs.columns)
+    kept = known.filter("key = class_key").select("key", "text_id")
+    rows = docs.select(F.struct("*").alias("row"))
+    keyed = rows.withColumn("own", jaccard_join.key_of(text_of("row.text")))
+    named = keyed.join(kept, (F.col("own") == F.col("key")) & F.col("row.doc_id").eqNullSafe(F.col("text_id")), "left_semi")
+    return named.dropDuplicates(["own"]).select("row.*")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
