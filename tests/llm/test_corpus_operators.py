@@ -305,6 +305,13 @@ def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, sf_dir, tmp_path):
     assert len(set(texts)) == len(texts) == len({r.text or "" for r in docs.collect()}) - 1
 
 
+def test_pipeline_keeps_columns_with_names_of_its_own(spark):
+    docs = documents(spark).selectExpr("*", "doc_id as _key", "lang as own", "source as key", "n_chars as text_id", "lang as _own", "'x' as row")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    given = {(r.doc_id, r.text): r for r in docs.collect()}
+    assert left and all(r == given[r.doc_id, r.text] for r in left)
+
+
 def test_pipeline_is_the_plain_stages(spark, sf_dir, tmp_path):
     """run() against plain Python: kept documents and their pieces, with null and repeated doc_ids among them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
