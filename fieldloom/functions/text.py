@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 ARABIC_DIGITS, PERSIAN_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 
+#: Letters, marks and blanks that scans give in different ways.
+_SPELT = {"e": "[eéèê]", "a": "[aàâ]", "'": "['’]", "°": "[°o]", " ": r"\s*", "ا": "[اأإآ]", "أ": "[اأإآ]", "إ": "[اأإآ]"}
+
 
 def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed once a row, however often later columns name them: they come out of a generator, into which Catalyst
@@ -16,6 +20,11 @@ def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def spelt(words: list[str]) -> str:
+    """Any of the words as scans spell them: with or without accents, hooks over letters and blanks; the longest first."""
+    return "|".join("".join(_SPELT.get(c, re.escape(c)) for c in w) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Where a pattern stands in a text, from the left: start, end (from 0, end excluded) and text of each match."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

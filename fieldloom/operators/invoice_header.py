@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import CURRENCIES, DATE_SPAN, parse_date_any
-from fieldloom.functions.text import normalize_number, spans, with_computed
-from fieldloom.operators.registry import spelt
+from fieldloom.functions.text import normalize_number, spans, spelt, with_computed
 
 # Words of the labels by field; shape of a tax number; the rounding that totals may differ by.
 LABELS = {
