@@ -4,7 +4,7 @@ A sequence of tokens is what the merges give if, and only if, each neighbouring
 text gives the two tokens back. So every prefix of a word has one possible last token: the one that ends there, whose rest is a
 prefix that has been solved, and that is compatible with that prefix's own last token. An Aho-Corasick automaton over the vocabulary
 (the suffix automaton of all tokens, with its suffix links) gives the tokens that end at each place, and back-pointers from the word's
-end give the ids. Words are cached in each Python worker up to a bound.
+end give the ids. Words are cached in each Python worker up to a number of bytes.
 
 Defined results: null text is empty: no ids and an empty decoded text; repeated rows give repeated rows; null doc_ids stay null; an
 empty table gives an empty table; texts of any length are taken whole; other columns are ignored.
@@ -22,11 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from fieldloom.llm.common import text_of
-from fieldloom.llm.token_ids import slices
+from fieldloom.llm.token_ids import Pieces, slices
 
 #: Ends a word inside the automaton; no token has it, as byte-level tokens have no control characters.
 END = "\0"
-CACHED_WORDS = 600_000
+#: Bytes of words and what they give that one Python worker keeps.
+CACHED_BYTES = 200_000_000
 #: In texts without any of these, white space and lower case are the same for Python as for the tokenizer's normaliser.
 _ODD = re.compile(r"[^\t-\r -įı-ɏ]")
 
@@ -51,7 +52,7 @@ def byte_symbols() -> list[str]:
 
 
 class PrefixBpe:
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         import ahocorasick
         from tokenizers import Tokenizer
 
@@ -83,8 +84,7 @@ class PrefixBpe:
             if self.real(token):
                 self.automaton.add_word(token, (i, token, len(token), {}))
         self.automaton.make_automaton()
-        self.cached = cached
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words = Pieces(self._chunk, cached)
 
     def inner(self, token: str) -> str:
         return token[: -len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) else token
@@ -158,19 +158,7 @@ class PrefixBpe:
             chunks = self.normalizer.normalize_str(text).split(" ")
         else:
             chunks = text.lower().split()
-        words = self.words
-        if len(words) > self.cached:  # short words are the frequent ones
-            words = self.words = {w: v for w, v in words.items() if len(w) <= 6}
-        found = list(map(words.get, chunks))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    chunk = chunks[i]
-                    x = words.get(chunk)
-                    if x is None:
-                        x = words[chunk] = self._chunk(chunk)
-                    found[i] = x
-        return found
+        return list(map(self.words.__getitem__, chunks))
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """Count of ids, the ids in decimal and the decoded text: tokens, each with one space between them and the next."""

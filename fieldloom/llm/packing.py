@@ -2,8 +2,10 @@
 
 Each document's ids and an end id are cut at multiples of the window; its last piece goes, as it arrives, to the fill level that
 makes the sum of squares of the counts of partly filled windows smallest (an array with a count for each level; ties go to the
-fullest). Each task packs the rows it reads, so nothing is shuffled. At a task's end the windows still partly filled are few; their
-pieces are strung together and cut anew at the window, and what remains is cut into powers of two, which need no padding.
+fullest). Each task packs the rows it reads, so nothing is shuffled. Where no two pieces fit together, windows would stay open without
+end; beyond ``OPEN_PER_LEVEL`` open windows for each level, the pieces of the level that has most are strung together and cut anew at
+the window, which leaves at most one of them open. The same is done at a task's end with all that is still open, where what remains
+is cut into powers of two, which need no padding.
 
 Defined results: null text is empty (its one id is the end id); repeated rows and doc_ids are packed each for itself; null doc_ids
 stay null; an empty table gives an empty table; texts of any length are packed whole; other columns are ignored.
@@ -24,6 +26,8 @@ from fieldloom.llm.token_ids import encoder, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Open windows, on average over the levels, that a task holds: 4,096 of them, and 8 MB of ids, for windows of 1024 small ids.
+OPEN_PER_LEVEL = 4
 
 
 class Packer:
@@ -33,6 +37,7 @@ class Packer:
         self.window, self.sequence, self.done = window, first_sequence, []
         self.count = np.zeros(window + 1, dtype=np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
+        self.n_open = 0
 
     def close(self, pieces: list) -> None:
         offset = 0
@@ -46,7 +51,10 @@ class Packer:
         for at in range(0, whole, self.window):
             self.close([(doc_id, at, ids[at : at + self.window], n)])
         if n > whole:
-            self.place((doc_id, whole, ids[whole:], n))
+            # A copy, so that an open window doesn't hold all ids of a long document.
+            self.place((doc_id, whole, ids[whole:].copy() if whole else ids, n))
+            if self.n_open > OPEN_PER_LEVEL * self.window:
+                self.thin()
 
     def place(self, piece: tuple) -> None:
         """Change of the sum of squares: a level that loses a window gives 1 - 2 N, one that gains one gives 2 N + 1; an empty
@@ -62,32 +70,52 @@ class Packer:
             level = int(levels[best])
             count[level] -= 1
             held = self.open[level].pop()
+            self.n_open -= 1
         else:
             level, held = 0, []
         held.append(piece)
         if level + size == self.window:
             self.close(held)
         else:
-            self.open[level + size].append(held)
-            count[level + size] += 1
-
-    def drain(self) -> None:
-        """Level by level from the top: the pieces of the open windows strung together, cut at the window, the rest in powers of two."""
-        pieces = [p for level in reversed(self.open) for held in level for p in held]
+            self.keep(held, level + size)
+
+    def keep(self, held: list, level: int) -> None:
+        self.open[level].append(held)
+        self.count[level] += 1
+        self.n_open += 1
+
+    def take(self, level: int) -> list:
+        """The pieces of a level's open windows, which are open no more."""
+        pieces = [p for held in self.open[level] for p in held]
+        self.n_open -= len(self.open[level])
+        self.open[level], self.count[level] = [], 0
+        return pieces
+
+    def strung(self, pieces: list, last: bool) -> tuple[list, int]:
+        """Cuts pieces, strung together, at the window; with ``last`` the rest in powers of two, else the rest and its size are returned."""
         left = sum(len(p[2]) for p in pieces)
         held, size, most = [], 0, 0
         for doc_id, start, ids, n in pieces:
             while len(ids):
                 if not held:
-                    most = self.window if left >= self.window else 1 << (left.bit_length() - 1)
+                    most = self.window if left >= self.window or not last else 1 << (left.bit_length() - 1)
                 part = ids[: most - size]
                 held.append((doc_id, start, part, n))
                 start, ids, size, left = start + len(part), ids[len(part) :], size + len(part), left - len(part)
                 if size == most:
                     self.close(held)
                     held, size = [], 0
-        self.open = [[] for _ in range(self.window + 1)]
-        self.count[:] = 0
+        return held, size
+
+    def thin(self) -> None:
+        """The level with most open windows (it has two or more, as there are more windows than levels) keeps none; one, of the rest, may open."""
+        held, size = self.strung(self.take(int(np.argmax(self.count))), last=False)
+        if held:
+            self.keep(held, size)
+
+    def drain(self) -> None:
+        """All that is open, level by level from the top."""
+        self.strung([p for level in range(self.window, -1, -1) for p in self.take(level)], last=True)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0) -> DataFrame:

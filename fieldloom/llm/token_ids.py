@@ -27,8 +27,10 @@ _PLAIN = re.compile(rf" ?[{_LATIN}!-&(-@\[-`{{-~\n]+")
 #: A word and the mark behind it.
 _WORD = re.compile(rf"( ?[{_LATIN}]+)([.,;:!?]?)")
 _RUNS = re.compile(rf" ?[{_LATIN}]+| ?[^{_LATIN}]+")
-#: Pieces kept in one Python worker; about 250 bytes each.
-CACHED_PIECES = 400_000
+#: Bytes of pieces and ids kept in one Python worker.
+CACHED_BYTES = 100_000_000
+#: Longer pieces, such as lines of a script without spaces, hardly come again and are not kept.
+LONGEST_KEPT = 64
 
 _encoders: dict[str, TextEncoder] = {}
 
@@ -51,28 +53,38 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
 
 
+def weight(found) -> int:
+    """Bytes that a found value takes."""
+    return sys.getsizeof(found) + (sum(map(sys.getsizeof, found)) if isinstance(found, tuple) else 0)
+
+
 class Pieces(dict):
-    """Packed ids by piece, filled as pieces are asked for. What is not asked for while ``most`` / 2 others come is forgotten."""
+    """What ``encode`` finds by piece, filled as pieces are asked for, in at most about ``most`` bytes: what is not asked for while half
+    as many bytes of others come is forgotten. A long piece is encoded anew each time."""
+
+    #: Of the entry itself, in a dictionary that is half full.
+    ENTRY = 200
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most, self.older = encode, most, {}
+        self.encode, self.most, self.older, self.bytes = encode, most, {}, 0
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str):
+        if len(piece) > LONGEST_KEPT:
+            return self.encode(piece)
         found = self.older.get(piece)
         if found is None:
             found = self.encode(piece)
+        self.bytes += self.ENTRY + sys.getsizeof(piece) + weight(found)
+        if self.bytes > self.most // 2:
+            self.older, self.bytes = dict(self), 0
+            self.clear()
         self[piece] = found
         return found
 
-    def trim(self) -> None:
-        if len(self) > self.most // 2:
-            self.older = dict(self)
-            self.clear()
-
 
 class TextEncoder:
-    def __init__(self, path: str, cached: int = CACHED_PIECES):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -116,7 +128,6 @@ class TextEncoder:
         """Per text its ids as packed little-endian integers of ``dtype``."""
         if not self.cuts:
             return self._whole(texts)
-        self.pieces.trim()
         ids = self.pieces.__getitem__
         found: list[bytes | None] = []
         for text in texts:

@@ -7,7 +7,7 @@ document. A segment of score s in a document of n tokens is expected K n exp(-s)
 scores are log-odds, so their scale is 1); K is set on clean rows. A document's evidence is the sum of -ln(expectation) over its
 significant segments, and a logistic curve fitted on the same rows makes of it a probability.
 
-Defined results: null and empty texts have no evidence and get the lowest score; repeated rows get equal scores; null labels teach
+Defined results: null and empty texts have no evidence and get the lowest score; repeated rows get equal scores and teach once; null labels teach
 nothing; doc_ids with several labels count as toxic if any says so; without labelled rows of both kinds every score is 0; an empty
 table gives an empty table; whole texts are read, however long; other columns are ignored.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import staged, text_of
+from fieldloom.llm.common import discard, staged, text_of
 from fieldloom.llm.token_ids import forget_encoders
 
 #: Labelled rows, at most, that teach the model; what is broadcast and collected is bounded by it.
@@ -36,6 +36,7 @@ LEVEL = 0.01
 LEAST_LOG_ODDS = 1.0
 SIGNIFICANT = 0.05
 _TOKEN = regex.compile(r"\p{L}+")
+_BREAK = regex.compile(r"\P{L}")
 
 
 @dataclass
@@ -74,16 +75,27 @@ def segments(items: list[tuple[float, int, int]]) -> list[tuple[float, int, int]
     return [(high - low, begin, end) for low, high, begin, end, _ in stack]
 
 
+def token_runs(text: str, chars: int = 100_000) -> Iterator[list[str]]:
+    """The tokens of a text, in lists of about so many characters, each ending where a token does."""
+    at = 0
+    while at < len(text):
+        border = _BREAK.search(text, at + chars)
+        end = border.start() if border else len(text)
+        yield _TOKEN.findall(text, at, end)
+        at = end
+
+
 def passages(text: str, model: Model) -> tuple[int, list[tuple[float, int, int]]]:
     """The number of tokens, and the maximal segments in token places."""
-    tokens = _TOKEN.findall(text.lower())
-    items, at = [], 0
-    for i, score in [(i, model.terms[t]) for i, t in enumerate(tokens) if t in model.terms]:
-        if i > at:
-            items.append((model.neutral * (i - at), at, i))
-        items.append((score, i, i + 1))
-        at = i + 1
-    return len(tokens), segments(items)
+    items, at, n, terms = [], 0, 0, model.terms
+    for tokens in token_runs(text.lower()):
+        for i, score in [(i, terms[t]) for i, t in enumerate(tokens, n) if t in terms]:
+            if i > at:
+                items.append((model.neutral * (i - at), at, i))
+            items.append((score, i, i + 1))
+            at = i + 1
+        n += len(tokens)
+    return n, segments(items)
 
 
 def evidence(text: str, model: Model) -> tuple[float, list[tuple[float, int, int]]]:
@@ -121,7 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """``labels`` has doc_id and toxic; hold rows out before calling."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = staged(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id"), "labelled")
+    # A doc_id may stand at many rows: repeated ones count once, and the rows, by digests of their texts, are bounded too.
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("key", F.md5("text"))
+    texts = staged(texts.dropDuplicates(["doc_id", "key"]), "labelled-texts")
+    taken = texts.select("doc_id", "key").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(max_labelled)
+    rows = staged(texts.join(F.broadcast(taken), ["doc_id", "key"]).select("text", "toxic"), "labelled")
+    discard(texts)
     tokens = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("token"), "toxic").filter("token <> ''")
     by_token = tokens.groupBy("token").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0"))
     sums = by_token.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.count("*").alias("v")).first()
@@ -147,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         for batch in batches:
-            found = [passages(t, model) for t in batch.column(0).to_pylist()]
+            found = [passages(t.as_py(), model) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64())], ["toxic", "n", "hits"])
 
     clean = rows.mapInArrow(scan, "toxic double, n long, hits long").filter("toxic = 0").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
@@ -155,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([evidence(t, model)[0] for t in batch.column(0).to_pylist()], pa.float64())], ["toxic", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([evidence(t.as_py(), model)[0] for t in batch.column(0)], pa.float64())], ["toxic", "total"])
 
     pairs = rows.mapInArrow(weigh, "toxic double, total double").collect()  # at most max_labelled
     model.bias, model.slope = _logistic(np.log1p([r.total for r in pairs]), np.array([r.toxic for r in pairs]))
@@ -172,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         for batch in batches:
-            found = [evidence(t, model) for t in batch.column(1).to_pylist()]
+            found = [evidence(t.as_py(), model) for t in batch.column(1)]
             scores = pa.array([probability(total, model) for total, _ in found], pa.float64())
             spans = pa.array([[{"score": s, "begin": b, "end": e} for s, b, e in kept] for _, kept in found], part)
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, spans], names)

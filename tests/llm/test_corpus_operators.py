@@ -84,6 +84,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit(empty(spark), labels).bias == float("-inf")
 
 
+def test_toxicity_learns_from_bounded_rows_and_from_a_repeated_row_once(spark):
+    lines = [(i, f"you awful lout number {i} go away" if i % 2 else f"a calm river number {i} flows on") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(400, 0)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(lines, "doc_id long, text string"), labels)
+    again = toxicity.fit(spark.createDataFrame(lines + [lines[1]] * 900, "doc_id long, text string"), labels)
+    assert once == again and {"awful", "lout"} <= set(once.terms)
+    hot = spark.createDataFrame(lines + [(400, f"word{i} river") for i in range(3_000)], "doc_id long, text string")
+    taken = []
+    whole = toxicity._logistic
+    try:
+        toxicity._logistic = lambda x, y: taken.append(len(x)) or whole(x, y)
+        toxicity.fit(hot, labels, max_labelled=500)
+    finally:
+        toxicity._logistic = whole
+    assert taken == [500]
+
+
+def test_toxicity_tokens_of_a_long_text_are_the_same_in_runs():
+    text = words(3_000, 4) + " \u00e9t\u00e9 \u65e5\u672c" * 50 + "x" * 500
+    for chars in (1, 7, 1_000, 10**9):
+        assert [t for run in toxicity.token_runs(text, chars) for t in run] == toxicity._TOKEN.findall(text)
+    assert list(toxicity.token_runs("")) == []
+
+
 def test_url_rules_and_method(spark):
     urls = ["http://WWW.Example.com/en/1?x", "https://m.example.com/en/", "http://a.com", "http://a.net/fr/1", "http://evilnet/es/", "nothing", None, "http://spam-farm.test.org/de/1", "http://quietriver.test.org/de/2#t", "http://a.net/fr"]
     pages = spark.createDataFrame([(i, u, f"<p>{words(50, i)}</p> quiet river quiet river", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, rule long")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm import exact_bpe, fingerprints, packing, quality_rules, wavelet_ids
+from fieldloom.llm import exact_bpe, fingerprints, packing, quality_rules, token_ids, wavelet_ids
 from fieldloom.llm.token_ids import TextEncoder
 
 from .cases import documents, empty, rows, words
@@ -129,6 +129,37 @@ def test_packer_takes_the_least_sum_of_squares():
     assert sorted(sum(len(p[2]) for p, s, _ in packer.done if s == k) for k in range(packer.sequence)) == [8, 8]
 
 
+def test_packer_holds_few_windows_of_pieces_that_never_fit():
+    packer, cut = packing.Packer(1024), [(600, 50_000), (700, 3_000)]
+    documents = [np.arange(i, i + n, dtype="<u4") for n, times in cut for i in range(times)]
+    most = 0
+    for i, ids in enumerate(documents):
+        packer.document(i, ids)
+        most = max(most, packer.n_open)
+        assert packer.n_open == packer.count.sum() or i % 5_000
+    assert most <= 4 * 1024 + 1
+    packer.drain()
+    assert not packer.n_open and not any(packer.open)
+    held, sizes = defaultdict(list), Counter()
+    for (i, start, ids, n), sequence, offset in packer.done:
+        assert offset == sizes[sequence] and n == len(documents[i])
+        sizes[sequence] += len(ids)
+        held[i].append((start, ids))
+    assert all(np.array_equal(np.concatenate([x for _, x in sorted(held[i], key=lambda p: p[0])]), ids) for i, ids in enumerate(documents))
+    assert sum(n != 1024 for n in sizes.values()) <= 10 and all(n & (n - 1) == 0 for n in sizes.values())
+
+
+def test_cached_pieces_are_bounded_by_bytes():
+    made = []
+    pieces = token_ids.Pieces(lambda p: made.append(p) or p.encode(), 100_000)
+    assert [pieces[f"w{i % 5_000}"] for i in range(20_000)] == [f"w{i % 5_000}".encode() for i in range(20_000)]
+    assert (len(pieces) + len(pieces.older)) * pieces.ENTRY <= 100_000
+    for _ in range(2):
+        assert pieces["long" * 100] == b"long" * 100
+    assert made.count("long" * 100) == 2 and "long" * 100 not in pieces
+    assert pieces["w1"] == b"w1" and pieces["w1"] == b"w1"
+
+
 def brute_counts(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
