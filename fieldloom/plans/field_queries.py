@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import boxes, datasets, evaluation, extraction, fusion, governance, routing, scoring
+from fieldloom.operators import boxes, datasets, evaluation, extraction, fusion, governance, routing, scoring, strategies
 from fieldloom.operators.extraction import Rule
 from fieldloom.plans.tables import table
 from fieldloom.sources import files
@@ -28,6 +28,36 @@ _NAME = "upper(split_part(c_name, '#', 1))"
 _ID = "lpad(CAST(c_custkey AS VARCHAR), 8, '0')"
 
 
+#: Two templates that try the same ways in orders of their own: template_id, field, rank, kind, pattern, part, anchor, width, source, region.
+STRATEGIES = [
+    ("front", "place", 1, "anchor", r":\s*(\w+)", 1, "CIN_PLACE:", 60, None, None),
+    ("front", "place", 2, "first_line", None, None, None, None, None, None),
+    ("back", "place", 1, "first_line", None, None, None, None, None, None),
+    ("back", "place", 2, "anchor", r":\s*(\w+)", 1, "CIN_PLACE:", 60, None, None),
+    ("front", "sex", 1, "pattern", r"Sexe = (\w)", 1, None, None, None, None),
+    ("front", "sex", 2, "known", None, None, None, None, None, None),
+    ("front", "sex", 3, "constant", None, None, None, None, "?", None),
+    ("back", "sex", 1, "known", None, None, None, None, None, None),
+    ("back", "sex", 2, "pattern", r"Sexe = (\w)", 1, None, None, None, None),
+    ("front", "id_number", 1, "pattern", r"\d{8}", 0, None, None, None, None),
+    ("back", "id_number", 1, "pattern", r"\d{8}", 0, None, None, None, "number"),
+    ("front", "last_name", 1, "anchor", None, None, "Nom:", 13, None, None),
+    ("back", "last_name", 1, "pattern", r"Nom: *(.+)", 1, None, None, None, None),
+]
+
+
+def _strategies(doc: DataFrame) -> DataFrame:
+    """Every fifth document has a known sex, every seventh a region read for its number."""
+    given = doc.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 2 == 0, "front").otherwise("back").alias("template_id"),
+        F.array("raw_text").alias("texts"),
+        F.when(F.col("doc_id") % 7 == 0, F.create_map(F.lit("number"), F.concat(F.lit("no 9"), F.lpad(F.col("doc_id").cast("string"), 7, "0")))).alias("regions"),
+        F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("sex"), F.lit("M"))).alias("known"),
+    )
+    return strategies.strategy_fields(given, doc.sparkSession.createDataFrame(STRATEGIES, strategies.STRATEGY))
+
+
 def _item_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice tables rendered from order lines, one text per order."""
     line = F.format_string("P%d  Part no %d  %d  %s  %s", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"), F.col("l_discount").cast("decimal(18,2)").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
@@ -170,6 +200,12 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
         UNION ALL SELECT c_custkey, 'birth_date', {_BIRTH}, 0.76, true, NULL FROM customer
         UNION ALL SELECT c_custkey, 'id_number', {_ID}, 0.86, true, NULL FROM customer
         UNION ALL SELECT c_custkey, 'sex', CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'X' END, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 2 = 0 THEN 0.86 ELSE 0.45 END, c_custkey % 3 <> 0 AND c_custkey % 2 = 0, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 1 THEN 'not_an_option' END FROM customer"""),
+    "strategy_fields": (_table("identity_text", _strategies), [], f"""
+        SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'place' AS field, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'REPUBLIQUE' END AS value, 1 AS rank FROM customer
+        UNION ALL SELECT c_custkey, 'sex', CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 <> 0 THEN 'F' WHEN c_custkey % 5 = 0 THEN 'M' ELSE '?' END WHEN c_custkey % 5 = 0 THEN 'M' WHEN c_custkey % 3 <> 0 THEN 'X' END,
+               CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 <> 0 THEN 1 WHEN c_custkey % 5 = 0 THEN 2 ELSE 3 END WHEN c_custkey % 5 = 0 THEN 1 WHEN c_custkey % 3 <> 0 THEN 2 END FROM customer
+        UNION ALL SELECT c_custkey, 'id_number', CASE WHEN c_custkey % 14 = 7 THEN concat('9', lpad(CAST(c_custkey AS VARCHAR), 7, '0')) ELSE {_ID} END, 1 FROM customer
+        UNION ALL SELECT c_custkey, 'last_name', CASE WHEN c_custkey % 2 = 0 THEN trim(substr({_NAME}, 1, 8)) ELSE {_NAME} END, 1 FROM customer"""),
     "marker_fields": (_table("identity_text", lambda d: extraction.marker_extract(d, "CIN")), [], "SELECT c_custkey AS doc_id, 'place' AS name, c_mktsegment AS value FROM customer"),
     "line_items": (lambda s, d: extraction.line_items(_item_text(s, d)), [], "SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, concat('P', l_partkey, '  Part no ', l_suppkey, '  ', CAST(l_quantity AS BIGINT), '  ', CAST(l_discount AS DECIMAL(18,2)), '  ', CAST(l_extendedprice AS DECIMAL(18,2)))) AS INT) AS line_no, concat('P', l_partkey) AS code, concat('Part no ', l_suppkey) AS designation, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS quantity, CAST(CAST(l_discount AS DECIMAL(18,2)) AS DOUBLE) AS price, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS total FROM lineitem"),
     "classify_family": (_documents(lambda d: routing.classify_family(d, FAMILIES)), [], _family_sql()),
