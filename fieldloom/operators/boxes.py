@@ -5,8 +5,12 @@ Windows are per document, whose boxes one page bounds; labels meet the boxes wit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Scores of a value in the label's row, below or above it, and the loss per pixel.
 ROW, BELOW, LOSS = 12.0, 8.5, 0.02
@@ -34,9 +38,39 @@ def cluster_lines(box: DataFrame) -> DataFrame:
     return rows.withColumn("_new", F.coalesce((step > F.col("tolerance")).cast("int"), F.lit(0))).withColumn("line_no", F.sum("_new").over(order)).drop("_new")
 
 
-def reading_order(box: DataFrame, right_to_left: bool = False) -> DataFrame:
-    """One row per line: doc_id, line_no, text, in the order of reading."""
-    lines = cluster_lines(box).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x1", "idx", "text"))).alias("_words"))
+def running_lines(box: DataFrame) -> DataFrame:
+    """``line_no`` from 0: a box joins a line whose mean height so far it is near, by max(12, 0.75 of the median height), so that a slanted line
+    ends where it has drifted off its own mean.
+
+    Boxes come from the top down. A box that opens a line is below all means before it by more than the tolerance, and so are all boxes after
+    it: only the newest line can grow. So the sorted boxes are walked once, with the sum and number of one line as the state, whatever the number of boxes.
+    Boxes without an extent or a doc_id go; of equal places the least idx, null first, comes first.
+    """
+    page = Window.partitionBy("doc_id")
+    rows = geometry(box).filter("doc_id is not null").withColumn("tolerance", F.greatest(F.lit(LEAST_TOLERANCE), TOLERANCE_SHARE * F.median("h").over(page)))
+    placed = rows.select("doc_id", "cy", "tolerance", F.struct(*(F.col(c) for c in rows.columns)).alias("box"))
+    schema = T.StructType([placed.schema["box"], T.StructField("line_no", T.LongType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line, total, n = None, 0, 0.0, 0
+        for batch in batches:
+            found = []
+            for doc_id, cy, tolerance in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "cy", "tolerance")), strict=True):
+                if doc_id != now:
+                    now, line, total, n = doc_id, 0, 0.0, 0
+                elif cy - total / n > tolerance:
+                    line, total, n = line + 1, 0.0, 0
+                total, n = total + cy, n + 1
+                found.append(line)
+            yield pa.RecordBatch.from_arrays([batch.column("box"), pa.array(found, pa.int64())], ["box", "line_no"])
+
+    ordered = placed.repartition("doc_id").sortWithinPartitions("doc_id", "cy", "box.x1", "box.idx")
+    return ordered.mapInArrow(walk, schema).select("box.*", "line_no")
+
+
+def reading_order(box: DataFrame, right_to_left: bool = False, lines=cluster_lines) -> DataFrame:
+    """One row per line: doc_id, line_no, text, in the order of reading; ``lines`` numbers the lines."""
+    lines = lines(box).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x1", "idx", "text"))).alias("_words"))
     words = F.transform("_words", lambda w: w["text"])
     return lines.select("doc_id", "line_no", F.array_join(F.reverse(words) if right_to_left else words, " ").alias("text"))
 

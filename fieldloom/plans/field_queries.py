@@ -216,6 +216,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], list[str], st
                CASE WHEN user_id = '3' THEN 'explicit' WHEN document_type IN ('invoice', 'passport') THEN 'type' WHEN status = 'success' THEN 'classifier' ELSE 'none' END AS method FROM history"""),
     "needs_second_pass": (_table("field", lambda d: routing.needs_second_pass(d, {"total_amount": 0.9, "invoice_date": 0.8}, 0.6).select("doc_id", "name", "confidence")), ["field"], "SELECT doc_id, name, confidence FROM field WHERE confidence < CASE name WHEN 'total_amount' THEN 0.9 WHEN 'invoice_date' THEN 0.8 ELSE 0.6 END"),
     "reading_order": (_table("box", boxes.reading_order), ["box"], f"{_LINES} SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY x1, idx, text) AS text FROM lines GROUP BY 1, 2"),
+    "running_lines": (_table("box", lambda d: boxes.reading_order(d, lines=boxes.running_lines)), ["box"], """g AS (SELECT doc_id, idx, text, x1, (y1 + y2) / 2 AS cy, y2 - y1 AS h FROM box WHERE x2 > x1 AND y2 > y1),
+        t AS (SELECT *, greatest(12.0, 0.75 * median(h) OVER (PARTITION BY doc_id)) AS tolerance, list(cy) OVER (PARTITION BY doc_id ORDER BY cy, x1, idx, text ROWS UNBOUNDED PRECEDING) AS above FROM g),
+        f AS (SELECT *, list_reduce([{'line': CAST(-1 AS BIGINT), 's': CAST(0 AS DOUBLE), 'n': CAST(1 AS BIGINT), 'c': CAST(0 AS DOUBLE), 'tol': tolerance}] || list_transform(above, lambda y: {'line': CAST(0 AS BIGINT), 's': CAST(0 AS DOUBLE), 'n': CAST(1 AS BIGINT), 'c': CAST(y AS DOUBLE), 'tol': tolerance}),
+                lambda a, b: CASE WHEN a.line < 0 OR b.c - a.s / a.n > a.tol THEN {'line': a.line + 1, 's': b.c, 'n': CAST(1 AS BIGINT), 'c': b.c, 'tol': a.tol} ELSE {'line': a.line, 's': a.s + b.c, 'n': a.n + 1, 'c': b.c, 'tol': a.tol} END).line AS line_no FROM t)
+        SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY x1, idx, text) AS text FROM f GROUP BY 1, 2"""),
     "label_contexts": (_table("box", lambda d: boxes.label_contexts(boxes.reading_order(d), "Nom")), ["box"], f"{_LINES}, r AS (SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY x1, idx, text) AS text FROM lines GROUP BY 1, 2), c AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS before, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM r) SELECT * FROM c WHERE contains(text, 'Nom')"),
     "label_values": (_table("box", lambda d: boxes.label_values(d, "^Nom$")), ["box"], f"""{_LINES}, m AS (SELECT doc_id, idx, x1, x2, cx, cy, h FROM g WHERE text = 'Nom'),
         d AS (SELECT g.doc_id, g.text, g.idx, m.idx AS l_idx, sqrt(pow(g.cx - m.cx, 2) + pow(g.cy - m.cy, 2)) AS far, abs(g.cy - m.cy) <= greatest(m.h, g.h) * 0.6 AND g.x1 >= m.x1 AS beside, g.cy > m.cy AND abs(g.cx - m.cx) <= greatest(m.x2 - m.x1, g.w) AS under FROM g JOIN m ON g.doc_id = m.doc_id WHERE g.text <> 'Nom'),
