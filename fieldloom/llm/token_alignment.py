@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import staged, text_of
-from fieldloom.llm.token_ids import Pieces, TextEncoder, byte_characters, slices
+from fieldloom.llm.token_ids import TextEncoder, byte_characters, slices
 
 #: Code points of a range.
 RANGE = 16_384
@@ -42,25 +42,19 @@ FAN = 16
 LOOKED_UP = 256
 #: Words kept in one Python worker, and the longest of them.
 CACHED, LONGEST = 150_000, 64
+#: Bytes that the other side's pieces take in it: about as many pieces.
+CACHED_BYTES = 44_000_000
 
 _CUT_A, _CUT_B = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])"), re.compile(r"(?<=[^ ])(?= )")
 
 
-class ShortPieces(Pieces):
-    """Long pieces are not kept, so that the bytes held are bounded too."""
-
-    def __missing__(self, piece: str) -> bytes:
-        return super().__missing__(piece) if len(piece) <= LONGEST else self.encode(piece)
-
-
 class SideA(TextEncoder):
     """A byte-level tokenizer in which the strings of special tokens are text."""
 
-    def __init__(self, path: str, cached: int = CACHED):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         super().__init__(path, cached)
         self.tokenizer.encode_special_tokens = True
         self.special = []
-        self.pieces = ShortPieces(self._piece, cached)
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         back = {c: b for b, c in byte_characters().items()}
