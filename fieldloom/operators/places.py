@@ -70,7 +70,8 @@ def matched(run: DataFrame, places: DataFrame, least: int = 5, small: int = BROA
 
     if size <= small:
         return pairs(run, F.broadcast(known))
-    return run.join(pairs(run.select("run").distinct(), known), "run")
+    # Spark's estimates don't see that a place becomes many keys, and would broadcast all by the bytes of the places' table.
+    return run.join(pairs(run.select("run").distinct(), known.hint("merge")).hint("merge"), "run")
 
 
 def place_lookup(doc: DataFrame, places: DataFrame, labels: list[str] | None = None, text: str = "raw_text", least: int = 5, small: int = BROADCAST_BYTES) -> DataFrame:
