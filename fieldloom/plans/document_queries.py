@@ -300,7 +300,7 @@ _ZONE_TEXTS = {
     "birth_date": ("concat(lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'), ' . O3.1', '98', CAST(doc_id % 10 AS {s}))", "concat('198', CAST(doc_id % 10 AS {s}), '-03-', lpad(CAST(1 + doc_id % 28 AS {s}), 2, '0'))", "true"),
     "gender": ("CASE WHEN doc_id % 3 = 0 THEN 'sex: f' ELSE 'x' END", "CASE WHEN doc_id % 3 = 0 THEN 'F' END", "doc_id % 3 = 0"),
     "number": ("concat('[U ', CAST(100000 + doc_id AS {s}), '|')", "concat('EU', CAST(100000 + doc_id AS {s}))", "true"),
-    "id_number": ("concat('no ', CAST(500000 + doc_id AS {s}), CASE WHEN doc_id % 3 = 0 THEN '/' ELSE '' END, 'l2I')", "CASE WHEN doc_id % 3 = 0 THEN concat(CAST(500000 + doc_id AS {s}), '/121') ELSE concat('0', substr(CAST(500000 + doc_id AS {s}), 1, 5), '/', substr(CAST(500000 + doc_id AS {s}), 6, 1), '121') END", "true"),
+    "id_number": ("concat('no ', CASE WHEN doc_id % 3 = 0 THEN concat(CAST(500000 + doc_id AS {s}), '/') ELSE substr(CAST(500000 + doc_id AS {s}), 1, 6) END, 'l2I')", "CASE WHEN doc_id % 3 = 0 THEN concat(CAST(500000 + doc_id AS {s}), '/121') ELSE concat('0', substr(CAST(500000 + doc_id AS {s}), 1, 5), '/', substr(CAST(500000 + doc_id AS {s}), 6, 1), '121') END", "true"),
     "nationality": ("CASE WHEN doc_id % 3 = 0 THEN 'svk ' ELSE 'gtt' END", "CASE WHEN doc_id % 3 = 0 THEN 'SVK' ELSE 'GTT' END", "doc_id % 3 = 0"),
     "surname": ("CASE WHEN doc_id % 3 = 0 THEN 'Novák  Jana' WHEN doc_id % 3 = 1 THEN 'C S E trjeo' ELSE 'SURNAME' END", "CASE WHEN doc_id % 3 = 0 THEN 'Novák Jana' WHEN doc_id % 3 = 1 THEN 'C S E trjeo' END", "doc_id % 3 = 0"),
     "issue_place": ("CASE WHEN doc_id % 3 = 0 THEN 'Bratislava, (II)' ELSE 'Md' END", "CASE WHEN doc_id % 3 = 0 THEN 'Bratislava, (II)' ELSE 'Md' END", "doc_id % 3 = 0"),

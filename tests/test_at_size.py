@@ -1,7 +1,8 @@
 """What shows only on large tables: joins that must not be broadcast, rows that must not meet in one task, ties that the order of rows decided."""
 
+from pyspark.sql import functions as F
 
-from fieldloom.operators import places
+from fieldloom.operators import places, results
 
 
 def test_many_places_are_not_broadcast(spark):
@@ -10,3 +11,9 @@ def test_many_places_are_not_broadcast(spark):
     found = places.matched(run, known, least=4, small=0)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(found.select("doc_id", "place", "edits").collect()) == [(1, "Tunis", 1), (2, "Sfax", 0)]
+
+
+def test_long_numbers_of_zones_are_whole(spark):
+    rows = spark.createDataFrame([("id_number", "no 1000019/l2I", "1000019/121"), ("id_number", "no 500019/l2I", "500019/121"), ("id_number", "055412/121", "055412/121"), ("number", "[U 1000000|", "EU1000000"), ("number", "[U 100000|", "EU100000")], "name string, raw string, want string")
+    for r in rows.select("want", results.zone_value(F.col("name"), F.col("raw"), F.lit(None).cast("string"))["value"].alias("got")).collect():
+        assert r["got"] == r["want"]
