@@ -1,8 +1,9 @@
 """What shows only on large tables: joins that must not be broadcast, rows that must not meet in one task, ties that the order of rows decided."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import places, results
+from fieldloom.operators import places, results, scoring
 
 
 def test_many_places_are_not_broadcast(spark):
@@ -13,6 +14,22 @@ def test_many_places_are_not_broadcast(spark):
     assert sorted(found.select("doc_id", "place", "edits").collect()) == [(1, "Tunis", 1), (2, "Sfax", 0)]
 
 
+def test_rank_is_not_told_by_the_order_of_rows(spark):
+    sure = {"B": [0.1, 0.2, 0.3], "A": [0.3, 0.2, 0.1]}
+    rows = [(1, "name", v, "zone", "first", c) for v, some in sure.items() for c in some]
+    for order in (rows, rows[::-1]):
+        ranked = scoring.rank_candidates(spark.createDataFrame(order, "doc_id long, field string, value string, source string, engine string, avg_conf double").coalesce(1), {"zone": 1.5})
+        assert [r["value"] for r in ranked.orderBy("rank").collect()] == ["A", "B"]
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_merged_row_is_not_told_by_the_order_of_rows(spark, turn):
+    shape = "doc_id long, name string, value string, confidence double, validated boolean"
+    rows = [(1, "tax_id", "", 0.5, False), (1, "tax_id", "", 0.5, True)][::turn]
+    merged = scoring.merge_fields(spark.createDataFrame(rows, shape).coalesce(1), spark.createDataFrame([], shape))
+    assert [r["validated"] for r in merged.collect()] == [True]
+
+
 def test_long_numbers_of_zones_are_whole(spark):
     rows = spark.createDataFrame([("id_number", "no 1000019/l2I", "1000019/121"), ("id_number", "no 500019/l2I", "500019/121"), ("id_number", "055412/121", "055412/121"), ("number", "[U 1000000|", "EU1000000"), ("number", "[U 100000|", "EU100000")], "name string, raw string, want string")
     for r in rows.select("want", results.zone_value(F.col("name"), F.col("raw"), F.lit(None).cast("string"))["value"].alias("got")).collect():
