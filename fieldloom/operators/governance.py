@@ -29,8 +29,12 @@ def delete_history(history: DataFrame, detail: DataFrame, doomed: DataFrame) ->
     """History rows by ``id`` go, and details that name their id or job."""
     gone = history.join(doomed.select("id").distinct(), "id", "left_semi")
     kept = history.join(doomed.select("id").distinct(), "id", "left_anti")
-    by_id = detail.join(gone.select(F.col("id").alias("history_id")), "history_id", "left_anti")
-    return kept, by_id.join(gone.select("job_id"), "job_id", "left_anti")
+    # Rows without a key meet none; the second key deals them over all tasks, where the first alone would send them to one.
+    dealt = lambda c: F.when(F.col(c).isNull(), F.xxhash64(*detail.columns)).otherwise(F.xxhash64(c))
+    by = lambda own, c: gone.select(F.col(own).alias(c), F.xxhash64(own).alias("_dealt"))
+    by_id = detail.withColumn("_dealt", dealt("history_id")).join(by("id", "history_id"), ["history_id", "_dealt"], "left_anti")
+    by_job = by_id.withColumn("_dealt", dealt("job_id")).join(by("job_id", "job_id"), ["job_id", "_dealt"], "left_anti")
+    return kept, by_job.select(*detail.columns)
 
 
 def history_with_detail(history: DataFrame, detail: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import places, results, scoring
+from fieldloom.operators import governance, places, results, scoring
 
 
 def test_many_places_are_not_broadcast(spark):
@@ -14,6 +14,23 @@ def test_many_places_are_not_broadcast(spark):
     assert sorted(found.select("doc_id", "place", "edits").collect()) == [(1, "Tunis", 1), (2, "Sfax", 0)]
 
 
+def test_details_without_a_key_are_dealt(spark):
+    detail = spark.range(2000).select("id", F.when(F.col("id") < 5, F.lit("h1")).alias("history_id"), F.when(F.col("id").between(5, 9), F.lit("j1")).alias("job_id"))
+    history = spark.createDataFrame([("h1", "j1"), ("h2", "j2")], "id string, job_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        _, kept = governance.delete_history(history, detail, spark.createDataFrame([("h1",)], "id string"))
+        assert kept.columns == ["id", "history_id", "job_id"]
+        rows = kept.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert sorted(r["id"] for r in rows) == list(range(10, 2000))
+    assert len({r["task"] for r in rows}) > 1
+
+
 def test_rank_is_not_told_by_the_order_of_rows(spark):
     sure = {"B": [0.1, 0.2, 0.3], "A": [0.3, 0.2, 0.1]}
     rows = [(1, "name", v, "zone", "first", c) for v, some in sure.items() for c in some]
