@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import ascii_digits
+from fieldloom.functions.text import ascii_digits, once
 
 # Month names as they are written in French, English and Arabic.
 MONTHS = {
@@ -35,17 +35,26 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.date_format(F.try_to_timestamp(whole, F.lit("yyyy-MM-dd")), "yyyy-MM-dd"))
 
 
+_DAY_FIRST = r"(?<!\d)(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})(?!\d)"
+_YEAR_FIRST = r"(?<!\d)(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})(?!\d)"
+_NAMED = r"(?<!\d)(\d{1,2})\s+(\p{L}+)\s+(\d{4})(?!\d)"
+
+
 def parse_date_any(c: Column) -> Column:
     """Day, month, year in digits, or year first, or with the month's name; null where it is no date. Arabic digits count."""
-    c = F.lower(ascii_digits(c))
-    part = lambda p, k: F.nullif(F.regexp_extract(c, p, k), F.lit("")).try_cast("int")
-    day_first, year_first, named = r"(?<!\d)(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})(?!\d)", r"(?<!\d)(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})(?!\d)", r"(?<!\d)(\d{1,2})\s+(\p{L}+)\s+(\d{4})(?!\d)"
-    pairs = [x for number, names in MONTHS.items() for name in names for x in (F.lit(name), F.lit(number))]
-    month = F.create_map(*pairs)[F.regexp_extract(c, named, 2)]
+    return once(F.lower(ascii_digits(c)), _parsed)
+
+
+def _parsed(c: Column) -> Column:
+    # Each pattern runs where it fits only, and once for all three parts of its first match. There is no year 0.
+    first = lambda pattern, parts: F.regexp_replace(c, rf"(?s)^.*?{pattern}.*$", parts)
+    day = lambda whole: F.when(~whole.startswith("0000"), whole).try_cast("date").cast("string")
+    pairs = [x for number, names in MONTHS.items() for name in names for x in (F.lit(name), F.lit(str(number)))]
+    month = F.create_map(*pairs)[F.regexp_extract(c, _NAMED, 2)]
     return F.coalesce(
-        _iso(part(day_first, 3), part(day_first, 2), part(day_first, 1)),
-        _iso(part(year_first, 1), part(year_first, 2), part(year_first, 3)),
-        _iso(part(named, 3), month, part(named, 1)),
+        F.when(c.rlike(_DAY_FIRST), once(first(_DAY_FIRST, "$3-$2-$1"), day)),
+        F.when(c.rlike(_YEAR_FIRST), once(first(_YEAR_FIRST, "$1-$2-$3"), day)),
+        F.when(c.rlike(_NAMED), once(F.concat(F.regexp_extract(c, _NAMED, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(c, _NAMED, 1)), day)),
     )
 
 

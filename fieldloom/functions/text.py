@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +20,40 @@ def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def spelt(words: list[str]) -> str:
     """Any of the words as scans spell them: with or without accents, hooks over letters and blanks; the longest first."""
     return "|".join("".join(_SPELT.get(c, re.escape(c)) for c in w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
+#: Stands around matches where a text is cut at them.
+_MARK = "\u0001"
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """A text cut at all matches of a pattern: what stands before the first, the first, what stands between it and the second, and so on. The
+    pattern runs once over the text and is compiled once; only a text that has the mark in it is matched and split by the pattern itself."""
+    cut = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, gap: F.array(gap, m))
+    plainly = F.concat(F.flatten(pairs), F.array(F.element_at(gaps, -1)))
+    return F.when(F.contains(text, F.lit(_MARK)), plainly).otherwise(cut)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Where a pattern stands in a text, from the left: start, end (from 0, end excluded) and text of each match."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(matches, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def add(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+        end = s["at"] + F.length(x)
+        found = F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), end.alias("end"), x.alias("text"))))
+        return F.struct(end.alias("at"), (~s["match"]).alias("match"), F.when(s["match"], found).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(both, start, add, lambda s: s["out"])
+    return F.aggregate(pieces(text, pattern), start, add, lambda s: s["out"])
 
 
 def is_present(c: Column) -> Column:

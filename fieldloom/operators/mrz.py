@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.text import once
+
 # Fixed values of the standard: weights of the check digits, and places (from 1) and lengths in the second line.
 WEIGHTS = [7, 3, 1]
+_DIGITS, _LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PLACES = {"document_number": (1, 9), "birth_date": (14, 6), "expiry_date": (22, 6), "personal_number": (29, 14)}
 
 
 def check_digit(c: Column) -> Column:
     """Sum of character values by weights 7, 3, 1, modulo 10. Digits count themselves, letters 10 to 35, the filler 0."""
-    code = lambda x: F.when(x.rlike("[0-9]"), F.ascii(x) - 48).when(x.rlike("[A-Z]"), F.ascii(x) - 55).otherwise(0)
-    weighted = F.transform(F.split(c, ""), lambda x, i: code(x) * F.get(F.array(*map(F.lit, WEIGHTS)), i % 3))
-    return F.aggregate(weighted, F.lit(0), lambda s, x: s + x) % 10
+    # All modulo 10, so a value is one digit, and so is its product with a weight. Each weight's signs are every third one.
+    values = F.regexp_replace(F.translate(c, _LETTERS, "".join(str(k % 10) for k in range(len(_LETTERS)))), "[^0-9]", "0")
+    third = lambda v, i: F.regexp_replace(F.substring(v, F.lit(i + 1), F.length(v)), "(.).{0,2}", "$1")
+    weighted = lambda v: F.concat(*(F.translate(third(v, i), _DIGITS, "".join(str(k * w % 10) for k in range(10))) for i, w in enumerate(WEIGHTS)))
+    # The sum of digits by their bits: how many have the bit, times its worth.
+    having = lambda d, bit: F.length(F.translate(d, "".join(k for k in _DIGITS if not int(k) >> bit & 1), ""))
+    return once(once(values, weighted), lambda d: having(d, 0) + 2 * having(d, 1) + 4 * having(d, 2) + 8 * having(d, 3)) % 10
 
 
 def mrz_date(c: Column, as_of_year: Column, birth: bool) -> Column:

@@ -262,6 +262,23 @@ def plain(name: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", TABLES[name])
 
 
+#: Rows of a source in one task. Documents made from a few bytes of a row cost thousands of times what it takes to read it, so files must not say
+#: how many tasks there are.
+TASK_ROWS = 16_384
+#: Working tables of documents: their source and its key.
+DOCUMENTS = {t: ("customer", "c_custkey") for t in ("mrz_text", "passport_text", "card_text", "registry_text", "identity_text", "card_box", "dated_text")}
+DOCUMENTS |= {t: ("orders", "o_orderkey") for t in ("invoice_text", "place_text", "header_text")}
+
+
+def dealt(rows: DataFrame, key: str, most: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt by their key over tasks of about ``most`` rows; as they are where one task has them all."""
+    tasks = -(-rows.count() // most)
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sources = set(re.findall(r"\{(\w+)\}", TABLES[name]))
-    return spark.sql(TABLES[name], **{s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in sources})
+    sources = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in set(re.findall(r"\{(\w+)\}", TABLES[name]))}
+    if name in DOCUMENTS:
+        source, key = DOCUMENTS[name]
+        sources[source] = dealt(sources[source], key)
+    return spark.sql(TABLES[name], **sources)

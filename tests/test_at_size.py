@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import governance, places, results, scoring
+from fieldloom.functions import dates, text
+from fieldloom.operators import governance, mrz, places, results, scoring
+from fieldloom.plans import tables
 
 
 def test_many_places_are_not_broadcast(spark):
@@ -31,6 +33,13 @@ def test_details_without_a_key_are_dealt(spark):
     assert len({r["task"] for r in rows}) > 1
 
 
+def test_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(100).coalesce(1)
+    assert tables.dealt(rows, "id", 10).rdd.getNumPartitions() == 10
+    assert tables.dealt(rows, "id", 100).rdd.getNumPartitions() == 1
+    assert sorted(r[0] for r in tables.dealt(rows, "id", 10).collect()) == list(range(100))
+
+
 def test_rank_is_not_told_by_the_order_of_rows(spark):
     sure = {"B": [0.1, 0.2, 0.3], "A": [0.3, 0.2, 0.1]}
     rows = [(1, "name", v, "zone", "first", c) for v, some in sure.items() for c in some]
@@ -51,3 +60,22 @@ def test_long_numbers_of_zones_are_whole(spark):
     rows = spark.createDataFrame([("id_number", "no 1000019/l2I", "1000019/121"), ("id_number", "no 500019/l2I", "500019/121"), ("id_number", "055412/121", "055412/121"), ("number", "[U 1000000|", "EU1000000"), ("number", "[U 100000|", "EU100000")], "name string, raw string, want string")
     for r in rows.select("want", results.zone_value(F.col("name"), F.col("raw"), F.lit(None).cast("string"))["value"].alias("got")).collect():
         assert r["got"] == r["want"]
+
+
+@pytest.mark.parametrize("body", ["", "a12b3", "12", "x\u0001 7 \u0001\u00018", "1 2 3"])
+def test_pieces_and_spans(spark, body):
+    import re
+
+    row = spark.createDataFrame([(body,)], "t string").select(text.pieces(F.col("t"), r"\d+").alias("p"), text.spans(F.col("t"), r"\d+").alias("s")).first()
+    assert row["p"] == re.split(r"(\d+)", body)
+    assert [tuple(s) for s in row["s"]] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"\d+", body)]
+
+
+def test_dates_and_check_digits(spark):
+    want = {"le 7/3/1990 ou 1/1/2000": "1990-03-07", "31/02/1990 2001-2-3": "2001-02-03", "1/1/0000": None, "5 Février 1999": "1999-02-05", "5 foo 1999": None, "1990": None, "": None, "\n٧/٣/١٩٩٠\n": "1990-03-07"}
+    rows = spark.createDataFrame(list(want.items()), "t string, w string").select("t", "w", dates.parse_date_any(F.col("t")).alias("d")).collect()
+    assert [r["d"] for r in rows] == [r["w"] for r in rows]
+    words = ["520727", "L898902C3", "<<<<", "", "ZE184226B<<<<<", "a-é9"]
+    value = lambda x: int(x) if x.isascii() and x.isdigit() else ord(x) - 55 if "A" <= x <= "Z" else 0
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", mrz.check_digit(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in rows] == [sum(value(x) * (7, 3, 1)[i % 3] for i, x in enumerate(r["t"])) % 10 for r in rows]
