@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import CURRENCIES, DATE_SPAN, parse_date_any
-from fieldloom.functions.text import normalize_number, spans, spelt, with_computed
+from fieldloom.functions.text import decimal_point, number_characters, once, pieces, spelt, with_computed
 
 # Words of the labels by field; shape of a tax number; the rounding that totals may differ by.
 LABELS = {
@@ -49,9 +49,9 @@ def _field(label: Column) -> Column:
     return out
 
 
-def _of(name: str, read: Callable[[Column], Column]) -> Column:
-    """Values of a field's labels, in order."""
-    return F.filter(F.transform(F.filter("parts", lambda x: x["name"] == name), lambda x: read(x["rest"])), lambda v: v.isNotNull())
+def _of(name: str, value: Callable[[Column], Column]) -> Column:
+    """Values of a field's parts, in order."""
+    return F.filter(F.transform(F.filter("parts", lambda x: x["name"] == name), value), lambda v: v.isNotNull())
 
 
 def _line(rest: Column) -> Column:
@@ -61,7 +61,7 @@ def _line(rest: Column) -> Column:
 def _amount(rest: Column) -> Column:
     """The last amount of the line: rates stand before it."""
     found = F.regexp_extract_all(F.regexp_extract(rest, r"^[^\n]*", 0), F.lit(r"\d[\d .,]*\d(?!\s*%)|\d(?![\d\s]*%)"), F.lit(0))
-    return normalize_number(F.get(found, F.size(found) - 1)).try_cast("double")
+    return once(once(found, lambda f: number_characters(F.get(f, F.size(f) - 1))), lambda n: decimal_point(n).try_cast("double"))
 
 
 def _dates(rest: Column) -> Column:
@@ -80,31 +80,44 @@ def _combined(a: str, b: str, c: str, make: Callable[[Column, Column, Column], C
 
 def header_parts(doc: DataFrame, text: str = "raw_text") -> DataFrame:
     """doc_id, body, parts: each label's field, and the text up to the next label."""
-    rows = with_computed(doc.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body")), found=spans(F.col("body"), _LABEL))
-
-    def part(x: Column, i: Column) -> Column:
-        until = F.coalesce(F.get("found", i + 1)["start"], F.length("body"))
-        return F.struct(_field(F.trim(x["text"])).alias("name"), F.substring("body", x["end"] + 1, until - x["end"]).alias("rest"))
-
-    return with_computed(rows, parts=F.transform("found", part)).drop("found")
+    rows = with_computed(doc.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body")), cut=pieces(F.col("body"), _LABEL))
+    # Every second piece is a label, and the piece behind it stands up to the next one.
+    part = lambda x, i: F.when(i % 2 == 1, F.struct(once(F.trim(x), _field).alias("name"), F.get("cut", i + 1).alias("rest")))
+    return with_computed(rows, parts=F.filter(F.transform("cut", part), lambda x: x.isNotNull())).drop("cut")
+
+
+def _read(x: Column) -> Column:
+    """A part's field and what its text is read as: dates, an amount, a line, a number's characters, a tax number."""
+    read = lambda names, value: F.when(x["name"].isin(*names), value(x["rest"]))
+    return F.struct(
+        x["name"].alias("name"),
+        read(["invoice_date", "due_date", "period"], _dates).alias("dates"),
+        read(["total_ht", "vat", "total_ttc"], _amount).alias("amount"),
+        read(["supplier", "customer", "currency"], _line).alias("line"),
+        read(["invoice_number"], lambda r: _SOME(F.regexp_extract(r, r"^[\s:.\-]*([A-Z0-9][A-Z0-9/\-]*)", 1))).alias("number"),
+        read(["tax_id"], lambda r: _SOME(F.regexp_replace(F.regexp_extract(r, TAX_ID, 1), r"\s", ""))).alias("tax_id"),
+    )
 
 
 def invoice_header(doc: DataFrame, text: str = "raw_text") -> DataFrame:
     """doc_id, supplier, supplier_tax_id, customer, customer_tax_id, invoice_number, invoice_date, due_date, period_start, period_end, currency,
     total_ht, vat, total_ttc, consistent."""
     rows = header_parts(doc, text)
-    pair = lambda rest: F.when(F.size(_dates(rest)) >= 2, F.struct(F.get(_dates(rest), 0).alias("a"), F.get(_dates(rest), 1).alias("b")))
+    rows = with_computed(rows, read=F.transform("parts", _read)).drop("parts").withColumnRenamed("read", "parts")
+    day = lambda x: F.get(x["dates"], 0)
+    pair = lambda x: F.when(F.size(x["dates"]) >= 2, F.struct(F.get(x["dates"], 0).alias("a"), F.get(x["dates"], 1).alias("b")))
+    amount, line = (lambda x: x["amount"]), (lambda x: x["line"])
     # Of each tax number the party named last before it.
     party = lambda i: F.element_at(F.concat(F.array(F.lit("supplier")), F.filter(F.transform(F.slice("parts", 1, i), lambda x: x["name"]), lambda n: n.isin("supplier", "customer"))), -1)
-    numbers = F.filter(F.transform("parts", lambda x, i: F.when(x["name"] == "tax_id", F.struct(party(i).alias("party"), _SOME(F.regexp_replace(F.regexp_extract(x["rest"], TAX_ID, 1), r"\s", "")).alias("id")))), lambda x: x["id"].isNotNull())
+    numbers = F.filter(F.transform("parts", lambda x, i: F.when(x["name"] == "tax_id", F.struct(party(i).alias("party"), x["tax_id"].alias("id")))), lambda x: x["id"].isNotNull())
     rows = with_computed(
         rows,
-        dates=_indexed(_of("invoice_date", lambda r: F.get(_dates(r), 0)), "string"),
-        dues=_indexed(_of("due_date", lambda r: F.get(_dates(r), 0)), "string"),
+        dates=_indexed(_of("invoice_date", day), "string"),
+        dues=_indexed(_of("due_date", day), "string"),
         periods=_indexed(_of("period", pair), _DATES),
-        nets=_indexed(_of("total_ht", _amount), "double"),
-        taxes=_indexed(_of("vat", _amount), "double"),
-        grosses=_indexed(_of("total_ttc", _amount), "double"),
+        nets=_indexed(_of("total_ht", amount), "double"),
+        taxes=_indexed(_of("vat", amount), "double"),
+        grosses=_indexed(_of("total_ttc", amount), "double"),
         numbers=numbers,
     )
 
@@ -122,17 +135,18 @@ def invoice_header(doc: DataFrame, text: str = "raw_text") -> DataFrame:
     rows = with_computed(rows, t=F.array_min(_combined("dates", "dues", "periods", times)), s=F.array_min(_combined("nets", "taxes", "grosses", totals)))
     tax = lambda who: F.get(F.filter("numbers", lambda x: x["party"] == who), 0)["id"]
     first = lambda name, read: F.get(_of(name, read), 0)
-    currency = _currency(F.coalesce(first("currency", _line), F.regexp_extract("body", rf"(?i)\d\s*({'|'.join(w for words in CURRENCIES.values() for w in words if w.isalpha())}|€|£|\$)(?!\p{{L}})", 1)))
+    word = F.regexp_replace(F.coalesce(first("currency", line), F.regexp_extract("body", rf"(?i)\d\s*({'|'.join(w for words in CURRENCIES.values() for w in words if w.isalpha())}|€|£|\$)(?!\p{{L}})", 1)), r"[^\p{L}$€£]", "")
+    rows = with_computed(rows, word=F.lower(word))
     return rows.select(
-        "doc_id", first("supplier", _line).alias("supplier"), tax("supplier").alias("supplier_tax_id"), first("customer", _line).alias("customer"), tax("customer").alias("customer_tax_id"),
-        first("invoice_number", lambda r: _SOME(F.regexp_extract(r, r"^[\s:.\-]*([A-Z0-9][A-Z0-9/\-]*)", 1))).alias("invoice_number"),
-        F.col("t.day").alias("invoice_date"), F.col("t.due").alias("due_date"), F.col("t.begin").alias("period_start"), F.col("t.end").alias("period_end"), currency.alias("currency"),
+        "doc_id", first("supplier", line).alias("supplier"), tax("supplier").alias("supplier_tax_id"), first("customer", line).alias("customer"), tax("customer").alias("customer_tax_id"),
+        first("invoice_number", lambda x: x["number"]).alias("invoice_number"),
+        F.col("t.day").alias("invoice_date"), F.col("t.due").alias("due_date"), F.col("t.begin").alias("period_start"), F.col("t.end").alias("period_end"), _currency(F.col("word")).alias("currency"),
         F.col("s.net").alias("total_ht"), F.col("s.tax").alias("vat"), F.col("s.gross").alias("total_ttc"), (F.col("s.wrong") == 0).alias("consistent"),
     )
 
 
-def _currency(word: Column) -> Column:
-    low, out = F.lower(F.regexp_replace(word, r"[^\p{L}$€£]", "")), F.lit(None).cast("string")
+def _currency(low: Column) -> Column:
+    out = F.lit(None).cast("string")
     for code, words in reversed(CURRENCIES.items()):
         out = F.when(low.isin(*words), code).otherwise(out)
     return out
