@@ -37,6 +37,8 @@ def breaker_step(mode: str, failures: int, changed: float, at: float, ok: bool,
 
 #: Added to the failures of a breaker that is open when a span begins, while their number is not known.
 _UNKNOWN = 1 << 40
+#: Spans whose functions a task holds before it gives them on.
+AT_ONCE = 10_000
 _SPAN = "key string, span long, modes array<string>, failures array<long>, changes array<double>, calm double"
 
 
@@ -96,6 +98,9 @@ def breaker_table(event: DataFrame, threshold: int = 5, wait: float = 30.0, span
         for (key, number), events in groups(batches, ["ms", "ok"]):
             ends, calm = span_function([(ms / 1000, bool(ok)) for ms, ok in events], threshold, wait, resets)
             found.append((key, number, *map(list, zip(*ends, strict=True)), calm))
+            if len(found) >= AT_ONCE:
+                yield pd.DataFrame(found, columns=["key", "span", "modes", "failures", "changes", "calm"])
+                found = []
         yield pd.DataFrame(found, columns=["key", "span", "modes", "failures", "changes", "calm"])
 
     def begins(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
