@@ -1,7 +1,7 @@
 """Fields read from where texts stand: values inside, beside, below and above their labels, and the fields of a whole card.
 
-Labels and boxes meet on a grid (``boxes.near``), so the work grows with the boxes within reach of labels; bands of rows and columns are
-tested after the join.
+A page of up to ``FEW`` boxes is one row, in which its labels meet its boxes. On longer pages they meet on a grid (``boxes.near``), so the work
+grows with the boxes within reach of labels; bands of rows and columns are tested after the join.
 
 Defined results: boxes without an extent and null or blank texts give nothing; documents without any candidate give no row; candidates equal
 in score to nine places go by how they were found (``HOW``'s order), then by the label's and the box's number, then by the value; repeated
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import parse_date_any
-from fieldloom.functions.text import ascii_digits, with_computed
+from fieldloom.functions.text import ascii_digits, once, with_computed
 from fieldloom.operators import identity
 from fieldloom.operators.boxes import geometry, near
 
@@ -28,6 +28,8 @@ PLACE_LESS = {"around": 1.0, "right": 0.5}
 SURE = {"inline": 0.20, "line": 0.20, "merged": 0.18, "row": 0.18, "beside": 0.15}
 LOSS, IN_ROW, BELOW, ABOVE, RIGHT = 0.02, 0.90, 2.4, 2.0, 0.42
 NUMBER_SCORE, NUMBER_SURE = 20.0, 0.2
+#: Boxes of a page whose labels are compared with each of them.
+FEW = 64
 
 _SEPARATORS = r"^[\s:;,_/|.\-؛،]+|[\s:;,_/|.\-؛،]+$"
 
@@ -65,49 +67,94 @@ def _by_kind(wanted: list[Wanted], of: Callable[[Wanted], Column]) -> Column:
 
 def _boxes(box: DataFrame) -> DataFrame:
     """doc_id and ``b``, of boxes that have an extent and a text."""
-    kept = box.filter(F.trim("text") != "").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-    return geometry(kept).select("doc_id", F.struct("idx", F.trim("text").alias("text"), "confidence", "x1", "x2", "cx", "cy", "h").alias("b"))
+    kept = with_computed(box, shown=F.trim("text")).filter("shown <> ''").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    return geometry(kept).select("doc_id", F.struct("idx", F.col("shown").alias("text"), "confidence", "x1", "x2", "cx", "cy", "h").alias("b"))
+
+
+def _met(page: DataFrame, wanted: list[Wanted], reach: float, by_row: Column) -> DataFrame:
+    """doc_id, kind, a, met: labels and the boxes within their reach, with their distance; of pages of few boxes in their own row, without a
+    shuffle. A row without a label stands for the whole page. Boxes without a doc_id meet none but themselves."""
+    few, none = (F.size("w") <= FEW) & F.col("doc_id").isNotNull(), F.array().cast("array<int>")
+    kinds = lambda b: F.concat(none, *(F.when(b["text"].rlike(w.pattern), F.array(F.lit(i))).otherwise(none) for i, w in enumerate(wanted)))
+    named = lambda b: F.transform(kinds(b), lambda k: F.struct(k.alias("kind"), b.alias("a")))
+    whole = F.transform(F.concat(none, F.array(*(F.lit(i) for i, w in enumerate(wanted) if w.joined)).cast("array<int>")), lambda k: F.struct(k.alias("kind"), F.get("w", F.lit(-1)).alias("a")))
+    told = page.select("doc_id", "w", F.inline(F.concat(F.when(few, F.flatten(F.transform("w", named))).otherwise(F.slice(F.transform("w", lambda b: F.struct(F.lit(0).alias("kind"), b.alias("a"))), 1, 0)), whole)))
+    apart = lambda b: F.sqrt(F.pow(b["cx"] - F.col("a.cx"), 2) + F.pow(b["cy"] - F.col("a.cy"), 2))
+    each = lambda boxes, distance: F.transform(boxes, lambda b: F.struct(b.alias("b"), distance(b).alias("distance")))
+    copies = F.size(F.filter("w", lambda b: _same(F.col("a"), b)))
+    banded = F.filter("w", lambda b: F.abs(b["cy"] - F.col("a.cy")) <= max(IN_ROW, BELOW, ABOVE) * F.greatest(b["h"], F.col("a.h")))
+    near_by = F.filter(each(banded, apart), lambda p: p["distance"] <= reach)
+    met = F.when(F.col("a").isNull(), each("w", lambda _: F.lit(0.0))).when(copies == 1, near_by).otherwise(F.flatten(F.array_repeat(near_by, copies)))
+
+    # The doc_id comes out of the generator, so that no filter of the join goes below the grouping, which both ways share.
+    boxes = page.filter(~few).select(F.inline(F.transform("w", lambda b: F.struct(F.col("doc_id").alias("doc_id"), b.alias("b")))))
+    labels = boxes.select("doc_id", F.col("b").alias("a"), F.explode(kinds(F.col("b"))).alias("kind"))
+    alone = labels.filter("doc_id is null").select("doc_id", "kind", "a", F.array(F.struct(F.col("a").alias("b"), F.lit(0.0).alias("distance"))).alias("met"))
+    pairs, pair = near(labels, boxes, reach), F.struct("b", "distance")
+    joined = pairs.filter(by_row & _around(F.col("a"), F.col("b"))).groupBy("doc_id", "kind", "a").agg(F.collect_list(pair).alias("met"))
+    single = pairs.filter(~by_row).select("doc_id", "kind", "a", F.array(pair).alias("met"))
+    return told.select("doc_id", "kind", "a", met.alias("met")).unionByName(alone).unionByName(joined).unionByName(single)
+
+
+def _same(a: Column, b: Column) -> Column:
+    return a["idx"].eqNullSafe(b["idx"]) & (a == b)
+
+
+def _in_row(a: Column, b: Column) -> Column:
+    return F.abs(b["cy"] - a["cy"]) <= IN_ROW * F.greatest(a["h"], b["h"])
+
+
+def _below(a: Column, b: Column) -> Column:
+    step = b["cy"] - a["cy"]
+    return (step > 0) & (step <= BELOW * F.greatest(a["h"], b["h"]))
+
+
+def _above(a: Column, b: Column) -> Column:
+    step = b["cy"] - a["cy"]
+    return (step < 0) & (-step <= ABOVE * F.greatest(a["h"], b["h"]))
+
+
+def _around(a: Column, b: Column) -> Column:
+    return _same(a, b) | _in_row(a, b) | _below(a, b)
 
 
 def candidates(box: DataFrame, wanted: list[Wanted], reach: float = 400.0, skip: str | None = None) -> DataFrame:
-    """doc_id, name, value, score, how, label_idx, box_idx: every value found for every field; ``skip`` is a pattern of boxes that are no values."""
-    rows = _boxes(box)
-    kinds = F.array_compact(F.array(*(F.when(F.col("b.text").rlike(w.pattern), F.lit(i)) for i, w in enumerate(wanted))))
-    labels = rows.select("doc_id", F.col("b").alias("a"), F.explode(kinds).alias("kind"))
+    """doc_id, name, value, score, how, label_idx, box_idx: every value found for every field; ``skip`` is a pattern of boxes that are no values.
+
+    Boxes are shuffled once, by page. What is told of a label is an array of its row until the values are read: expressions inside arrays are
+    run one by one, where the generated code of all of them is too long to be compiled.
+    """
     by_row = F.col("kind").isin(*[i for i, w in enumerate(wanted) if w.joined])
-    bare = lambda text: _by_kind(wanted, lambda w: w.bare(text))
+    page = _boxes(box).groupBy("doc_id").agg(F.collect_list("b").alias("w"))
+    labels = _met(page, wanted, reach, by_row)
     base = lambda how: HOW[how] - _less(wanted, how)
+    a = F.col("a")
+    found = lambda how, text, score, label, box: F.struct(F.lit(how).alias("how"), text.alias("text"), score.alias("score"), label.alias("label_idx"), box.alias("box_idx"))
+    own = lambda how: found(how, a["text"], base(how) + SURE[how] * a["confidence"], a["idx"], a["idx"])
+
+    def single(p: Column) -> Column:
+        b = p["b"]
+        both = F.when(b["x1"] < a["x1"], F.concat_ws(" ", b["text"], a["text"])).otherwise(F.concat_ws(" ", a["text"], b["text"]))
+        one = lambda how, text: found(how, text, base(how) + SURE[how] * b["confidence"] - LOSS * p["distance"], a["idx"], b["idx"])
+        value = ~b["text"].rlike(skip) if skip else F.lit(True)
+        return F.when(_same(a, b), F.array(own("inline"))).when(_in_row(a, b) & value, F.array(one("row", b["text"]), one("merged", both))).when((_below(a, b) | _above(a, b)) & value, F.array(one("beside", b["text"])))
+
+    def line(pairs: Column) -> Column:
+        placed = F.array_sort(F.transform(pairs, lambda p: F.struct(*(p["b"][c].alias(c) for c in ("cy", "x1", "idx", "text")))))
+        return F.array_join(F.transform(placed, lambda x: x["text"]), " ")
+
+    none, width = F.lit(None).cast("bigint"), F.array_max(F.transform("met", lambda p: p["b"]["x2"]))
+    far = once(width, lambda most: line(F.filter("met", lambda p: (p["b"]["x1"] >= RIGHT * most) | (p["b"]["cx"] >= RIGHT * most))))
+    right = F.array(found("right", far, base("right"), none, none))
+    around = found("around", line(F.filter("met", lambda p: _around(a, p["b"]))), base("around"), a["idx"], a["idx"])
+    singles = F.flatten(F.array_compact(F.transform("met", single)))
+    told = F.when(a.isNull(), right).when(by_row, F.array(own("line"), around)).otherwise(singles)
 
-    how = F.when(by_row, F.lit("line")).otherwise(F.lit("inline"))
-    inside = labels.select("doc_id", "kind", bare(F.col("a.text")).alias("text"), how.alias("how"), (F.when(by_row, base("line")).otherwise(base("inline")) + SURE["inline"] * F.col("a.confidence")).alias("score"), F.col("a.idx").alias("label_idx"), F.col("a.idx").alias("box_idx"))
-
-    pairs = near(labels, rows, reach)
-    tall, step, self_ = F.greatest("a.h", "b.h"), F.col("b.cy") - F.col("a.cy"), F.col("a") == F.col("b")
-    in_row = F.abs(step) <= IN_ROW * tall
-    below, above = (step > 0) & (step <= BELOW * tall), (step < 0) & (-step <= ABOVE * tall)
-    single = pairs.filter(~by_row & ~self_ & (in_row | below | above))
-    if skip:
-        single = single.filter(~F.col("b.text").rlike(skip))
-    both = F.when(F.col("b.x1") < F.col("a.x1"), F.concat_ws(" ", "b.text", "a.text")).otherwise(F.concat_ws(" ", "a.text", "b.text"))
-    points = lambda how: base(how) + SURE[how] * F.col("b.confidence") - LOSS * F.col("distance")
-    one = lambda how, text: F.struct(F.lit(how).alias("how"), text.alias("text"), points(how).alias("score"))
-    options = F.when(in_row, F.array(one("row", F.col("b.text")), one("merged", bare(both)))).otherwise(F.array(one("beside", F.col("b.text"))))
-    beside = single.select("doc_id", "kind", F.col("a.idx").alias("label_idx"), F.col("b.idx").alias("box_idx"), F.explode(options).alias("o")).select("doc_id", "kind", "o.text", "o.how", "o.score", "label_idx", "box_idx")
-
-    ordered = F.array_sort(F.collect_list(F.struct("b.cy", "b.x1", "b.idx", "b.text")))
-    around = pairs.filter(by_row & (self_ | in_row | below)).groupBy("doc_id", "kind", "a").agg(ordered.alias("w"))
-    around = around.select("doc_id", "kind", bare(F.array_join(F.transform("w", lambda x: x["text"]), " ")).alias("text"), F.lit("around").alias("how"), base("around").alias("score"), F.col("a.idx").alias("label_idx"), F.col("a.idx").alias("box_idx"))
-
-    told = inside.unionByName(beside).unionByName(around)
-    if any(w.joined for w in wanted):
-        whole = rows.groupBy("doc_id").agg(F.max("b.x2").alias("width"), F.collect_list("b").alias("w"))
-        right = F.filter("w", lambda x: (x["x1"] >= RIGHT * F.col("width")) | (x["cx"] >= RIGHT * F.col("width")))
-        text = F.array_join(F.transform(F.array_sort(F.transform(right, lambda x: F.struct(x["cy"].alias("cy"), x["x1"].alias("x1"), x["idx"].alias("idx"), x["text"].alias("text")))), lambda x: x["text"]), " ")
-        fallback = whole.select("doc_id", F.explode(F.array(*(F.lit(i) for i, w in enumerate(wanted) if w.joined))).alias("kind"), text.alias("text"), F.lit("right").alias("how"))
-        told = told.unionByName(fallback.withColumns({"score": base("right"), "label_idx": F.lit(None).cast("bigint"), "box_idx": F.lit(None).cast("bigint")}))
-    read = with_computed(told, value=_by_kind(wanted, lambda w: w.read(F.col("text"))))
-    name = _by_kind(wanted, lambda w: F.lit(w.name))
-    return read.filter("value is not null and value <> ''").select("doc_id", name.alias("name"), "value", F.round("score", 9).alias("score"), "how", "label_idx", "box_idx")
+    bare = lambda text: _by_kind(wanted, lambda w: w.bare(text))
+    text = lambda c: F.when(c["how"].isin("row", "beside", "right"), c["text"]).otherwise(bare(c["text"]))
+    value = lambda c: once(text(c), lambda t: _by_kind(wanted, lambda w: w.read(t)))
+    read = F.filter(F.transform(told, lambda c: F.struct(value(c).alias("value"), F.round(c["score"], 9).alias("score"), *(c[x].alias(x) for x in ("how", "label_idx", "box_idx")))), lambda c: c["value"] != "")
+    return labels.select("doc_id", _by_kind(wanted, lambda w: F.lit(w.name)).alias("name"), F.inline(read))
 
 
 def _less(wanted: list[Wanted], how: str) -> Column:

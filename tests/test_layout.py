@@ -50,3 +50,17 @@ def test_a_page_of_many_boxes_takes_linear_time(spark):
     assert found.count() == 2 * n // 1000  # each name as it is and merged with its label
     assert [tuple(r)[1:3] for r in spatial.best_values(found).collect()] == [("name", "Amel")]
     assert time.time() - begun < 60
+
+
+def test_short_and_long_pages_are_read_alike(spark, monkeypatch):
+    """Labels meet boxes in their page's row or on the grid: with copies of labels, null numbers and without a doc_id."""
+    r = random.Random(5)
+    words = ["Nom", "Nom Amel", "Date", "Date 1/2/1990", "Karim", "emis 3/4/1999", "12/03/1999", "x1", " "]
+    rows = [(d, r.choice([i, None]), r.choice(words), r.choice([0.5, None]), x := r.uniform(0, 400.0), y := r.uniform(0, 200.0), x + 30, y + 12, "k") for d in (1, 2, 3, None) for i in range(20)]
+    table = spark.createDataFrame(rows + rows[::3], BOX)
+    found = {}
+    for few in (0, 64):
+        monkeypatch.setattr(spatial, "FEW", few)
+        found[few] = {tuple(x) for x in spatial.candidates(table, [NAME, DAY], 150.0, "^emis").collect()}
+    assert found[0] == found[64] and {x[4] for x in found[0]} == set(spatial.HOW)
+    assert {x[4] for x in found[0] if x[0] is None} <= {"inline", "line", "around", "right"}
