@@ -28,3 +28,19 @@ def test_swaps_equal_names_and_near_readings(spark):
     assert {k[1]: v[0] for k, v in got.items() if k[0] == 5} == {"date_of_birth": "1990-04-03", "cin_number": "12345678", "place_of_birth": "Sfax"}
     assert got[None, family] == ("ZAIDI", 1) and got[None, first] == ("AMEL", 1)
     assert fused(spark, [(1, "other", "x", "text")]) == {}
+
+
+def test_readings_are_shuffled_by_document_once(spark):
+    rows = [(d, f, v, s, "x", c, "s") for d in (1, 2) for f in ("family_name", "first_name", "place_of_birth") for v, s, c in (("Amel", "text", 0.5), ("Amal", "zone", None), ("Karim", "other", 0.25))]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = readings.fuse(spark.createDataFrame(rows, SCHEMA), {"zone": 1.5}, KINDS)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange ") == 2 and "Join" not in plan
+    # The two near readings of a name count together; their confidences are added before they are shared out. The pair read by one kind gains.
+    assert got >= {(d, "place_of_birth", "Amal", 8.5, 1) for d in (1, 2)}
+    assert {r[1:] for r in got if r[1] != "place_of_birth"} == {("family_name", "AMAL", 15.75, 2), ("first_name", "KARIM", 7.25, 1)}
