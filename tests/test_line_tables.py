@@ -1,5 +1,7 @@
 """Rows of tables in texts: known layouts, odd texts, numbers."""
 
+import time
+
 import pytest
 
 from fieldloom.operators import line_tables
@@ -32,3 +34,12 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.code) for r in got if r.doc_id != 5) == [(0, "P1"), (4, "P1"), (4, "P1")]
     assert [r.line_no for r in got if r.doc_id == 5] == list(range(1, 3000))
     assert line_tables.table_items(table.limit(0)).collect() == []
+
+
+def test_a_long_row_takes_linear_time():
+    """Twenty thousand words that look like codes before a row's numbers, then as many numbers that fit nothing."""
+    n = 20_000
+    begun = time.time()
+    assert line_tables.items(HEAD + "P1 Vis\n" + "MOT\n" * n + "3 2 6") == [("P1", "Vis " + "MOT " * (n - 1) + "MOT", 3.0, None, None, 2.0, 6.0)]
+    assert line_tables.items(HEAD + "P1 Vis acier " + "50 1 7 " * n)[0][2:] == (50.0, None, 1.0, 7.0, 50.0)
+    assert time.time() - begun < 5
