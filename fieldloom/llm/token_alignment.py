@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -82,10 +84,11 @@ class SideB:
 
     def _learn(self, words: list[str], known: dict[str, bytes | None]) -> None:
         """Ids of words (without the space before them); none where they don't give the word back."""
+        packed = (lambda ids: array("H", ids).tobytes()) if self.dtype.itemsize == 2 and sys.byteorder == "little" else (lambda ids: np.array(ids, self.dtype).tobytes())
         for word, ids in zip(words, self.model.encode(words, num_threads=1), strict=True):
             ids = ids or self.space
             right = b"".join(map(self.token_bytes.__getitem__, ids)) == b" " + word.encode()
-            known[word] = np.array(ids, self.dtype).tobytes() if right else None
+            known[word] = packed(ids) if right else None
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """Per text, which begins with the space added in front, its packed ids; none where they don't give the text back."""

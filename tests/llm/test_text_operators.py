@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -305,3 +306,30 @@ def test_empty_tables(spark):
 
 def test_cases_are_covered():
     assert {type(r[0]) for r in rows()} == {int, type(None)} and any(len(r[1] or "") > 100_000 for r in rows())
+
+
+def test_new_words_are_told_without_the_pattern(monkeypatch):
+    """Words in ASCII, alone or with a mark, never reach the patterns; their ids are the library's."""
+    path = BYTES
+    code = token_ids.TextEncoder(path)
+    texts = ["Zorblat quixelom, vrandish; a b! x", " lead. Trail? ", "isn't it.. 7th 1,5 a,b ,", "Čeština naïve, straße.", ""]
+    want = [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)] == want
+    seen = []
+    kept = token_ids._WORD
+    monkeypatch.setattr(token_ids, "_WORD", type("Told", (), {"fullmatch": staticmethod(lambda p: seen.append(p) or kept.fullmatch(p))}))
+    token_ids.TextEncoder(path).encode(texts[:1] + ["plain words. only, here"])
+    assert set(seen) <= {",", ".", ";", "!"}
+
+
+def test_pieces_are_counted_by_what_they_take():
+    """A thousand short pieces are kept in 400,000 bytes, and the bound holds for what they really take."""
+    made = []
+    pieces = token_ids.Pieces(lambda p: made.append(p) or p.encode(), 400_000)
+    for _ in range(2):
+        for i in range(1000):
+            assert pieces[f"w{i}"] == f"w{i}".encode()
+    assert len(made) == 1000
+    table = sys.getsizeof(pieces) + sum(sys.getsizeof(x) for k in pieces.items() for x in k)
+    older = sys.getsizeof(pieces.older) + sum(sys.getsizeof(x) for k in pieces.older.items() for x in k)
+    assert table + older <= 400_000
