@@ -333,3 +333,25 @@ def test_pieces_are_counted_by_what_they_take():
     table = sys.getsizeof(pieces) + sum(sys.getsizeof(x) for k in pieces.items() for x in k)
     older = sys.getsizeof(pieces.older) + sum(sys.getsizeof(x) for k in pieces.older.items() for x in k)
     assert table + older <= 400_000
+
+
+def test_distinct_pieces_are_looked_up_once_a_slice():
+    """However often a word comes, beside line breaks, stops and commas too, a slice asks for it once and encodes it once."""
+
+    class Asked(token_ids.Pieces):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    asked, code = [], TextEncoder(BYTES)
+    code.pieces = Asked(code._piece, 1_000_000)
+    texts = ["The vrandish, the naïve.\nThe vrandish quixelom, 3.5 of it.", "quixelom the.\nthe, vrandish"] * 40
+    found = code.encode(texts)
+    assert [np.frombuffer(x, code.dtype).tolist() for x in found] == [ids_of(t) for t in texts]
+    assert len(asked) == len(set(asked)) and {" vrandish", " the", "the", ",", ".", "\n"} <= set(asked)
+
+
+@pytest.mark.parametrize("text", ["a.\n\nb, c", "a.\n b", "a.\r\nb", "a .b ,c", "a...b,,c.", "3.14,15 ²,½.x", "a\n\tb", "a\x85\nb", "\n", ",.\n", "'s,'ll.\n'", "ª,µ.\nŉ", "да.\nнет,", "a\u3000\nb", "\n\u2028b"])
+def test_cuts_at_breaks_and_marks_are_the_librarys(text):
+    for code in (TextEncoder(BYTES), SMALL):
+        assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode([text, "", text])] == [ids_of(text), [], ids_of(text)]
