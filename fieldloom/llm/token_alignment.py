@@ -34,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import staged, text_of
-from fieldloom.llm.token_ids import TextEncoder, byte_characters, slices
+from fieldloom.llm.token_ids import TextEncoder, byte_characters, joined, slices
 
 #: Code points of a range.
 RANGE = 16_384
 #: Fragments that one step of the tree joins.
 FAN = 16
-#: Documents whose links are looked up at once.
+#: Documents that are encoded, or whose links are looked up, at once.
 LOOKED_UP = 256
 #: Words kept in one Python worker, and the longest of them.
 CACHED, LONGEST = 150_000, 64
+#: New words that are encoded at once.
+LEARNT = 256
 #: Bytes that the other side's pieces take in it: about as many pieces.
 CACHED_BYTES = 44_000_000
 
@@ -90,22 +92,36 @@ class SideB:
             right = b"".join(map(self.token_bytes.__getitem__, ids)) == b" " + word.encode()
             known[word] = packed(ids) if right else None
 
-    def encode(self, texts: list[str]) -> list[bytes | None]:
-        """Per text, which begins with the space added in front, its packed ids; none where they don't give the text back."""
+    def _found(self, distinct: list[str]) -> list[bytes | None]:
+        """Packed ids of distinct words; none where they don't give the word back."""
         if len(self.words) > self.cached // 2:
             self.older, self.words = self.words, {}
-        split = [text.split(" ")[1:] if "  " not in text else [unit[1:] for unit in _CUT_B.split(text)] for text in texts]
-        words, older, long = self.words, self.older, {}
-        new = dict.fromkeys(w for units in split for w in units if w not in words)
-        for w in [w for w in new if w in older]:
-            words[w] = older[w]
-            del new[w]
-        self._learn([w for w in new if len(w) <= LONGEST], words)
-        self._learn([w for w in new if len(w) > LONGEST], long)
+        words, older, long, new = self.words, self.older, {}, []
+        for w in distinct:
+            if w not in words:
+                if w in older:
+                    words[w] = older[w]
+                elif len(w) <= LONGEST:
+                    new.append(w)
+                else:
+                    self._learn([w], long)
+        for at in range(0, len(new), LEARNT):
+            self._learn(new[at : at + LEARNT], words)
+        return [words[w] if w in words else long[w] for w in distinct]
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Per text, which begins with the space added in front, its packed ids; none where they don't give the text back."""
+        plain = iter(joined([text[1:] for text in texts if "  " not in text], " ", self._found, self.dtype))
         found = []
-        for units in split:
-            parts = [words[w] if w in words else long[w] for w in units]
-            found.append(None if None in parts else b"".join(parts))
+        for text in texts:
+            if "  " in text:
+                units = [unit[1:] for unit in _CUT_B.split(text)]
+                known = dict.fromkeys(units)
+                known = dict(zip(known, self._found(list(known)), strict=True))
+                parts = [known[w] for w in units]
+                found.append(None if None in parts else b"".join(parts))
+            else:
+                found.append(next(plain))
         return found
 
 
@@ -140,17 +156,19 @@ class Aligner:
         """Groups of ids, where the cuts mark each group's last ones."""
         marks = [np.zeros(len(ids), np.int64) for ids in (a, b)]
         marks[0][cut_a], marks[1][cut_b] = 1, 2
-        sizes = [np.diff(cuts, prepend=-1) for cuts in (cut_a, cut_b)]
-        groups = np.arange(len(cut_a))
-        order = np.argsort(np.concatenate([np.repeat(2 * groups, sizes[0]), np.repeat(2 * groups + 1, sizes[1])]), kind="stable")
-        shown = np.concatenate([a + marks[0] * self.most, b + marks[1] * self.most])[order]
+        sizes = [cuts - np.concatenate(([-1], cuts[:-1])) for cuts in (cut_a, cut_b)]
+        # A group's tokens of A stand behind those of B in the groups before, its tokens of B behind those of A up to it.
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[np.arange(len(a)) + np.repeat(cut_b + 1 - sizes[1], sizes[0])] = a + marks[0] * self.most
+        shown[np.arange(len(b)) + np.repeat(cut_a + 1, sizes[1])] = b + marks[1] * self.most
         return "".join(self.decimal[shown].tolist())[:-1]
 
     def fragment(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> Fragment:
-        at_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
+        places = np.searchsorted(ends_b, ends_a)
+        at_a = np.flatnonzero(ends_b[np.minimum(places, len(ends_b) - 1)] == ends_a) if len(ends_b) else ()
         if not len(at_a):
             return Fragment((a, b, ends_a, ends_b))
-        at_b = np.searchsorted(ends_b, ends_a[at_a])
+        at_b = places[at_a]
         (i, j), (k, m) = (at_a[0] + 1, at_b[0] + 1), (at_a[-1] + 1, at_b[-1] + 1)
         out = Fragment((a[:i], b[:j], ends_a[:i], ends_b[:j]), (a[k:], b[m:], ends_a[k:], ends_b[m:]), True, end=int(ends_a[at_a[-1]]))
         if len(at_a) > 1:
@@ -254,7 +272,7 @@ def split_texts(docs: DataFrame, path_a: str, path_b: str, size: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, row = aligner(path_a, path_b), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (whole.slice(at, LOOKED_UP) for whole in batches for at in range(0, whole.num_rows, LOOKED_UP)):
             doc_ids, at = batch.column(0).to_pylist(), 0
             for some in slices(batch.column(1).to_pylist()):
                 rows, short = [], []
@@ -287,16 +305,18 @@ def encode_ranges(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(path_a, path_b)
         for batch in batches:
-            for i in range(batch.num_rows):
-                r, rows = batch.slice(i, 1).to_pylist()[0], []
-                text_b = r["text_a"] if r["text_b"] is None else r["text_b"]
-                (a,), (b,) = tool.tokens([r["text_a"]], "a")[0], tool.tokens([text_b], "b")[0] if text_b else (np.zeros(0, tool.b.dtype),)
-                ok = a is not None and b is not None
-                piece = tool.of_text(a, b, r["at_a"], r["at_b"]) if ok else Fragment(*[(np.zeros(0, np.int64),) * 4] * 2)
-                same = {"row": r["row"], "doc_id": r["doc_id"], "ok": ok, "sha": None}
-                if piece.n:
-                    rows.append(same | _NO_EDGE | {"at": piece.end, "n_a": 0, "n_b": 0, "n_groups": piece.n, "groups": ";".join(piece.groups), "links": _packed(piece.links)})
-                rows.append(same | _edge(piece) | {"at": -1, "n_a": len(a) if ok else 0, "n_b": len(b) if ok else 0, "n_groups": 0, "groups": None, "links": None, "k": r["k"]})
+            for i in range(0, batch.num_rows, FAN):
+                held, rows = batch.slice(i, FAN).to_pylist(), []
+                texts_b = [r["text_a"] if r["text_b"] is None else r["text_b"] for r in held]
+                one, two = tool.tokens([r["text_a"] for r in held], "a"), iter(tool.tokens([t for t in texts_b if t], "b"))
+                for r, (a,), text_b in zip(held, one, texts_b, strict=True):
+                    (b,) = next(two) if text_b else (np.zeros(0, tool.b.dtype),)
+                    ok = a is not None and b is not None
+                    piece = tool.of_text(a, b, r["at_a"], r["at_b"]) if ok else Fragment(*[(np.zeros(0, np.int64),) * 4] * 2)
+                    same = {"row": r["row"], "doc_id": r["doc_id"], "ok": ok, "sha": None}
+                    if piece.n:
+                        rows.append(same | _NO_EDGE | {"at": piece.end, "n_a": 0, "n_b": 0, "n_groups": piece.n, "groups": ";".join(piece.groups), "links": _packed(piece.links)})
+                    rows.append(same | _edge(piece) | {"at": -1, "n_a": len(a) if ok else 0, "n_b": len(b) if ok else 0, "n_groups": 0, "groups": None, "links": None, "k": r["k"]})
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return found.mapInArrow(run, f"{PARTS}, {_EDGE}, k int")

@@ -120,3 +120,19 @@ def test_linked_tokens_end_alike():
             one, two = TOOL.a.token_bytes[a], TOOL.b.token_bytes[b]
             assert one.endswith(two) or two.endswith(one)
     assert TOOL.most_pairs() < 1_000_000
+
+
+def test_distinct_words_are_encoded_and_looked_up_once():
+    """A slice asks B's side for each distinct word once, however often it comes; texts with a word that isn't given back have none."""
+
+    class Asked(token_alignment.SideB):
+        def _found(self, distinct):
+            asked.extend(distinct)
+            return super()._found(distinct)
+
+    asked, side = [], Asked(PATH_B)
+    texts = [" the vrandish quixelom, the end.", " quixelom the", " ▁x the"] * 40
+    found = side.encode(texts)
+    assert len(asked) == len(set(asked)) and "the" in asked
+    assert [np.frombuffer(x, side.dtype).tolist() for x in found[:2]] == [B.encode(t[1:]) for t in texts[:2]]
+    assert found == found[:3] * 40 and found[2] is None
