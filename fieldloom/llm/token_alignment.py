@@ -111,7 +111,7 @@ class SideB:
 
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """Per text, which begins with the space added in front, its packed ids; none where they don't give the text back."""
-        plain = iter(joined([text[1:] for text in texts if "  " not in text], " ", self._found, self.dtype))
+        plain = iter(joined([text[1:] for text in texts if "  " not in text], " ", self._found))
         found = []
         for text in texts:
             if "  " in text:

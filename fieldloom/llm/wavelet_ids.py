@@ -35,9 +35,23 @@ MAGIC = b"WMX2"
 BLOCK = 1 << 17
 #: Blocks that an open image keeps inflated.
 HELD_BLOCKS = 64
+#: Ids that are dealt to the zeros and ones of a plane at once: their places stay in the processor's cache.
+DEALT = 1 << 16
 SHARD_TOKENS = 1 << 20
 
 
+def dealt(one: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice]]:
+    """Runs of a plane, each twice: the run, the places in it of one kind of bit, and where the next plane has those, ``zeros`` zeros before
+    all ones. Places cost the same however the bits mix; a mask takes several times as long where zeros and ones alternate."""
+    ends = [0, zeros]
+    for at in range(0, len(one), DEALT):
+        run = slice(at, at + DEALT)
+        for kind, bits in enumerate((~one[run], one[run])):
+            places = np.flatnonzero(bits)
+            begin, ends[kind] = ends[kind], ends[kind] + len(places)
+            yield run, places, slice(begin, ends[kind])
+
+
 class WaveletMatrix:
     """Bit-planes of a sequence of ids, from the highest bit down. In each next plane, the ids whose bit is 0 come before the
     others, both in their order before. ``ones`` has the count of ones ahead of each block of ``BLOCK`` bits."""
@@ -65,7 +79,11 @@ class WaveletMatrix:
         for bit in range(width - 1, -1, -1):
             one = (left & left.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            left = np.concatenate((left[~one], left[one]))
+            if bit:
+                parted = np.empty_like(left)
+                for run, places, there in dealt(one, len(one) - int(np.count_nonzero(one))):
+                    parted[there] = left[run].take(places)
+                left = parted
         return cls(len(ids), planes)
 
     def _rank1(self, level: int, i: int) -> int:
@@ -138,7 +156,8 @@ class WaveletMatrix:
             zeros = self.zeros[level]
             held[zeros:] |= kind.type(1 << bit)
             back = np.empty_like(held)
-            back[~one], back[one] = held[:zeros], held[zeros:]
+            for run, places, there in dealt(one, zeros):
+                back[run][places] = held[there]
             held = back
         return held
 

@@ -355,3 +355,43 @@ def test_distinct_pieces_are_looked_up_once_a_slice():
 def test_cuts_at_breaks_and_marks_are_the_librarys(text):
     for code in (TextEncoder(BYTES), SMALL):
         assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode([text, "", text])] == [ids_of(text), [], ids_of(text)]
+
+
+def test_new_words_with_marks_are_told_without_the_pattern(monkeypatch):
+    """Words with marks or digits behind them are encoded with the other new words; their ids are the library's."""
+    texts = ["Zorblat$$$ quixelom*** vrandish%%% naïve&&& TROBE!!", "the9 straße12_ a-- ŉx] b~9!", "Été#1 (no)"]
+    want, seen = [ids_of(t) for t in texts], []
+    for name in ("_PLAIN", "_WORD"):
+        kept = getattr(token_ids, name)
+        monkeypatch.setattr(token_ids, name, type("Told", (), {"fullmatch": staticmethod(lambda p, kept=kept: seen.append(p) or kept.fullmatch(p))}))
+    code = TextEncoder(BYTES)
+    assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)] == want
+    assert set(seen) <= {" (no)", " (", "no", ")"}
+
+
+@pytest.mark.parametrize("text", ["it's$$ d'a1 'tis' l'été***", "a$'s b1'll", "$$$ 12 _a _", "ªb$ µ1 ºº##", "Ǆx$$ да$$ 字!!", "a$ b$\n$c$\nd,$e.$", "x\u0301$$ y²$", "Ÿž9.5 ſ$,9"])
+def test_marks_behind_words_are_the_librarys(text):
+    for code in (TextEncoder(BYTES), SMALL):
+        assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode([text, text + " " + text])] == [ids_of(text), ids_of(text + " " + text)]
+
+
+def test_words_are_encoded_once_a_slice_however_little_is_kept():
+    told, code = [], TextEncoder(BYTES, cached=8)
+    kept = code.tokenize
+    code.tokenize = lambda run: told.append(run) or kept(run)
+    texts = ["".join(f" zorb{a}{b}" for b in "abcdefghijklmnopqrst") for a in "abcdefghijklmnopqrstuvwxyzàéîöū"] * 2
+    assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)] == [ids_of(t) for t in texts]
+    assert len(told) == len(set(told)) == 620
+
+
+def test_planes_are_dealt_in_runs(monkeypatch):
+    """Runs shorter than the plane, with a short one at the end, give the planes and the ids that masks give."""
+    monkeypatch.setattr(wavelet_ids, "DEALT", 1 << 6)
+    for n in (0, 1, 63, 64, 65, 1000):
+        ids = np.random.default_rng(n).integers(0, 700, n).astype("<u2")
+        built, left = wavelet_ids.WaveletMatrix.build(ids, 10), ids
+        for level in range(10):
+            one = (left >> (9 - level) & 1).astype(bool)
+            assert built.planes[level].tolist() == np.packbits(one, bitorder="little").tolist()
+            left = np.concatenate((left[~one], left[one]))
+        assert wavelet_ids.StoredMatrix(built.pack()).all().tolist() == ids.tolist()
