@@ -1,11 +1,12 @@
 """What shows only on large tables: joins that must not be broadcast, rows that must not meet in one task, ties that the order of rows decided."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import dates, text
 from fieldloom.operators import governance, mrz, places, results, scoring
-from fieldloom.plans import tables
+from fieldloom.plans import catalogue, tables
 
 
 def test_many_places_are_not_broadcast(spark):
@@ -71,3 +72,19 @@ def test_dates_and_check_digits(spark):
     value = lambda x: int(x) if x.isascii() and x.isdigit() else ord(x) - 55 if "A" <= x <= "Z" else 0
     rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", mrz.check_digit(F.col("t")).alias("c")).collect()
     assert [r["c"] for r in rows] == [sum(value(x) * (7, 3, 1)[i % 3] for i, x in enumerate(r["t"])) % 10 for r in rows]
+
+
+def test_confidences_are_summed_in_the_order_of_rows(spark):
+    """However rows are spread over tasks, equal scores rank as where one task has them all, and as in SQL."""
+    shape = "doc_id long, field string, value string, source string, engine string, avg_conf double"
+    rows = [(1, "name", v, "full", "first", c) for v, cs in (("A", (0.3, 0.2, 0.1)), ("B", (0.1, 0.2, 0.3))) for c in cs]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE lineitem AS SELECT * FROM (VALUES (1, 1, 3, 30, 'A'), (1, 1, 3, 20, 'A'), (1, 1, 3, 10, 'A'), (1, 1, 3, 10, 'B'), (1, 1, 3, 20, 'B'), (1, 1, 3, 30, 'B')) AS t(l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag)")
+    duck.execute("ALTER TABLE lineitem ADD COLUMN l_linestatus VARCHAR DEFAULT ''")
+    duck.execute("SET threads = 1")
+    want = [r[0] for r in duck.execute(f"SELECT value FROM ({catalogue.oracle_sql()['rank_candidates']}) ORDER BY rank").fetchall()]
+    spread = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), shape)
+    for candidate in (spread, spark.createDataFrame(rows, shape).coalesce(1), spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), shape), spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), shape)):
+        ranked = scoring.rank_candidates(candidate, catalogue.SOURCE_BONUS)
+        assert [r.value for r in ranked.orderBy("rank").collect()] == want == ["B", "A"]
+        assert [r.value for r in scoring.resolve_fields(ranked).collect()] == ["B"]
