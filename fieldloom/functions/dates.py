@@ -40,21 +40,25 @@ _YEAR_FIRST = r"(?<!\d)(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})(?!\d)"
 _NAMED = r"(?<!\d)(\d{1,2})\s+(\p{L}+)\s+(\d{4})(?!\d)"
 
 
+def existing_day(whole: Column) -> Column:
+    """Year, month and day joined by hyphens as a date's text; null where there is no such day. There is no year 0."""
+    return F.when(~whole.startswith("0000"), whole).try_cast("date").cast("string")
+
+
 def parse_date_any(c: Column) -> Column:
     """Day, month, year in digits, or year first, or with the month's name; null where it is no date. Arabic digits count."""
     return once(F.lower(ascii_digits(c)), _parsed)
 
 
 def _parsed(c: Column) -> Column:
-    # Each pattern runs where it fits only, and once for all three parts of its first match. There is no year 0.
+    # Each pattern runs where it fits only, and once for all three parts of its first match.
     first = lambda pattern, parts: F.regexp_replace(c, rf"(?s)^.*?{pattern}.*$", parts)
-    day = lambda whole: F.when(~whole.startswith("0000"), whole).try_cast("date").cast("string")
     pairs = [x for number, names in MONTHS.items() for name in names for x in (F.lit(name), F.lit(str(number)))]
     month = F.create_map(*pairs)[F.regexp_extract(c, _NAMED, 2)]
     return F.coalesce(
-        F.when(c.rlike(_DAY_FIRST), once(first(_DAY_FIRST, "$3-$2-$1"), day)),
-        F.when(c.rlike(_YEAR_FIRST), once(first(_YEAR_FIRST, "$1-$2-$3"), day)),
-        F.when(c.rlike(_NAMED), once(F.concat(F.regexp_extract(c, _NAMED, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(c, _NAMED, 1)), day)),
+        F.when(c.rlike(_DAY_FIRST), once(first(_DAY_FIRST, "$3-$2-$1"), existing_day)),
+        F.when(c.rlike(_YEAR_FIRST), once(first(_YEAR_FIRST, "$1-$2-$3"), existing_day)),
+        F.when(c.rlike(_NAMED), once(F.concat(F.regexp_extract(c, _NAMED, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(c, _NAMED, 1)), existing_day)),
     )
 
 

@@ -30,6 +30,23 @@ def spelt(words: list[str]) -> str:
     return "|".join("".join(_SPELT.get(c, re.escape(c)) for c in w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
+def spelt_tree(words: list[str]) -> str:
+    """As ``spelt``, where what words have in common at their begin is tried once."""
+    return _branches([[_SPELT.get(c, re.escape(c)) for c in w] for w in sorted(words, key=lambda w: (-len(w), w))])
+
+
+def _branches(words: list[list[str]]) -> str:
+    """The words by their first parts; the word that ends here comes last, as the shortest."""
+    by_first: dict[str, list[list[str]]] = {}
+    for w in words:
+        if w:
+            by_first.setdefault(w[0], []).append(w[1:])
+    branches = [first + (_branches(rest) if any(rest) else "") for first, rest in by_first.items()]
+    if any(not w for w in words):
+        branches.append("")
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
 #: Stands around matches where a text is cut at them.
 _MARK = "\u0001"
 

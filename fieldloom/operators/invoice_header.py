@@ -11,13 +11,14 @@ repeated and null doc_ids keep their own rows. A text's labels of dates and tota
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.dates import CURRENCIES, DATE_SPAN, parse_date_any
-from fieldloom.functions.text import decimal_point, number_characters, once, pieces, spelt, with_computed
+from fieldloom.functions.dates import CURRENCIES, DATE_SPAN, existing_day, parse_date_any
+from fieldloom.functions.text import decimal_point, number_characters, once, pieces, spelt_tree, with_computed
 
 # Words of the labels by field; shape of a tax number; the rounding that totals may differ by.
 LABELS = {
@@ -35,18 +36,22 @@ LABELS = {
 }
 TAX_ID, ROUNDING = r"(?<![\w])(\d{7}\s*/?\s*[A-Z](?:\s*/\s*[A-Z]){0,2}(?:\s*/\s*\d{3})?)(?![\w])", 0.01
 
-_WORDS = spelt([w for words in LABELS.values() for w in words])
+_WORDS = spelt_tree([w for words in LABELS.values() for w in words])
 #: At the begin of a line, or before a mark; so a label's word inside a value is none.
-_LABEL = rf"(?imU)^[ \t]*(?:{_WORDS})(?!\p{{L}})|(?<!\p{{L}})(?:{_WORDS})(?=\s*[:°])"
+_LABEL = rf"(?imU)^[ \t]*{_WORDS}(?!\p{{L}})|(?<!\p{{L}})(?=\p{{L}}){_WORDS}(?=\s*[:°])"
+#: Letters as labels are compared, with what else a pattern takes for them in any case; blanks go.
+_ODD = {"é": "e", "è": "e", "ê": "e", "à": "a", "â": "a", "É": "e", "È": "e", "Ê": "e", "À": "a", "Â": "a", "’": "'", "°": "o", "İ": "i", "ı": "i", "ſ": "s"}
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_FROM, _TO = "".join(_ODD) + string.ascii_uppercase + _BLANKS, "".join(_ODD.values()) + string.ascii_lowercase
+_PLAIN = str.maketrans(_FROM[: len(_TO)], _TO, _BLANKS)
+_FIELD_OF = {w.translate(_PLAIN): name for name, words in reversed(LABELS.items()) for w in words}
 _SOME = lambda c: F.nullif(F.trim(c), F.lit(""))
 _DATES = "struct<a:string,b:string>"
 
 
 def _field(label: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, words in reversed(LABELS.items()):
-        out = F.when(label.rlike(rf"(?iU)^(?:{spelt(words)})$"), name).otherwise(out)
-    return out
+    """The field that a label names, however it is spelt."""
+    return F.create_map(*[F.lit(x) for pair in _FIELD_OF.items() for x in pair])[F.translate(label, _FROM, _TO)]
 
 
 def _of(name: str, value: Callable[[Column], Column]) -> Column:
@@ -65,7 +70,8 @@ def _amount(rest: Column) -> Column:
 
 
 def _dates(rest: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(rest, F.lit(DATE_SPAN), F.lit(0)), parse_date_any), lambda d: d.isNotNull())
+    found = F.regexp_extract_all(rest, F.lit(rf"(?=\d){DATE_SPAN}"), F.lit(0))
+    return F.filter(F.transform(found, lambda d: F.when(d.rlike(r"^\d\d/\d\d/\d{4}$"), once(F.concat(F.substring(d, 7, 4), F.lit("-"), F.substring(d, 4, 2), F.lit("-"), F.substring(d, 1, 2)), existing_day)).otherwise(parse_date_any(d))), lambda d: d.isNotNull())
 
 
 def _indexed(values: Column, kind: str) -> Column:
@@ -82,7 +88,7 @@ def header_parts(doc: DataFrame, text: str = "raw_text") -> DataFrame:
     """doc_id, body, parts: each label's field, and the text up to the next label."""
     rows = with_computed(doc.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body")), cut=pieces(F.col("body"), _LABEL))
     # Every second piece is a label, and the piece behind it stands up to the next one.
-    part = lambda x, i: F.when(i % 2 == 1, F.struct(once(F.trim(x), _field).alias("name"), F.get("cut", i + 1).alias("rest")))
+    part = lambda x, i: F.when(i % 2 == 1, F.struct(_field(x).alias("name"), F.get("cut", i + 1).alias("rest")))
     return with_computed(rows, parts=F.filter(F.transform("cut", part), lambda x: x.isNotNull())).drop("cut")
 
 
@@ -132,7 +138,11 @@ def invoice_header(doc: DataFrame, text: str = "raw_text") -> DataFrame:
         here = lambda c: F.when(c.isNotNull(), -1).otherwise(0)
         return F.struct(F.when(right, 0).otherwise(1).alias("wrong"), (here(n["v"]) + here(t["v"]) + here(g["v"])).alias("few"), (n["i"] + t["i"] + g["i"]).alias("i"), n["v"].alias("net"), t["v"].alias("tax"), g["v"].alias("gross"))
 
-    rows = with_computed(rows, t=F.array_min(_combined("dates", "dues", "periods", times)), s=F.array_min(_combined("nets", "taxes", "grosses", totals)))
+    # The first values have the least places and none is missing that is there: where they are consistent, no combination comes before them.
+    first_of = lambda make, *lists: make(*[F.get(c, 0) for c in lists])
+    rows = with_computed(rows, t=first_of(times, "dates", "dues", "periods"), s=first_of(totals, "nets", "taxes", "grosses"))
+    searched = lambda first, make, *lists: F.when(first["wrong"] == 0, first).otherwise(F.array_min(_combined(*lists, make)))
+    rows = with_computed(rows, best_t=searched(F.col("t"), times, "dates", "dues", "periods"), best_s=searched(F.col("s"), totals, "nets", "taxes", "grosses")).drop("t", "s").withColumnsRenamed({"best_t": "t", "best_s": "s"})
     tax = lambda who: F.get(F.filter("numbers", lambda x: x["party"] == who), 0)["id"]
     first = lambda name, read: F.get(_of(name, read), 0)
     word = F.regexp_replace(F.coalesce(first("currency", line), F.regexp_extract("body", rf"(?i)\d\s*({'|'.join(w for words in CURRENCIES.values() for w in words if w.isalpha())}|€|£|\$)(?!\p{{L}})", 1)), r"[^\p{L}$€£]", "")
