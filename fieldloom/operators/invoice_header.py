@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.dates import CURRENCIES, DATE_SPAN, existing_day, parse_date_any
+from fieldloom.functions.dates import CURRENCIES, DATE_SPAN, parse_date_any
 from fieldloom.functions.text import decimal_point, number_characters, once, pieces, spelt_tree, with_computed
 
 # Words of the labels by field; shape of a tax number; the rounding that totals may differ by.
@@ -66,12 +66,18 @@ def _line(rest: Column) -> Column:
 def _amount(rest: Column) -> Column:
     """The last amount of the line: rates stand before it."""
     found = F.regexp_extract_all(F.regexp_extract(rest, r"^[^\n]*", 0), F.lit(r"\d[\d .,]*\d(?!\s*%)|\d(?![\d\s]*%)"), F.lit(0))
-    return once(once(found, lambda f: number_characters(F.get(f, F.size(f) - 1))), lambda n: decimal_point(n).try_cast("double"))
+    return once(number_characters(F.try_element_at(found, F.lit(-1))), lambda n: decimal_point(n).try_cast("double"))
 
 
 def _dates(rest: Column) -> Column:
     found = F.regexp_extract_all(rest, F.lit(rf"(?=\d){DATE_SPAN}"), F.lit(0))
-    return F.filter(F.transform(found, lambda d: F.when(d.rlike(r"^\d\d/\d\d/\d{4}$"), once(F.concat(F.substring(d, 7, 4), F.lit("-"), F.substring(d, 4, 2), F.lit("-"), F.substring(d, 1, 2)), existing_day)).otherwise(parse_date_any(d))), lambda d: d.isNotNull())
+    return F.filter(F.transform(found, _day), lambda d: d.isNotNull())
+
+
+def _day(d: Column) -> Column:
+    """As ``parse_date_any``, which dates as they mostly stand don't need."""
+    whole = F.concat(F.substring(d, 7, 4), F.lit("-"), F.substring(d, 4, 2), F.lit("-"), F.substring(d, 1, 2))
+    return F.when(d.rlike(r"^\d\d/\d\d/(?!0000)\d{4}$"), whole.try_cast("date").cast("string")).otherwise(parse_date_any(d))
 
 
 def _indexed(values: Column, kind: str) -> Column:
@@ -116,6 +122,8 @@ def invoice_header(doc: DataFrame, text: str = "raw_text") -> DataFrame:
     # Of each tax number the party named last before it.
     party = lambda i: F.element_at(F.concat(F.array(F.lit("supplier")), F.filter(F.transform(F.slice("parts", 1, i), lambda x: x["name"]), lambda n: n.isin("supplier", "customer"))), -1)
     numbers = F.filter(F.transform("parts", lambda x, i: F.when(x["name"] == "tax_id", F.struct(party(i).alias("party"), x["tax_id"].alias("id")))), lambda x: x["id"].isNotNull())
+    first = lambda name, read: F.get(_of(name, read), 0)
+    word = F.regexp_replace(F.coalesce(first("currency", line), F.regexp_extract("body", rf"(?i)\d\s*({'|'.join(w for words in CURRENCIES.values() for w in words if w.isalpha())}|€|£|\$)(?!\p{{L}})", 1)), r"[^\p{L}$€£]", "")
     rows = with_computed(
         rows,
         dates=_indexed(_of("invoice_date", day), "string"),
@@ -125,7 +133,11 @@ def invoice_header(doc: DataFrame, text: str = "raw_text") -> DataFrame:
         taxes=_indexed(_of("vat", amount), "double"),
         grosses=_indexed(_of("total_ttc", amount), "double"),
         numbers=numbers,
-    )
+        supplier=first("supplier", line),
+        customer=first("customer", line),
+        number=first("invoice_number", lambda x: x["number"]),
+        word=F.lower(word),
+    ).drop("body", "parts")
 
     def times(d: Column, e: Column, p: Column) -> Column:
         day, due, begin, end = d["v"], e["v"], p["v"]["a"], p["v"]["b"]
@@ -140,16 +152,12 @@ def invoice_header(doc: DataFrame, text: str = "raw_text") -> DataFrame:
 
     # The first values have the least places and none is missing that is there: where they are consistent, no combination comes before them.
     first_of = lambda make, *lists: make(*[F.get(c, 0) for c in lists])
-    rows = with_computed(rows, t=first_of(times, "dates", "dues", "periods"), s=first_of(totals, "nets", "taxes", "grosses"))
+    rows = rows.withColumns({"t": first_of(times, "dates", "dues", "periods"), "s": first_of(totals, "nets", "taxes", "grosses")})
     searched = lambda first, make, *lists: F.when(first["wrong"] == 0, first).otherwise(F.array_min(_combined(*lists, make)))
-    rows = with_computed(rows, best_t=searched(F.col("t"), times, "dates", "dues", "periods"), best_s=searched(F.col("s"), totals, "nets", "taxes", "grosses")).drop("t", "s").withColumnsRenamed({"best_t": "t", "best_s": "s"})
+    rows = rows.withColumns({"t": searched(F.col("t"), times, "dates", "dues", "periods"), "s": searched(F.col("s"), totals, "nets", "taxes", "grosses")})
     tax = lambda who: F.get(F.filter("numbers", lambda x: x["party"] == who), 0)["id"]
-    first = lambda name, read: F.get(_of(name, read), 0)
-    word = F.regexp_replace(F.coalesce(first("currency", line), F.regexp_extract("body", rf"(?i)\d\s*({'|'.join(w for words in CURRENCIES.values() for w in words if w.isalpha())}|€|£|\$)(?!\p{{L}})", 1)), r"[^\p{L}$€£]", "")
-    rows = with_computed(rows, word=F.lower(word))
     return rows.select(
-        "doc_id", first("supplier", line).alias("supplier"), tax("supplier").alias("supplier_tax_id"), first("customer", line).alias("customer"), tax("customer").alias("customer_tax_id"),
-        first("invoice_number", lambda x: x["number"]).alias("invoice_number"),
+        "doc_id", "supplier", tax("supplier").alias("supplier_tax_id"), "customer", tax("customer").alias("customer_tax_id"), F.col("number").alias("invoice_number"),
         F.col("t.day").alias("invoice_date"), F.col("t.due").alias("due_date"), F.col("t.begin").alias("period_start"), F.col("t.end").alias("period_end"), _currency(F.col("word")).alias("currency"),
         F.col("s.net").alias("total_ht"), F.col("s.tax").alias("vat"), F.col("s.gross").alias("total_ttc"), (F.col("s.wrong") == 0).alias("consistent"),
     )
